@@ -16,7 +16,13 @@ def cluster_domains(domains: DataFrame, k: int = 5, seed: int = 42, n: int = 3)
     Fewer than k hosts form one cluster. Features are hashed character n-grams, which need no
     fitted vocabulary.
     """
-    hosts = domains.select("domain").filter(F.col("domain") != "").distinct()
+    # Sorting fixes the row order that the seeded start of the clustering depends on.
+    hosts = (
+        domains.select("domain")
+        .filter(F.col("domain") != "")
+        .distinct()
+        .sortWithinPartitions("domain")
+    )
     padded = F.concat(F.lit("^" * (n - 1)), F.lower("domain"), F.lit("$" * (n - 1)))
     chars = hosts.withColumn("chars", F.split(padded, ""))
     grams = NGram(n=n, inputCol="chars", outputCol="grams").transform(chars)
