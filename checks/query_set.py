@@ -129,7 +129,7 @@ def _with_metrics(pages: DataFrame) -> DataFrame:
 
 
 @query(
-    "SELECT server, error, count(*) AS pages, sum(n) AS chars, round(avg(t), 4) AS mean_time FROM"
+    "SELECT server, error, count(*) AS pages, CAST(sum(n) AS BIGINT) AS chars, round(avg(t), 4) AS mean_time FROM"
     " (SELECT CASE WHEN html <> '' THEN 's' || (page_id % 3) END AS server,"
     " CASE WHEN html = '' THEN 'no response' END AS error,"
     " CASE WHEN html <> '' THEN length(html) END AS n,"

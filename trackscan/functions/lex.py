@@ -14,21 +14,23 @@ from pyspark.sql import functions as F
 AT = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
 
 
-def _opening(name: str) -> str:
-    return rf"<{name}(?:[\s/]{AT})?>"
+_END = {name: rf"</{name}\s*>" for name in ("script", "style", "noscript")}
+
+
+def _named(name: str) -> str:
+    """The rest of an opening tag after its bracket."""
+    return rf"{name}(?:[\s/]{AT})?>"
 
 
 def _raw_text(name: str) -> str:
     """A raw-text element: up to its end tag or the end of the page, unless self-closing."""
-    return rf"{_opening(name)}(?:(?<=/>)|.*?(?:</{name}\s*>|\z))"
+    return rf"{_named(name)}(?:(?<=/>)|.*?(?:{_END[name]}|\z))"
 
 
-_COMMENT = "<!--.*?-->"
-TOKEN = f"(?is){_COMMENT}|{_raw_text('script')}|{_raw_text('style')}|</?[a-z][a-z0-9]*{AT}>"
-NOSCRIPT = (
-    f"(?is){_COMMENT}|{_raw_text('script')}|{_raw_text('style')}"
-    rf"|{_opening('noscript')}.*?</noscript\s*>"
-)
+# Alternatives share the opening bracket, so text between tags is passed over in one step each.
+_SKIPPED = f"!--.*?-->|{_raw_text('script')}|{_raw_text('style')}"
+TOKEN = f"(?is)<(?:{_SKIPPED}|/?[a-z][a-z0-9]*{AT}>)"
+NOSCRIPT = f"(?is)<(?:{_SKIPPED}|{_named('noscript')}.*?{_END['noscript']})"
 TAG = r"^<([a-zA-Z][^\s/>]*)"
 HEAD = rf"(?s)^<[a-zA-Z][^\s/>]*({AT})>"
 BODY = rf"(?is)^<(?:script|style)(?:[\s/]{AT})?>(.*?)(?:</(?:script|style)\s*>)?\z"

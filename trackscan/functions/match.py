@@ -1,9 +1,9 @@
 """Substring and pattern matching against the fixed lists.
 
 Lists of known size are literals in the expression, so a page is matched inside its own task
-with no join. Ignoring case follows the Unicode rules of ``(?iu)``; most patterns are plain
-text, and those become a substring test on case-folded text, which scans bytes instead of
-running a regular expression.
+with no join. Ignoring case follows the Unicode rules of ``(?iu)``. Most patterns are plain
+text, and all of those are looked for in one pass over the case-folded text. Patterns are
+always literals of the plan, so each is compiled once per task.
 """
 
 from __future__ import annotations
@@ -30,10 +30,66 @@ def strings(values: Sequence[str]) -> Column:
     return F.split(F.lit("\n".join(values)), "\n")
 
 
+# Alternatives tried one by one before they are split by a test on the first letter.
+_GROUP = 5
+# Up to this many texts a search for each is cheaper than one for all.
+_FEW_TEXTS = 16
+
+
+def any_of(texts: Sequence[str]) -> str:
+    """Regular expression for the longest of the texts, with shared beginnings merged.
+
+    Where no text starts it fails after a few letter tests instead of one try per text.
+    """
+    tails: dict[str, list[str]] = {}
+    for value in sorted(set(texts)):
+        tails.setdefault(value[:1], []).append(value[1:])
+    ends = tails.pop("", None) is not None
+    branches = [(re.escape(head), re.escape(head) + any_of(rest)) for head, rest in tails.items()]
+    if not branches:
+        return ""
+    if len(branches) == 1 and not ends:
+        return branches[0][1]
+    options = [branch for _, branch in branches]
+    if len(branches) > _GROUP:
+        groups = [branches[i : i + _GROUP] for i in range(0, len(branches), _GROUP)]
+        options = [
+            f"(?=[{''.join(h for h, _ in g)}])(?:{'|'.join(b for _, b in g)})" for g in groups
+        ]
+    return f"(?:{'|'.join(options)})" + ("?" if ends else "")
+
+
+def texts_found(text: Column, texts: Sequence[str]) -> Column:
+    """Texts that occur in the text, each once.
+
+    Many texts are looked for in one pass. It is a lookahead, so texts that overlap are all
+    found; of those that start at one position the longest is reported, and a shorter one is
+    a beginning of it.
+    """
+    if len(texts) <= _FEW_TEXTS:
+        # One element wide, so that the text is computed once and not once per search.
+        searched = F.transform(
+            F.array(text), lambda x: F.filter(strings(texts), lambda t: x.contains(t))
+        )
+        return F.get(searched, F.lit(0))
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?=({any_of(texts)}))"), F.lit(1)))
+
+
+def is_found(found: Column, part: str, texts: Sequence[str]) -> Column:
+    """Whether a text is among, or begins one of, the texts found by `texts_found`."""
+    longer = sorted({t for t in texts if t.startswith(part)})
+    if longer == [part]:
+        return F.array_contains(found, part)
+    return F.arrays_overlap(found, strings(longer))
+
+
 def first_domain(text: Column, domains: Sequence[str] = TRACKER_DOMAINS) -> Column:
-    """First listed domain contained in the text, in list order, else null."""
+    """First listed domain contained in the text, in list order, else null.
+
+    Most addresses contain none; one search rules them out before the list is gone through.
+    """
     found = F.filter(strings(domains), lambda d: text.contains(d))
-    return F.when(text.contains("."), F.get(found, F.lit(0)))
+    return F.when(text.rlike(any_of(domains)), F.get(found, F.lit(0)))
 
 
 def fold(text: Column) -> Column:
@@ -69,37 +125,34 @@ def required_text(pattern: str) -> str | None:
     return max(texts, key=len)
 
 
-def matches(pattern: str, text: Column, folded: Column) -> Column:
-    """Whether the pattern occurs in the text, ignoring case."""
-    plain = plain_text(pattern)
-    if plain is not None:
-        return folded.contains(plain)
-    hit = text.rlike(IGNORE_CASE + pattern)
-    piece = required_text(pattern)
-    return hit if piece is None else folded.contains(piece) & hit
-
+def needed_texts(patterns: Sequence[str]) -> list[str]:
+    """For each pattern the plain text it is, or cannot match without."""
+    needed = (plain_text(p) or required_text(p) for p in patterns)
+    return sorted({n for n in needed if n})
 
-def pattern_rules(patterns: Sequence[str]) -> Column:
-    """Constant array<struct<pattern, text>>; `text` is '' for a real regular expression."""
-    texts = [plain_text(p) or "" for p in patterns]
-    return F.arrays_zip(strings(patterns).alias("pattern"), strings(texts).alias("text"))
 
+def matches(pattern: str, text: Column, found: Column, texts: Sequence[str]) -> Column:
+    """Whether the pattern occurs in the text, ignoring case.
 
-def rule_matches(rule: Column, patterns: Sequence[str], text: Column, folded: Column) -> Column:
-    """Whether a rule of `pattern_rules` occurs in the text.
-
-    Regular expressions stay literals, one branch each, so that they are compiled once.
+    `found` holds those of `texts` that the case-folded text contains. That settles plain
+    text; a real regular expression runs only where the text it cannot do without is there.
     """
-    test = F.when(rule["text"] != "", folded.contains(rule["text"]))
-    for pattern in dict.fromkeys(patterns):
-        if plain_text(pattern) is None:
-            test = test.when(rule["pattern"] == pattern, matches(pattern, text, folded))
-    return test.otherwise(F.lit(False))
+    plain = plain_text(pattern)
+    if plain is not None:
+        return is_found(found, plain, texts)
+    hit = text.rlike(IGNORE_CASE + pattern)
+    piece = required_text(pattern)
+    return hit if piece is None else is_found(found, piece, texts) & hit
 
 
-def pattern_hits(patterns: Sequence[str], text: Column, folded: Column) -> Column:
+def pattern_hits(patterns: Sequence[str], text: Column, found: Column) -> Column:
     """All patterns that occur in the text, in list order."""
-    hits = F.filter(
-        pattern_rules(patterns), lambda rule: rule_matches(rule, patterns, text, folded)
-    )
-    return F.transform(hits, lambda rule: rule["pattern"])
+    if not patterns:
+        return strings([])
+    texts = needed_texts(patterns)
+    hits = F.array(*[F.when(matches(p, text, found, texts), F.lit(p)) for p in patterns])
+    always = any(plain_text(p) is None and required_text(p) is None for p in patterns)
+    if always:
+        return F.array_compact(hits)
+    # Without any of the texts no pattern can match.
+    return F.when(F.size(found) > 0, F.array_compact(hits)).otherwise(strings([]))

@@ -11,9 +11,11 @@ from trackscan.fixed_values import CATALOGUE
 from trackscan.functions.match import (
     IGNORE_CASE,
     fold,
-    plain_text,
-    rule_matches,
+    is_found,
+    matches,
+    needed_texts,
     strings,
+    texts_found,
 )
 from trackscan.functions.text import title
 from trackscan.sources.seeds import catalogue
@@ -31,13 +33,14 @@ ATTRIBUTES = (
 )
 
 
-def _rules(trackers: Sequence[tuple]) -> tuple[Column, list[str]]:
-    """Constant array<struct<tracker_id, pattern, type, text>> over the whole catalogue."""
-    rows = [(t[0], p, REGEX, plain_text(p) or "") for t in trackers for p in t[4]]
-    rows += [(t[0], d, DOMAIN, d) for t in trackers for d in t[5]]
-    names = ("tracker_id", "pattern", "type", "text")
-    columns = [strings(list(c)).alias(n) for n, c in zip(names, zip(*rows))]
-    return F.arrays_zip(*columns), [p for _, p, kind, _ in rows if kind == REGEX]
+def _rules(trackers: Sequence[tuple]) -> list[tuple[str, str, str]]:
+    """(tracker_id, pattern, type) of every rule, patterns of a tracker before its hosts."""
+    return [
+        (t[0], value, kind)
+        for t in trackers
+        for kind, values in ((REGEX, t[4]), (DOMAIN, t[5]))
+        for value in values
+    ]
 
 
 def detect_in_pages(pages: DataFrame, trackers: Sequence[tuple] = CATALOGUE) -> DataFrame:
@@ -47,40 +50,49 @@ def detect_in_pages(pages: DataFrame, trackers: Sequence[tuple] = CATALOGUE) ->
     attributes, a list that is part of the program and so safe to broadcast.
     """
     attributes = catalogue(pages.sparkSession, trackers).select("tracker_id", *ATTRIBUTES)
-    rules, patterns = _rules(trackers)
-    html, folded = F.col("html"), F.col("_folded")
-
-    def hit(rule: Column) -> Column:
-        host = html.contains(rule["pattern"]) | F.col("url").contains(rule["pattern"])
-        return F.when(rule["type"] == DOMAIN, host).otherwise(
-            rule_matches(rule, patterns, html, folded)
-        )
+    rules = _rules(trackers)
+    html, url = F.col("html"), F.col("url")
+
+    hosts = [value.lower() for _, value, kind in rules if kind == DOMAIN]
+    texts = sorted({*needed_texts([v for _, v, kind in rules if kind == REGEX]), *hosts})
+    found = F.col("_found")
+
+    def hit(value: str, kind: str) -> Column:
+        if kind == DOMAIN:
+            # Hosts count only in the case in which they are listed.
+            inside = is_found(found, value.lower(), texts) & html.contains(value)
+            return inside | url.contains(value)
+        return matches(value, html, found, texts)
+
+    # Numbers of the rules that hold; names and types follow from them.
+    numbers = F.array_compact(
+        F.array(*[F.when(hit(value, kind), F.lit(n)) for n, (_, value, kind) in enumerate(rules)])
+    )
+    ids, values, kinds = (strings(list(column)) for column in zip(*rules))
 
     def nested(tracker_id: Column) -> Column:
-        mine = F.filter(F.col("_hits"), lambda h: h["tracker_id"] == tracker_id)
+        mine = F.filter(F.col("_hits"), lambda n: F.get(ids, n) == tracker_id)
         return F.struct(
             tracker_id.alias("tracker_id"),
             F.transform(
-                mine, lambda h: F.struct(h["pattern"].alias("pattern"), h["type"].alias("type"))
+                mine,
+                lambda n: F.struct(
+                    F.get(values, n).alias("pattern"), F.get(kinds, n).alias("type")
+                ),
             ).alias("matches"),
         )
 
     # A failed page is not searched, not even its address.
     hits = (
         pages.filter(F.length("html") > 0)
-        .select("page_id", "url", "html", fold(html).alias("_folded"))
-        .select("page_id", F.filter(rules, hit).alias("_hits"))
+        .select("page_id", "url", "html", texts_found(fold(html), texts).alias("_found"))
+        .select("page_id", numbers.alias("_hits"))
     )
-    detected = hits.select(
-        "page_id",
-        F.inline(
-            F.transform(
-                F.array_distinct(F.transform("_hits", lambda h: h["tracker_id"])), nested
-            )
-        ),
-    )
-    return detected.join(F.broadcast(attributes), "tracker_id").select(
-        "page_id", "tracker_id", *ATTRIBUTES, "matches"
+    hit_ids = F.array_distinct(F.transform("_hits", lambda n: F.get(ids, n)))
+    return (
+        hits.select("page_id", F.inline(F.transform(hit_ids, nested)))
+        .join(F.broadcast(attributes), "tracker_id")
+        .select("page_id", "tracker_id", *ATTRIBUTES, "matches")
     )
 
 

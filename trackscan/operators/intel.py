@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from trackscan.fixed_values import HOST_INTELLIGENCE
 from trackscan.functions.lex import attribute, snippet
-from trackscan.functions.match import matches
+from trackscan.functions.match import fold, matches, needed_texts, texts_found
 from trackscan.functions.urls import netloc
 
 # Fixed values: (source, type, category, risk, purpose, method, patterns).
@@ -109,13 +109,23 @@ def join_hosts(scripts: DataFrame, intel: DataFrame) -> DataFrame:
     return scripts.join(intel, "domain")
 
 
-def fingerprint_trackers(html: Column, folded: Column, url: Column, seen: Column) -> Column:
-    """One row per fingerprinting rule that the page text meets."""
+FINGERPRINT_TEXTS = needed_texts([p for rule in FINGERPRINT_RULES for p in rule[-1]])
+
+
+def fingerprint_texts(html: Column) -> Column:
+    return texts_found(fold(html), FINGERPRINT_TEXTS)
+
+
+def fingerprint_trackers(html: Column, found: Column, url: Column, seen: Column) -> Column:
+    """One row per fingerprinting rule that the page text meets.
+
+    `found` is the result of `fingerprint_texts` on the page.
+    """
     rows = []
     for source, kind, category, risk, purpose, method, patterns in FINGERPRINT_RULES:
         hit = F.lit(False)
         for pattern in patterns:
-            hit = hit | matches(pattern, html, folded)
+            hit = hit | matches(pattern, html, found, FINGERPRINT_TEXTS)
         row = tracker(
             F.lit(kind),
             netloc(url),

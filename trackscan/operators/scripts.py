@@ -9,7 +9,15 @@ from pyspark.sql import functions as F
 
 from trackscan.fixed_values import SCRIPT_PATTERNS, TRACKER_DOMAINS
 from trackscan.functions.lex import attribute
-from trackscan.functions.match import IGNORE_CASE, first_domain, fold, pattern_hits, strings
+from trackscan.functions.match import (
+    IGNORE_CASE,
+    first_domain,
+    fold,
+    needed_texts,
+    pattern_hits,
+    strings,
+    texts_found,
+)
 from trackscan.functions.text import cut
 
 SCRIPT_ROW = (
@@ -18,7 +26,7 @@ SCRIPT_ROW = (
 )
 
 
-def _scripts(elements: Column) -> Column:
+def _scripts(elements: Column, patterns: Sequence[str] = ()) -> Column:
     found = F.filter(elements, lambda e: (e["tag"] == "script") & ~e["in_noscript"])
     return F.transform(
         found,
@@ -26,7 +34,7 @@ def _scripts(elements: Column) -> Column:
             e["pos"].alias("pos"),
             attribute(e["attrs"], "src").alias("src"),
             e["body"].alias("body"),
-            fold(e["body"]).alias("folded"),
+            texts_found(fold(e["body"]), needed_texts(patterns)).alias("found"),
             e["source"].alias("source"),
         ),
     )
@@ -52,7 +60,7 @@ def scripts(
         )
 
     def inline(script: Column) -> Column:
-        hits = pattern_hits(patterns, script["body"], script["folded"])
+        hits = pattern_hits(patterns, script["body"], script["found"])
         return F.transform(
             F.when(script["body"] != "", hits).otherwise(strings([])),
             lambda p: F.struct(
@@ -69,7 +77,7 @@ def scripts(
         named = F.filter(F.array(external(script)), lambda r: r["domain"].isNotNull())
         return F.concat(named, inline(script))
 
-    return F.flatten(F.transform(_scripts(elements), rows))
+    return F.flatten(F.transform(_scripts(elements, patterns), rows))
 
 
 def script_bodies(pages: DataFrame) -> DataFrame:

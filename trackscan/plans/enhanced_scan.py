@@ -9,8 +9,12 @@ from pyspark.sql import functions as F
 
 from trackscan.fixed_values import HOST_INTELLIGENCE
 from trackscan.functions.lex import scan_elements
-from trackscan.functions.match import fold, strings
-from trackscan.operators.intel import fingerprint_trackers, host_trackers
+from trackscan.functions.match import strings
+from trackscan.operators.intel import (
+    fingerprint_texts,
+    fingerprint_trackers,
+    host_trackers,
+)
 
 # Points per risk level and per category. There are none for critical.
 RISK_POINTS = {"high": 15, "medium": 8, "low": 3}
@@ -83,7 +87,7 @@ def enhanced_scan(
     staged = pages.select(
         *kept,
         html.alias("html"),
-        fold(html).alias("_folded"),
+        fingerprint_texts(html).alias("_found"),
         scan_elements(html).alias("_elements"),
         stamp.alias("timestamp"),
     )
@@ -93,7 +97,7 @@ def enhanced_scan(
         F.concat(
             host_trackers(F.col("_elements"), F.col("timestamp"), intel),
             fingerprint_trackers(
-                F.col("html"), F.col("_folded"), F.col("url"), F.col("timestamp")
+                F.col("html"), F.col("_found"), F.col("url"), F.col("timestamp")
             ),
         ).alias("trackers"),
     )
