@@ -18,7 +18,7 @@ from trackscan.functions.text import dotted
 from trackscan.operators import anomaly, catalog, cluster, enrich, intel, requests, scripts, security
 from trackscan.params import ScoringParams
 from trackscan.plans import basic_scan, reports, trends
-from trackscan.plans.basic_scan import scan
+from trackscan.plans.basic_scan import detections, scan
 from trackscan.plans.enhanced_scan import enhanced_scan
 from trackscan.sources import catalog_files, history, results, seeds
 from trackscan.sources.pages import METRICS, failed, read_pages
@@ -317,8 +317,7 @@ def element_snippets(spark, sf):
 )
 def tracking_pixels(spark, sf):
     return (
-        scanned(spark, sf)
-        .select("page_id", F.inline("tracking_pixels"))
+        detections(scanned(spark, sf), "tracking_pixels")
         .drop("full_element")
     )
 
@@ -326,8 +325,7 @@ def tracking_pixels(spark, sf):
 @query("SELECT page_id, src, width, height FROM px WHERE is_1x1_pixel", "px")
 def one_pixel_images(spark, sf):
     return (
-        scanned(spark, sf)
-        .select("page_id", F.inline("tracking_pixels"))
+        detections(scanned(spark, sf), "tracking_pixels")
         .filter("is_1x1_pixel")
         .select("page_id", "src", "width", "height")
     )
@@ -336,8 +334,7 @@ def one_pixel_images(spark, sf):
 @query("SELECT page_id, src FROM px WHERE has_tracking_params", "px")
 def tracking_word_images(spark, sf):
     return (
-        scanned(spark, sf)
-        .select("page_id", F.inline("tracking_pixels"))
+        detections(scanned(spark, sf), "tracking_pixels")
         .filter("has_tracking_params")
         .select("page_id", "src")
     )
@@ -346,8 +343,7 @@ def tracking_word_images(spark, sf):
 @query("SELECT page_id, src, width, height FROM b64", "b64")
 def base64_pixels(spark, sf):
     return (
-        scanned(spark, sf)
-        .select("page_id", F.inline("tracking_pixels"))
+        detections(scanned(spark, sf), "tracking_pixels")
         .filter("is_base64")
         .select("page_id", "src", "width", "height")
     )
@@ -355,19 +351,18 @@ def base64_pixels(spark, sf):
 
 @query("SELECT * FROM meta", "meta")
 def meta_trackers(spark, sf):
-    return scanned(spark, sf).select("page_id", F.inline("meta_trackers")).drop("element")
+    return detections(scanned(spark, sf), "meta_trackers").drop("element")
 
 
 @query("SELECT * FROM css", "css")
 def css_trackers(spark, sf):
-    return scanned(spark, sf).select("page_id", F.inline("css_trackers")).drop("element")
+    return detections(scanned(spark, sf), "css_trackers").drop("element")
 
 
 @query("SELECT page_id, domain, src FROM ext", "ext")
 def external_scripts(spark, sf):
     return (
-        scanned(spark, sf)
-        .select("page_id", F.inline("javascript_trackers"))
+        detections(scanned(spark, sf), "javascript_trackers")
         .filter("type = 'external_script'")
         .select("page_id", "domain", "src")
     )
@@ -376,8 +371,7 @@ def external_scripts(spark, sf):
 @query("SELECT page_id, pattern, content_snippet FROM inl", "inl")
 def inline_scripts(spark, sf):
     return (
-        scanned(spark, sf)
-        .select("page_id", F.inline("javascript_trackers"))
+        detections(scanned(spark, sf), "javascript_trackers")
         .filter("type = 'inline_script'")
         .select("page_id", "pattern", "content_snippet")
     )
@@ -412,8 +406,7 @@ CUSTOM = [r"canvas\.\w+", "RTCPeer"]
 def custom_patterns(spark, sf):
     """Patterns added to the built-in list."""
     return (
-        scanned(spark, sf, custom_patterns=CUSTOM)
-        .select("page_id", F.inline("javascript_trackers"))
+        detections(scanned(spark, sf, custom_patterns=CUSTOM), "javascript_trackers")
         .filter("type = 'inline_script'")
         .select("page_id", "pattern")
     )
@@ -429,7 +422,8 @@ def fingerprint_rules(spark, sf):
 def _trackers(spark, sf) -> DataFrame:
     return (
         enhanced(spark, sf)
-        .select("page_id", F.inline("trackers"))
+        .select("page_id", F.inline_outer("trackers"))
+        .filter("tracker_type IS NOT NULL")
         .drop("first_seen", "details")
     )
 

@@ -8,6 +8,7 @@ always literals of the plan, so each is compiled once per task.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Sequence
 
@@ -75,14 +76,6 @@ def texts_found(text: Column, texts: Sequence[str]) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?=({any_of(texts)}))"), F.lit(1)))
 
 
-def is_found(found: Column, part: str, texts: Sequence[str]) -> Column:
-    """Whether a text is among, or begins one of, the texts found by `texts_found`."""
-    longer = sorted({t for t in texts if t.startswith(part)})
-    if longer == [part]:
-        return F.array_contains(found, part)
-    return F.arrays_overlap(found, strings(longer))
-
-
 def first_domain(text: Column, domains: Sequence[str] = TRACKER_DOMAINS) -> Column:
     """First listed domain contained in the text, in list order, else null.
 
@@ -131,28 +124,53 @@ def needed_texts(patterns: Sequence[str]) -> list[str]:
     return sorted({n for n in needed if n})
 
 
-def matches(pattern: str, text: Column, found: Column, texts: Sequence[str]) -> Column:
-    """Whether the pattern occurs in the text, ignoring case.
+def pattern_rows(patterns: Sequence[str], texts: Sequence[str]) -> list[dict]:
+    """Per pattern its rule: `needs`, the found texts of which one must be there, `plain`."""
+    rows = []
+    for pattern in patterns:
+        plain = plain_text(pattern)
+        piece = plain or required_text(pattern)
+        needs = [t for t in texts if piece and t.startswith(piece)]
+        rows.append({"pattern": pattern, "needs": needs, "plain": plain is not None})
+    return rows
+
+
+RULE = "pattern:string,needs:array<string>,plain:boolean"
+
 
-    `found` holds those of `texts` that the case-folded text contains. That settles plain
-    text; a real regular expression runs only where the text it cannot do without is there.
+def rules(rows: Sequence[dict], fields: str = RULE) -> Column:
+    """Constant array of rules, a single literal of the plan."""
+    return F.from_json(F.lit(json.dumps(list(rows))), f"array<struct<{fields}>>")
+
+
+def rule_holds(rule: Column, patterns: Sequence[str], text: Column, found: Column) -> Column:
+    """Whether the pattern of a rule occurs in the text, ignoring case.
+
+    `found` holds the texts that the case-folded text contains. That settles plain text; a
+    real regular expression runs only where the text it cannot do without is there. Those
+    are branches of their own because only a literal pattern is compiled just once.
     """
-    plain = plain_text(pattern)
-    if plain is not None:
-        return is_found(found, plain, texts)
-    hit = text.rlike(IGNORE_CASE + pattern)
-    piece = required_text(pattern)
-    return hit if piece is None else is_found(found, piece, texts) & hit
+    real = F
+    for pattern in dict.fromkeys(patterns):
+        if plain_text(pattern) is None:
+            real = real.when(rule["pattern"] == pattern, text.rlike(IGNORE_CASE + pattern))
+    candidate = (F.size(rule["needs"]) == 0) | F.arrays_overlap(found, rule["needs"])
+    return candidate & (rule["plain"] if real is F else rule["plain"] | real.otherwise(False))
 
 
 def pattern_hits(patterns: Sequence[str], text: Column, found: Column) -> Column:
-    """All patterns that occur in the text, in list order."""
+    """All patterns that occur in the text, in list order.
+
+    `found` is `texts_found` of the case-folded text for `needed_texts` of the patterns.
+    """
     if not patterns:
         return strings([])
-    texts = needed_texts(patterns)
-    hits = F.array(*[F.when(matches(p, text, found, texts), F.lit(p)) for p in patterns])
-    always = any(plain_text(p) is None and required_text(p) is None for p in patterns)
-    if always:
-        return F.array_compact(hits)
+    rows = pattern_rows(patterns, needed_texts(patterns))
+    hits = F.transform(
+        F.filter(rules(rows), lambda rule: rule_holds(rule, patterns, text, found)),
+        lambda rule: rule["pattern"],
+    )
+    if any(not row["needs"] for row in rows):
+        return hits
     # Without any of the texts no pattern can match.
-    return F.when(F.size(found) > 0, F.array_compact(hits)).otherwise(strings([]))
+    return F.when(F.size(found) > 0, hits).otherwise(strings([]))

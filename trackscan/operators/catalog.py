@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from trackscan.fixed_values import CATALOGUE
 from trackscan.functions.match import (
     IGNORE_CASE,
+    RULE,
     fold,
-    is_found,
-    matches,
     needed_texts,
-    strings,
+    pattern_rows,
+    rule_holds,
+    rules,
     texts_found,
 )
 from trackscan.functions.text import title
@@ -33,14 +34,20 @@ ATTRIBUTES = (
 )
 
 
-def _rules(trackers: Sequence[tuple]) -> list[tuple[str, str, str]]:
-    """(tracker_id, pattern, type) of every rule, patterns of a tracker before its hosts."""
-    return [
-        (t[0], value, kind)
-        for t in trackers
-        for kind, values in ((REGEX, t[4]), (DOMAIN, t[5]))
-        for value in values
-    ]
+def _rules(trackers: Sequence[tuple]) -> tuple[list[dict], list[str], list[str]]:
+    """Rules of all trackers, patterns of a tracker before its hosts; patterns; texts to find."""
+    patterns = [p for t in trackers for p in t[4]]
+    texts = sorted({*needed_texts(patterns), *(d.lower() for t in trackers for d in t[5])})
+    rows = []
+    for t in trackers:
+        for row in pattern_rows(t[4], texts):
+            rows.append({**row, "tracker_id": t[0], "type": REGEX})
+        for host in t[5]:
+            needs = [x for x in texts if x.startswith(host.lower())]
+            rows.append(
+                {"pattern": host, "needs": needs, "plain": True, "tracker_id": t[0], "type": DOMAIN}
+            )
+    return rows, patterns, texts
 
 
 def detect_in_pages(pages: DataFrame, trackers: Sequence[tuple] = CATALOGUE) -> DataFrame:
@@ -50,35 +57,23 @@ def detect_in_pages(pages: DataFrame, trackers: Sequence[tuple] = CATALOGUE) ->
     attributes, a list that is part of the program and so safe to broadcast.
     """
     attributes = catalogue(pages.sparkSession, trackers).select("tracker_id", *ATTRIBUTES)
-    rules = _rules(trackers)
-    html, url = F.col("html"), F.col("url")
-
-    hosts = [value.lower() for _, value, kind in rules if kind == DOMAIN]
-    texts = sorted({*needed_texts([v for _, v, kind in rules if kind == REGEX]), *hosts})
-    found = F.col("_found")
-
-    def hit(value: str, kind: str) -> Column:
-        if kind == DOMAIN:
-            # Hosts count only in the case in which they are listed.
-            inside = is_found(found, value.lower(), texts) & html.contains(value)
-            return inside | url.contains(value)
-        return matches(value, html, found, texts)
-
-    # Numbers of the rules that hold; names and types follow from them.
-    numbers = F.array_compact(
-        F.array(*[F.when(hit(value, kind), F.lit(n)) for n, (_, value, kind) in enumerate(rules)])
-    )
-    ids, values, kinds = (strings(list(column)) for column in zip(*rules))
+    rows, patterns, texts = _rules(trackers)
+    html, url, found = F.col("html"), F.col("url"), F.col("_found")
+
+    def holds(rule: Column) -> Column:
+        # Hosts count only in the case in which they are listed, patterns in any.
+        inside = F.arrays_overlap(found, rule["needs"]) & html.contains(rule["pattern"])
+        host = inside | url.contains(rule["pattern"])
+        return F.when(rule["type"] == DOMAIN, host).otherwise(
+            rule_holds(rule, patterns, html, found)
+        )
 
     def nested(tracker_id: Column) -> Column:
-        mine = F.filter(F.col("_hits"), lambda n: F.get(ids, n) == tracker_id)
+        mine = F.filter(F.col("_hits"), lambda h: h["tracker_id"] == tracker_id)
         return F.struct(
             tracker_id.alias("tracker_id"),
             F.transform(
-                mine,
-                lambda n: F.struct(
-                    F.get(values, n).alias("pattern"), F.get(kinds, n).alias("type")
-                ),
+                mine, lambda h: F.struct(h["pattern"].alias("pattern"), h["type"].alias("type"))
             ).alias("matches"),
         )
 
@@ -86,9 +81,12 @@ def detect_in_pages(pages: DataFrame, trackers: Sequence[tuple] = CATALOGUE) ->
     hits = (
         pages.filter(F.length("html") > 0)
         .select("page_id", "url", "html", texts_found(fold(html), texts).alias("_found"))
-        .select("page_id", numbers.alias("_hits"))
+        .select(
+            "page_id",
+            F.filter(rules(rows, f"{RULE},tracker_id:string,type:string"), holds).alias("_hits"),
+        )
     )
-    hit_ids = F.array_distinct(F.transform("_hits", lambda n: F.get(ids, n)))
+    hit_ids = F.array_distinct(F.transform("_hits", lambda h: h["tracker_id"]))
     return (
         hits.select("page_id", F.inline(F.transform(hit_ids, nested)))
         .join(F.broadcast(attributes), "tracker_id")

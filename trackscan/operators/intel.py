@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from trackscan.fixed_values import HOST_INTELLIGENCE
 from trackscan.functions.lex import attribute, snippet
-from trackscan.functions.match import fold, matches, needed_texts, texts_found
+from trackscan.functions.match import fold, needed_texts, pattern_hits, strings, texts_found
 from trackscan.functions.urls import netloc
 
 # Fixed values: (source, type, category, risk, purpose, method, patterns).
@@ -109,23 +109,22 @@ def join_hosts(scripts: DataFrame, intel: DataFrame) -> DataFrame:
     return scripts.join(intel, "domain")
 
 
-FINGERPRINT_TEXTS = needed_texts([p for rule in FINGERPRINT_RULES for p in rule[-1]])
+_PATTERNS = [p for rule in FINGERPRINT_RULES for p in rule[-1]]
+_TEXTS = needed_texts(_PATTERNS)
 
 
-def fingerprint_texts(html: Column) -> Column:
-    return texts_found(fold(html), FINGERPRINT_TEXTS)
-
+def fingerprint_hits(html: Column) -> Column:
+    """The rule patterns that a page text contains, the expensive part of the rules."""
+    with_found = F.transform(
+        F.array(texts_found(fold(html), _TEXTS)), lambda found: pattern_hits(_PATTERNS, html, found)
+    )
+    return F.get(with_found, F.lit(0))
 
-def fingerprint_trackers(html: Column, found: Column, url: Column, seen: Column) -> Column:
-    """One row per fingerprinting rule that the page text meets.
 
-    `found` is the result of `fingerprint_texts` on the page.
-    """
+def fingerprint_trackers(hits: Column, url: Column, seen: Column) -> Column:
+    """One row per fingerprinting rule that the page text meets."""
     rows = []
     for source, kind, category, risk, purpose, method, patterns in FINGERPRINT_RULES:
-        hit = F.lit(False)
-        for pattern in patterns:
-            hit = hit | matches(pattern, html, found, FINGERPRINT_TEXTS)
         row = tracker(
             F.lit(kind),
             netloc(url),
@@ -136,5 +135,5 @@ def fingerprint_trackers(html: Column, found: Column, url: Column, seen: Column)
             seen,
             [("method", F.lit(method))],
         )
-        rows.append(F.when(hit, row))
+        rows.append(F.when(F.arrays_overlap(hits, strings(patterns)), row))
     return F.array_compact(F.array(*rows))

@@ -23,19 +23,29 @@ from trackscan.params import DEFAULT_PARAMS, ScoringParams
 # Fixed value: the error text of a page without content.
 FETCH_ERROR = "Failed to fetch page content"
 
-DETECTIONS = ("tracking_pixels", "javascript_trackers", "meta_trackers", "css_trackers")
+# Detection arrays, each with a field that every entry has.
+DETECTIONS = {
+    "tracking_pixels": "element_type",
+    "javascript_trackers": "type",
+    "meta_trackers": "type",
+    "css_trackers": "type",
+}
 
 Step = Callable[[DataFrame], DataFrame]
 
 
 def extract_elements(pages: DataFrame) -> DataFrame:
-    """Default parser: replaces the page text by its elements and an error column."""
+    """Default parser: replaces the page text by its elements and an error column.
+
+    A filter on a result column would otherwise be pushed below the projections and take the
+    lexer with it, once per mention. Filters do not pass a generator, so the elements come
+    out of one that makes a single row.
+    """
     kept = [c for c in pages.columns if c != "html"]
     failed = F.coalesce(F.length("html"), F.lit(0)) == 0
-    return pages.select(
-        *kept,
-        F.when(failed, FETCH_ERROR).alias("error"),
-        F.when(~failed, scan_elements(F.col("html"))).alias("elements"),
+    elements = F.when(~failed, scan_elements(F.col("html")))
+    return pages.select(*kept, "html", F.when(failed, FETCH_ERROR).alias("error")).select(
+        *kept, "error", F.explode(F.array(elements)).alias("elements")
     )
 
 
@@ -150,3 +160,13 @@ def scan(
         .transform(summarise)
         .withColumn("scan_timestamp", stamp)
     )
+
+
+def detections(scanned: DataFrame, array: str, *keys: str) -> DataFrame:
+    """One row per entry of a detection array, with the key columns (the page by default).
+
+    The plain generator would make Spark test the array for entries below the projections,
+    which computes it twice; the outer one does not, and its empty rows are dropped here.
+    """
+    rows = scanned.select(*(keys or ("page_id",)), F.inline_outer(array))
+    return rows.filter(F.col(DETECTIONS[array]).isNotNull())

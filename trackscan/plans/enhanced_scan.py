@@ -11,7 +11,7 @@ from trackscan.fixed_values import HOST_INTELLIGENCE
 from trackscan.functions.lex import scan_elements
 from trackscan.functions.match import strings
 from trackscan.operators.intel import (
-    fingerprint_texts,
+    fingerprint_hits,
     fingerprint_trackers,
     host_trackers,
 )
@@ -86,21 +86,16 @@ def enhanced_scan(
     html = F.coalesce("html", F.lit(""))
     staged = pages.select(
         *kept,
-        html.alias("html"),
-        fingerprint_texts(html).alias("_found"),
+        fingerprint_hits(html).alias("_hits"),
         scan_elements(html).alias("_elements"),
         stamp.alias("timestamp"),
     )
-    found = staged.select(
-        *kept,
-        "timestamp",
-        F.concat(
-            host_trackers(F.col("_elements"), F.col("timestamp"), intel),
-            fingerprint_trackers(
-                F.col("html"), F.col("_found"), F.col("url"), F.col("timestamp")
-            ),
-        ).alias("trackers"),
+    trackers = F.concat(
+        host_trackers(F.col("_elements"), F.col("timestamp"), intel),
+        fingerprint_trackers(F.col("_hits"), F.col("url"), F.col("timestamp")),
     )
+    # Out of a generator, so that filters on results do not copy the detection below it.
+    found = staged.select(*kept, "timestamp", F.explode(F.array(trackers)).alias("trackers"))
     return found.select(
         "*",
         F.size("trackers").alias("tracker_count"),

@@ -16,6 +16,11 @@ from trackscan.functions.match import strings
 from trackscan.functions.text import ratio
 
 
+def _exploded(rows: DataFrame, array: str, name: str, *keys: Column) -> DataFrame:
+    """One row per entry, without the emptiness test that would compute the array twice."""
+    return rows.select(*keys, F.explode_outer(array).alias(name)).filter(F.col(name).isNotNull())
+
+
 def page_counts(scanned: DataFrame) -> DataFrame:
     return scanned.select(
         "page_id",
@@ -92,7 +97,7 @@ def tally_by(scanned: DataFrame, *keys: str) -> DataFrame:
 def domain_pages(scanned: DataFrame) -> DataFrame:
     """Pages per found domain; each page lists a domain once."""
     return (
-        scanned.select(F.explode("summary.domains_found").alias("domain"))
+        _exploded(scanned, "summary.domains_found", "domain")
         .groupBy("domain")
         .agg(F.count("*").alias("pages"))
     )
@@ -103,7 +108,7 @@ def top_domains(scanned: DataFrame, k: int = 10) -> DataFrame:
 
 
 def distinct_domains(scanned: DataFrame) -> DataFrame:
-    return scanned.select(F.explode("summary.domains_found").alias("domain")).distinct()
+    return _exploded(scanned, "summary.domains_found", "domain").distinct()
 
 
 def intelligence_summary(enhanced: DataFrame) -> DataFrame:
@@ -126,7 +131,7 @@ def intelligence_summary(enhanced: DataFrame) -> DataFrame:
 
 def top_categories(enhanced: DataFrame, k: int = 10) -> DataFrame:
     return (
-        enhanced.select(F.explode("trackers.category").alias("category"))
+        _exploded(enhanced, "trackers.category", "category")
         .groupBy("category")
         .agg(F.count("*").alias("count"))
         .orderBy(F.desc("count"), "category")
@@ -136,7 +141,7 @@ def top_categories(enhanced: DataFrame, k: int = 10) -> DataFrame:
 
 def most_tracked_domains(enhanced: DataFrame, k: int = 20) -> DataFrame:
     return (
-        enhanced.select(F.explode("risk_assessment.third_party_domains").alias("domain"))
+        _exploded(enhanced, "risk_assessment.third_party_domains", "domain")
         .groupBy("domain")
         .agg(F.count("*").alias("pages"))
         .orderBy(F.desc("pages"), "domain")
@@ -232,11 +237,9 @@ def score_distribution(scanned: DataFrame, buckets: int = 10) -> DataFrame:
 
 def domain_activity(scanned: DataFrame) -> DataFrame:
     """Pages per domain and day, in long form."""
+    day = F.date_format("scan_timestamp", "yyyy-MM-dd").alias("day")
     return (
-        scanned.select(
-            F.date_format("scan_timestamp", "yyyy-MM-dd").alias("day"),
-            F.explode("summary.domains_found").alias("domain"),
-        )
+        _exploded(scanned, "summary.domains_found", "domain", day)
         .groupBy("domain", "day")
         .agg(F.count("*").alias("pages"))
     )
