@@ -15,7 +15,17 @@ from checks.duckdb_sql import TS, cut, host, text, with_parts
 from trackscan import fixed_values as fixed
 from trackscan.functions import lex, urls
 from trackscan.functions.text import dotted
-from trackscan.operators import anomaly, catalog, cluster, enrich, intel, requests, scripts, security
+from trackscan.operators import (
+    anomaly,
+    catalog,
+    cluster,
+    enrich,
+    intel,
+    requests,
+    scoring,
+    scripts,
+    security,
+)
 from trackscan.params import ScoringParams
 from trackscan.plans import basic_scan, reports, trends
 from trackscan.plans.basic_scan import detections, scan
@@ -576,31 +586,31 @@ def high_risk_domains(spark, sf):
     """High-risk domains with the number of times each costs points."""
     return (
         scanned(spark, sf)
-        .select("page_id", F.explode("privacy_analysis.high_risk_domains").alias("domain"))
+        .select("page_id", F.explode_outer("privacy_analysis.high_risk_domains").alias("domain"))
+        .filter("domain IS NOT NULL")
         .groupBy("page_id", "domain")
         .agg(F.count("*").alias("n"))
     )
 
 
-def _category_rows(found: DataFrame, categories: DataFrame) -> DataFrame:
-    return found.join(categories.withColumnRenamed("domain", "part"), F.expr("contains(domain, part)"))
-
-
 @query(
     "SELECT category, domain, count(*) AS n, count(DISTINCT page_id) AS pages FROM risky"
     " GROUP BY category, domain",
     "risky",
 )
 def domain_categories(spark, sf):
-    """Found domains against the category table, as a join on the distinct domains."""
-    bag = scanned(spark, sf).select("page_id", F.explode("domains").alias("domain"))
-    per_domain = bag.groupBy("domain").agg(
-        F.count("*").alias("n"), F.count_distinct("page_id").alias("pages")
-    )
+    """Categories of the found domains, with the times and pages each domain was found."""
+    bag = scanned(spark, sf).select("page_id", F.explode_outer("domains").alias("domain"))
     return (
-        _category_rows(per_domain, seeds.category_domains(spark))
-        .select("category", "domain", "n", "pages")
-        .distinct()
+        bag.filter("domain IS NOT NULL")
+        .groupBy("domain")
+        .agg(F.count("*").alias("n"), F.count_distinct("page_id").alias("pages"))
+        .select(
+            F.explode(scoring.domain_categories(F.col("domain"))).alias("category"),
+            "domain",
+            "n",
+            "pages",
+        )
     )
 
 
@@ -1431,18 +1441,20 @@ def security_summary(spark, sf):
 
 
 @query(
-    "SELECT d.domain, CASE WHEN length(d.domain) % 2 = 0 THEN 'r' || length(d.domain) END AS registrar,"
-    " CASE WHEN length(d.domain) % 2 = 1 THEN 'no record' END AS error FROM (SELECT DISTINCT"
-    f" {host('url')} AS domain FROM req) d",
+    "SELECT d.domain, 'r' || length(i.domain) AS registrar, CASE WHEN i.domain IS NULL THEN 'no record' END"
+    f" AS error FROM (SELECT DISTINCT {host('url')} AS domain FROM req) d LEFT JOIN"
+    f" (SELECT DISTINCT {host('url')} AS domain FROM pages WHERE page_id % 2 = 0) i ON d.domain = i.domain",
     "req",
 )
 def domain_enrichment(spark, sf):
-    """Hosts of the request log with their record; every second one has none."""
-    log = requests_of_pages(pages_of(spark, sf))
-    hosts = log.select(urls.netloc(F.col("url")).alias("domain")).distinct()
-    info = hosts.filter(F.length("domain") % 2 == 0).select(
-        "domain", F.concat(F.lit("r"), F.length("domain")).alias("registrar")
+    """Hosts of the request log with their record; only hosts of even pages have one."""
+    even = load(spark, sf, "pages").filter(F.col("page_id") % 2 == 0)
+    info = (
+        even.select(urls.netloc(F.col("url")).alias("domain"))
+        .distinct()
+        .select("domain", F.concat(F.lit("r"), F.length("domain")).alias("registrar"))
     )
+    log = requests_of_pages(pages_of(spark, sf))
     return enrich.domain_analysis(log, info).select("domain", "registrar", "error")
 
 

@@ -4,9 +4,11 @@ import os
 import re
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from trackscan import fixed_values as fixed
+from trackscan.functions import tables
 from trackscan.operators import catalog
 from trackscan.sources import catalog_files, seeds
 
@@ -83,16 +85,18 @@ HTMLS = [
 ]
 
 
-def test_detection_in_row_and_by_table(spark, pages):
+@pytest.mark.parametrize("limit", [None, 2000, 5])
+def test_detection_in_row_and_by_table(spark, pages, limit, monkeypatch):
     want = {i: expected(u, h) if h else {} for i, (u, h) in enumerate(HTMLS)}
-    for found in (
-        catalog.detect_in_pages(pages(*HTMLS)),
-        catalog.detect_with_table(pages(*HTMLS), seeds.catalogue(spark)),
-    ):
-        got = {i: {} for i in range(len(HTMLS))}
-        for r in found.collect():
-            got[r.page_id][r.tracker_id] = [tuple(m) for m in r.matches]
-        assert got == want
+    if limit:
+        monkeypatch.setattr(tables, "PLAN_RULES", limit)
+        found = catalog.detect_with_table(pages(*HTMLS), seeds.catalogue(spark))
+    else:
+        found = catalog.detect_in_pages(pages(*HTMLS))
+    got = {i: {} for i in range(len(HTMLS))}
+    for r in found.collect():
+        got[r.page_id][r.tracker_id] = [tuple(m) for m in r.matches]
+    assert got == want
 
 
 def test_csv_round_trip(spark):

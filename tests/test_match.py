@@ -2,10 +2,12 @@
 
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from trackscan import fixed_values as fixed
-from trackscan.functions import match
+from trackscan.functions import match, tables
+from trackscan.operators import scripts
 
 TEXTS = [
     "",
@@ -69,3 +71,13 @@ def test_plain_and_required_text():
     assert match.required_text(r"\x41bc") is None
     assert match.required_text("a|b") is None
     assert match.required_text("ab?") is None
+
+
+@pytest.mark.parametrize("limit", [2000, 1])
+def test_pattern_table(spark, limit, monkeypatch):
+    monkeypatch.setattr(tables, "PLAN_RULES", limit)
+    patterns = [("a", r"track\("), ("b", r"track\("), ("b", r"send\w*"), ("c", "none")]
+    bodies = spark.createDataFrame([(1, 0, "Track( SENDER"), (2, 0, "x")], "page_id int, pos int, body string")
+    table = spark.createDataFrame(patterns, "family string, pattern string")
+    rows = scripts.join_patterns(bodies, table).collect()
+    assert sorted((r.page_id, r.family, r.pattern) for r in rows) == sorted((1, *p) for p in patterns[:3])

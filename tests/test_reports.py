@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trackscan import scan
+from trackscan.functions import tables
 from trackscan.operators import anomaly, cluster, enrich, security
 from trackscan.plans import reports, trends
 from trackscan.sources import catalog_files, history, pages as page_source, results
@@ -60,7 +61,9 @@ def test_change_alerts(hot_history):
     assert {r.result_hash for r in trends.change_alerts(df).collect()} == want
 
 
-def test_zscores_with_hot_and_flat_metrics(spark):
+@pytest.mark.parametrize("limit", [100_000, 1])
+def test_zscores_with_hot_and_flat_metrics(spark, limit, monkeypatch):
+    monkeypatch.setattr(tables, "BROADCAST_ROWS", limit)
     rng = random.Random(3)
     rows = [("hot", rng.gauss(0, 1)) for _ in range(3000)] + [("flat", 5.0)] * 50
     rows += [("few", float(v)) for v in (1, 1, 1, 1, 1, 1, 9)] + [(None, 1.0), (None, 2.0)]

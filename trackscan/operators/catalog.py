@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackscan.fixed_values import CATALOGUE
+from trackscan.fixed_values import CATALOGUE, CATALOGUE_FIELDS
 from trackscan.functions.match import (
     IGNORE_CASE,
     RULE,
@@ -18,10 +18,12 @@ from trackscan.functions.match import (
     rules,
     texts_found,
 )
+from trackscan.functions.tables import rows_if_few
 from trackscan.functions.text import title
 from trackscan.sources.seeds import catalogue
 
 REGEX, DOMAIN = "regex_match", "domain_match"
+HIGH_RISK = ("high", "critical")
 ATTRIBUTES = (
     "name",
     "category",
@@ -97,10 +99,13 @@ def detect_in_pages(pages: DataFrame, trackers: Sequence[tuple] = CATALOGUE) ->
 def detect_with_table(pages: DataFrame, trackers: DataFrame) -> DataFrame:
     """The same detection against a catalogue known only at run time.
 
-    Matches are found per page and rule, and rejoin as short rows: the page text is not part
-    of the exchange.
+    A catalogue of moderate size becomes part of the plan. Beyond that pages and rules are
+    joined on the match; matches rejoin as short rows, without the page text.
     """
-    rules = trackers.select(
+    known = rows_if_few(trackers.orderBy("ord"))
+    if known is not None:
+        return detect_in_pages(pages, [tuple(r[f] for f in CATALOGUE_FIELDS) for r in known])
+    table = trackers.select(
         "tracker_id", F.posexplode("patterns").alias("pos", "pattern"), F.lit(REGEX).alias("type")
     ).unionByName(
         trackers.select(
@@ -113,7 +118,7 @@ def detect_with_table(pages: DataFrame, trackers: DataFrame) -> DataFrame:
         "CASE WHEN type = 'domain_match' THEN contains(html, pattern) OR contains(url, pattern)"
         f" ELSE html rlike concat('{IGNORE_CASE}', pattern) END"
     )
-    found = pages.filter(F.length("html") > 0).join(rules, hit)
+    found = pages.filter(F.length("html") > 0).join(table, hit)
     one = F.struct((F.col("type") == DOMAIN).alias("host"), "pos", "pattern", "type")
     return (
         found.groupBy("page_id", "tracker_id")
@@ -136,7 +141,7 @@ def by_category(trackers: DataFrame, category: str) -> DataFrame:
 
 
 def high_risk(trackers: DataFrame) -> DataFrame:
-    return trackers.filter(F.col("risk_level").isin("high", "critical"))
+    return trackers.filter(F.col("risk_level").isin(*HIGH_RISK))
 
 
 def lookup(rows: DataFrame, trackers: DataFrame) -> DataFrame:
@@ -152,48 +157,58 @@ def lookup(rows: DataFrame, trackers: DataFrame) -> DataFrame:
     return rows.join(first, "domain", "left")
 
 
-def statistics(trackers: DataFrame) -> DataFrame:
-    """Totals and counts per category, risk and method as (statistic, value, count) rows."""
-    totals = trackers.agg(
-        F.count("*").alias("total_trackers"),
-        F.coalesce(F.sum(F.size("domains")), F.lit(0)).alias("total_domains"),
-        F.coalesce(F.sum(F.size("patterns")), F.lit(0)).alias("total_patterns"),
-        F.count_if("gdpr_relevant").alias("gdpr_relevant_count"),
-        F.count_if("ccpa_relevant").alias("ccpa_relevant_count"),
-    )
-    total_rows = totals.unpivot([], totals.columns, "statistic", "count").select(
-        "statistic", F.lit("").alias("value"), F.col("count").cast("long").alias("count")
-    )
-    grouped = (
-        trackers.groupingSets(
-            [["category"], ["risk_level"], ["detection_method"]],
-            "category",
-            "risk_level",
-            "detection_method",
+def _statistic_rows(trackers: DataFrame, listing: bool) -> DataFrame:
+    """Totals, counts per group, and on demand the high-risk trackers, in one pass."""
+    groups = ["category", "risk_level", "detection_method"]
+    keys = [*groups, "name", "tracker_id"]
+    sets = [[], *[[g] for g in groups]]
+    if listing:
+        sets.append(["category", "risk_level", "name", "tracker_id"])
+
+    def row(statistic, value: Column, count: Column) -> Column:
+        return F.struct(
+            statistic.alias("statistic"), value.alias("value"), count.cast("long").alias("count")
         )
-        .agg(F.count("*").alias("count"), F.grouping_id().alias("set"))
-        .select(
-            F.when(F.col("set") == 3, "category")
-            .when(F.col("set") == 5, "risk_level")
-            .otherwise("detection_method")
-            .alias("statistic"),
-            F.coalesce("category", "risk_level", "detection_method").alias("value"),
-            "count",
+
+    def is_set(*kept: str) -> Column:
+        """Whether a row is of the grouping set of these keys; each lost key is one bit."""
+        return F.col("_set") == sum(
+            1 << n for n, key in enumerate(reversed(keys)) if key not in kept
         )
+
+    measures = {
+        "total_trackers": F.count("*"),
+        "total_domains": F.sum(F.size("domains")),
+        "total_patterns": F.sum(F.size("patterns")),
+        "gdpr_relevant_count": F.count_if("gdpr_relevant"),
+        "ccpa_relevant_count": F.count_if("ccpa_relevant"),
+    }
+    totals = F.array(*[row(F.lit(n), F.lit(""), F.col(n)) for n in measures])
+    text = F.concat_ws("", "name", F.lit(" ("), "category", F.lit(") - "), "risk_level")
+    rows = F.when(is_set(), totals)
+    for g in groups:
+        rows = rows.when(is_set(g), F.array(row(F.lit(g), F.col(g), F.col("total_trackers"))))
+    risky = F.col("risk_level").isin(*HIGH_RISK)
+    rows = rows.when(risky, F.array(row(F.lit("high_risk_tracker"), text, F.lit(1))))
+    return (
+        trackers.groupingSets(sets, *keys)
+        .agg(*[m.alias(n) for n, m in measures.items()], F.grouping_id().alias("_set"))
+        .select(F.inline(rows))
     )
-    return total_rows.unionByName(grouped)
+
+
+def statistics(trackers: DataFrame) -> DataFrame:
+    """Totals and counts per category, risk and method as (statistic, value, count) rows."""
+    return _statistic_rows(trackers, listing=False)
 
 
 def summary(trackers: DataFrame) -> DataFrame:
     """The statistics with readable names, and the high-risk trackers, as rows."""
-    risky = high_risk(trackers).select(
-        F.lit("high_risk_tracker").alias("statistic"),
-        F.concat_ws("", "name", F.lit(" ("), "category", F.lit(") - "), "risk_level").alias("value"),
-        F.lit(1).cast("long").alias("count"),
-    )
-    return (
-        statistics(trackers).withColumn("value", title(F.col("value"))).unionByName(risky)
+    rows = _statistic_rows(trackers, listing=True)
+    readable = F.when(F.col("statistic") == "high_risk_tracker", F.col("value")).otherwise(
+        title(F.col("value"))
     )
+    return rows.withColumn("value", readable)
 
 
 def compliance(detected: DataFrame) -> DataFrame:

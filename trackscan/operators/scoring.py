@@ -30,6 +30,11 @@ def in_category(domain: Column, category: str) -> Column:
     return F.exists(strings(CATEGORY_DOMAINS[category]), lambda c: domain.contains(c))
 
 
+def domain_categories(domain: Column) -> Column:
+    """Sorted categories of one domain."""
+    return categories(F.array(domain))
+
+
 def categories(domains: Column) -> Column:
     """Sorted set of the categories that any of the domains belongs to."""
     tests = [

@@ -18,6 +18,7 @@ from trackscan.functions.match import (
     strings,
     texts_found,
 )
+from trackscan.functions.tables import rows_if_few
 from trackscan.functions.text import cut
 
 SCRIPT_ROW = (
@@ -92,8 +93,17 @@ def script_bodies(pages: DataFrame) -> DataFrame:
 def join_patterns(bodies: DataFrame, patterns: DataFrame) -> DataFrame:
     """Scripts against a table of user patterns, one row per script and matching pattern.
 
-    No key links a text and a regular expression, so every text meets every pattern. The
-    pattern table is left without a hint: Spark broadcasts it only if its size allows.
+    A table of moderate size becomes part of the plan, as the built-in list is, and the hits
+    find their other columns by equality. A larger one is joined on the match itself.
     """
-    hit = F.expr(f"body rlike concat('{IGNORE_CASE}', pattern)")
-    return bodies.join(patterns, hit).select(*bodies.columns, *patterns.columns)
+    known = rows_if_few(patterns)
+    columns = [*bodies.columns, *patterns.columns]
+    if known is None:
+        hit = F.expr(f"body rlike concat('{IGNORE_CASE}', pattern)")
+        return bodies.join(patterns, hit).select(*columns)
+    wanted = list(dict.fromkeys(r["pattern"] for r in known if r["pattern"] is not None))
+    found = texts_found(fold(F.col("body")), needed_texts(wanted))
+    hits = bodies.withColumn("_found", found).select(
+        *bodies.columns, F.explode(pattern_hits(wanted, F.col("body"), F.col("_found"))).alias("pattern")
+    )
+    return hits.join(F.broadcast(patterns), "pattern").select(*columns)

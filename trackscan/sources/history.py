@@ -37,10 +37,10 @@ def history_rows(scanned: DataFrame) -> DataFrame:
 def append(history: DataFrame, path: str, files_per_day: int = 32) -> None:
     """Append to the history table, split by date.
 
-    Rows of one date go to a fixed number of writers, so neither does a busy date end in one
-    task nor a back-fill in one file per task and date.
+    Rows of one date go to a fixed number of writers, so neither does a busy date or url end
+    in one task nor a back-fill in one file per task and date.
     """
-    share = F.pmod(F.xxhash64("url"), F.lit(files_per_day))
+    share = F.pmod(F.xxhash64("url", "scan_ts"), F.lit(files_per_day))
     history.repartition("scan_date", share).write.mode("append").partitionBy(
         "scan_date"
     ).parquet(path)

@@ -38,11 +38,12 @@ def spread(pages: DataFrame) -> DataFrame:
 
     A small snapshot is one file with one row group, which one core would lex alone. Only
     input below the limit is moved, so a large crawl is never shuffled: it has splits enough.
+    Rows are dealt out in turn, so repeated page numbers do not meet in one task.
     """
     cores = pages.sparkSession.sparkContext.defaultParallelism
     if plan_size(pages) >= cores * SPREAD_BELOW_BYTES:
         return pages
-    return pages.repartition(cores, "page_id")
+    return pages.repartition(cores)
 
 
 def fetched(scanned: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ CATALOGUE_SCHEMA = (
 
 def constant_table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
     """A table from a handful of rows that are part of the program."""
-    text = F.lit(json.dumps(rows))
+    text = F.lit(json.dumps(rows, default=str))
     return spark.range(1).select(F.inline(F.from_json(text, f"array<struct<{schema}>>")))
 
 
