@@ -16,12 +16,14 @@ def cluster_domains(domains: DataFrame, k: int = 5, seed: int = 42, n: int = 3)
     Fewer than k hosts form one cluster. Features are hashed character n-grams, which need no
     fitted vocabulary.
     """
-    # Sorting fixes the row order that the seeded start of the clustering depends on.
+    # Sorting fixes the row order that the seeded start of the clustering depends on. The hosts
+    # are kept, since counting, fitting and labelling would each go back to the pages.
     hosts = (
         domains.select("domain")
         .filter(F.col("domain") != "")
         .distinct()
         .sortWithinPartitions("domain")
+        .persist()
     )
     padded = F.concat(F.lit("^" * (n - 1)), F.lower("domain"), F.lit("$" * (n - 1)))
     chars = hosts.withColumn("chars", F.split(padded, ""))
@@ -30,8 +32,7 @@ def cluster_domains(domains: DataFrame, k: int = 5, seed: int = 42, n: int = 3)
     features = (
         Normalizer(inputCol="tf", outputCol="features").transform(hashed).select("domain", "features")
     )
-    # One cheap action decides whether there is anything to cluster.
-    if len(features.take(k)) < k:
+    if hosts.limit(k).count() < k:
         return hosts.withColumn("cluster", F.lit(0))
     model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(features)
     return model.transform(features).select("domain", "cluster")
