@@ -4,13 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trackscan.llm import simhash
+from trackscan.llm import simhash, token_files
 from trackscan.llm.common import table
 
 
+BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
+
+
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = token_files.round_trip(table(spark, sf_dir, "documents"), BYTE_BPE)
+    return found.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op7_simhash": op7_simhash}
+QUERIES = {"op5_token_files": op5_token_files, "op7_simhash": op7_simhash}
 SQL: dict[str, str] = {}
