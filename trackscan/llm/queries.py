@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trackscan.llm import simhash, token_files
+from trackscan.llm import packing, simhash, token_files
 from trackscan.llm.common import table
 
 
@@ -20,5 +20,13 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op5_token_files": op5_token_files, "op7_simhash": op7_simhash}
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"), WORD_BPE)
+
+
+QUERIES = {
+    "op5_token_files": op5_token_files,
+    "op7_simhash": op7_simhash,
+    "op8_packing": op8_packing,
+}
 SQL: dict[str, str] = {}
