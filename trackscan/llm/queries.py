@@ -3,14 +3,22 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from trackscan.llm import packing, quality, simhash, token_files
+from trackscan.llm import mixing, packing, quality, secrets, simhash, token_files
 from trackscan.llm.common import table
 
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mixing.assign(table(spark, sf_dir, "documents"))
+    return rows.withColumn("position", F.get("copies", F.lit(0))["position"]).select(
+        "doc_id", "size", "source_size", "target", "taken", "position"
+    ).orderBy("position", "doc_id")
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = token_files.round_trip(table(spark, sf_dir, "documents"), BYTE_BPE)
     return found.select("doc_id", "start", "n_tokens", "ids_crc32")
@@ -28,14 +36,21 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return secrets.scanned(docs, secrets.fit(docs))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
 QUERIES = {
+    "op3_mixing": op3_mixing,
     "op5_token_files": op5_token_files,
     "op6_quality": op6_quality,
     "op7_simhash": op7_simhash,
     "op8_packing": op8_packing,
+    "op9_secrets": op9_secrets,
 }
 SQL: dict[str, str] = {}
