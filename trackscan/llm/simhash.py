@@ -11,13 +11,13 @@ links rather than all pairs, so a dense group of n fingerprints costs n rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackscan.llm.common import saved, ship
@@ -53,21 +53,27 @@ def fingerprint(text: str | None, shingle_words: int = SHINGLE_WORDS) -> int:
     return int(np.packbits(counts.ravel() * 2 > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """Rows (doc_id, fp) for every row of docs; fp holds the 64 bits as a signed long."""
+def fingerprints(
+    docs: DataFrame, shingle_words: int = SHINGLE_WORDS, keep: Sequence[str] = ("doc_id",)
+) -> DataFrame:
+    """Rows (*keep, fp) for every row of docs; fp holds the 64 bits as a signed long."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.fromiter(
-                (fingerprint(t.as_py(), shingle_words) for t in batch.column(1)),
+                (fingerprint(t.as_py(), shingle_words) for t in batch.column(0)),
                 np.uint64,
                 batch.num_rows,
             )
-            yield pa.record_batch([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.record_batch(
+                [*batch.columns[1:], pa.array(fps.view(np.int64))], [*keep, "fp"]
+            )
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    text = F.col("text").cast("string").alias("read")
+    kept = docs.select(*keep)
+    schema = ", ".join(f"`{n}` {t}" for n, t in kept.dtypes)
+    return docs.select(text, *keep).mapInArrow(run, schema + ", fp long")
 
 
 def blocks(max_bits: int) -> list[tuple[int, int]]:
@@ -224,14 +230,54 @@ def near_duplicates(
     keep their rows. component_id is the smallest doc_id reachable by links; a row without a
     doc_id gets a component too, which is null if no member has an id. Other columns are ignored.
     """
-    own = saved(fingerprints(docs, shingle_words), "fingerprints")
-    nodes = own.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    found = components(links(nodes.select("fp"), max_bits))
-    rooted = nodes.join(found.select(F.col("node").alias("fp"), "root"), "fp", "left").select(
-        "fp", "first", F.coalesce("root", "fp").alias("root")
-    )
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    own = saved(fingerprints(ids, shingle_words), "fingerprints")
+    rooted = _rooted(own, max_bits)
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     by_fp = rooted.select("fp", "root").join(smallest, "root").select("fp", "component_id")
     return own.join(by_fp, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def _rooted(own: DataFrame, max_bits: int) -> DataFrame:
+    """Rows (fp, first, root): each fingerprint with its smallest doc_id and its component."""
+    nodes = own.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    found = components(links(nodes.select("fp"), max_bits))
+    return nodes.join(found.select(F.col("node").alias("fp"), "root"), "fp", "left").select(
+        "fp", "first", F.coalesce("root", "fp").alias("root")
+    )
+
+
+def representatives(
+    docs: DataFrame, max_bits: int = MAX_BITS, shingle_words: int = SHINGLE_WORDS
+) -> DataFrame:
+    """One row of docs for each group of near duplicates: that with the smallest doc_id.
+
+    Of rows with that doc_id the one with the smallest fingerprint and then text stays; a group
+    without ids keeps one row too. The columns are those of docs.
+    """
+    columns = docs.columns
+    own = saved(fingerprints(docs, shingle_words, columns), "fingerprints").withColumnRenamed(
+        "fp", "__fp"
+    )
+    ids = own.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__fp").alias("fp"))
+    first = F.struct(F.col("first").isNull(), "first", "fp")
+    chosen = (
+        _rooted(ids, max_bits)
+        .groupBy("root")
+        .agg(F.min(first).alias("first"))
+        .select(
+            F.coalesce(F.col("first.first").cast("string"), F.lit("")).alias("__id"),
+            F.col("first.fp").alias("__fp"),
+        )
+    )
+    key = F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit(""))
+    place = F.row_number().over(Window.partitionBy("__id", "__fp").orderBy("text"))
+    return (
+        own.withColumn("__id", key)
+        .join(chosen, ["__id", "__fp"], "left_semi")
+        .withColumn("__place", place)
+        .filter(F.col("__place") == 1)
+        .select(*columns)
+    )
