@@ -5,10 +5,51 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackscan.llm import mixing, packing, quality, secrets, simhash, token_files
+from trackscan.llm import line_dedup, mixing, packing, quality, secrets, simhash, token_files
 from trackscan.llm.common import table
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    chars = F.aggregate("removed", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    return line_dedup.deduplicated(docs).select(
+        "doc_id",
+        "n_units",
+        F.size("removed").cast("long").alias("n_removed"),
+        chars.alias("removed_chars"),
+        F.array_join(
+            F.transform("removed", lambda x: F.concat_ws("-", x["start"], x["end"])), ","
+        ).alias("removed_spans"),
+        F.length("text").cast("long").alias("kept_chars"),
+        F.md5("text").alias("kept_md5"),
+    )
+
+
+OP4_SQL = r"""
+WITH lines AS (
+    SELECT doc_id, pos, line,
+           coalesce(sum(length(line) + 1) OVER (
+               PARTITION BY doc_id ORDER BY pos
+               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS a,
+           lower(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'), ' ')) AS unit
+    FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+                 generate_subscripts(string_split(text, chr(10)), 1) AS pos
+          FROM documents)
+), ranked AS (
+    SELECT *, length(unit) - length(replace(unit, ' ', '')) + 1 >= 5 AND unit <> ''
+              AND row_number() OVER (PARTITION BY unit ORDER BY doc_id, a) > 1 AS gone
+    FROM lines
+)
+SELECT doc_id, count(*) AS n_units, count(*) FILTER (gone) AS n_removed,
+       coalesce(sum(length(line)) FILTER (gone), 0)::BIGINT AS removed_chars,
+       coalesce(string_agg(a || '-' || (a + length(line)), ',' ORDER BY a) FILTER (gone), '')
+           AS removed_spans,
+       length(coalesce(string_agg(line, chr(10) ORDER BY a) FILTER (NOT gone), ''))::BIGINT
+           AS kept_chars,
+       md5(coalesce(string_agg(line, chr(10) ORDER BY a) FILTER (NOT gone), '')) AS kept_md5
+FROM ranked GROUP BY doc_id
+"""
+
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 
 
@@ -46,6 +87,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_line_dedup": op4_line_dedup,
     "op3_mixing": op3_mixing,
     "op5_token_files": op5_token_files,
     "op6_quality": op6_quality,
@@ -53,4 +95,4 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_secrets": op9_secrets,
 }
-SQL: dict[str, str] = {}
+SQL = {"op4_line_dedup": OP4_SQL}
