@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackscan.llm import line_dedup, mixing, packing, quality, secrets, simhash, token_files
+from trackscan.llm import cover_tree, line_dedup, mih, mixing, packing, quality, secrets, simhash, token_files
 from trackscan.llm.common import table
 
 
@@ -53,6 +53,26 @@ FROM ranked GROUP BY doc_id
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 
 
+def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = mih.sign_codes(table(spark, sf_dir, "embeddings"))
+    return mih.top_k(codes, codes.filter(F.col("id") % 100 == 0), k=10)
+
+
+OP2_SQL = """
+WITH codes AS (
+    SELECT vec_id AS id, embedding FROM embeddings
+), near AS (
+    SELECT q.id AS query_id, c.id,
+           list_sum(list_transform(generate_series(1, 64),
+               lambda i: ((q.embedding[i] > 0) <> (c.embedding[i] > 0))::BIGINT))::BIGINT AS distance
+    FROM codes q JOIN codes c ON q.id % 100 = 0 AND q.id <> c.id
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM near
+)
+SELECT query_id, rank, id, distance FROM ranked WHERE rank <= 10
+"""
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.assign(table(spark, sf_dir, "documents"))
     return rows.withColumn("position", F.get("copies", F.lit(0))["position"]).select(
@@ -86,13 +106,19 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op10_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
-    "op4_line_dedup": op4_line_dedup,
+    "op2_top_k": op2_top_k,
     "op3_mixing": op3_mixing,
+    "op4_line_dedup": op4_line_dedup,
     "op5_token_files": op5_token_files,
     "op6_quality": op6_quality,
     "op7_simhash": op7_simhash,
     "op8_packing": op8_packing,
     "op9_secrets": op9_secrets,
+    "op10_cover_tree": op10_cover_tree,
 }
-SQL = {"op4_line_dedup": OP4_SQL}
+SQL = {"op2_top_k": OP2_SQL, "op4_line_dedup": OP4_SQL}
