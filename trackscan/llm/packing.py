@@ -50,7 +50,7 @@ def pieces(
                 part = batch.slice(at, TEXTS_AT_ONCE)
                 rows = []
                 texts = [x or "" for x in part.column(1).to_pylist()]
-                for key, ids in zip(part.column(0).to_pylist(), encode(texts), strict=True):
+                for key, ids in zip(part.column(0).to_pylist(), map(encode, texts), strict=True):
                     ids += end
                     for k, first in enumerate(range(0, len(ids), 4 * size)):
                         own = ids[first : first + 4 * size]

@@ -54,7 +54,7 @@ def write(
             for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
                 part = batch.slice(at, TEXTS_AT_ONCE)
                 texts = [x or "" for x in part.column(1).to_pylist()]
-                for key, found in zip(part.column(0).to_pylist(), encode(texts), strict=True):
+                for key, found in zip(part.column(0).to_pylist(), map(encode, texts), strict=True):
                     if size and size + len(found) > 4 * file_tokens:
                         yield _one(assemble(keys, ids))
                         keys, ids, size = [], [], 0

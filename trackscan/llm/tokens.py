@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 from array import array
 
@@ -11,11 +12,37 @@ from tokenizers import Tokenizer
 #: A piece starts with its white space. No token of the vocabularies here spans a border between
 #: a character that is not white space and one that is, so pieces can be encoded one by one.
 _PIECES = re.compile(r"\s*\S+|\s+").findall
-#: Characters on which libraries disagree as to being white space; such texts are encoded whole.
-_ODD = re.compile(
-    "[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]"
-).search
-MEMO_PIECES, MEMO_PIECE_CHARS = 400_000, 64
+#: White space of some library besides the plain kind; texts with it are encoded whole.
+_ODD = "".join(
+    map(
+        chr,
+        (*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F,
+         0x205F, 0x3000),
+    )
+)
+#: What a text doesn't have if single spaces and line ends are all that is between its words.
+_UNEVEN = ("  ", "\n\n", " \n", "\n ", "\t", "\r", "\x0b", "\x0c", *_ODD)
+MEMO_PIECES, MEMO_PIECE_CHARS = 1_000_000, 64
+
+
+class _Memo(dict):
+    """Ids by piece, where a piece without white space in front stands for one after a space."""
+
+    def __init__(self, library: Tokenizer) -> None:
+        self.library = library
+
+    def __missing__(self, piece: str) -> bytes:
+        text = piece if piece[0].isspace() else " " + piece
+        ids = encoded(self.library, text)
+        if len(piece) <= MEMO_PIECE_CHARS:
+            if len(self) >= MEMO_PIECES:
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
+def encoded(library: Tokenizer, text: str) -> bytes:
+    return array("I", library.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
 
 
 class Encoder:
@@ -26,30 +53,26 @@ class Encoder:
     """
 
     def __init__(self, path: str) -> None:
+        # the task is the unit of parallel work; threads of the library would compete with it
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        self.memo: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        found = self.library.encode_batch_fast(texts, add_special_tokens=False)
-        return [array("I", x.ids).tobytes() for x in found]
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self.memo) > MEMO_PIECES:
-            self.memo.clear()
-        memo = self.memo
-        parts = [[x] if _ODD(x) else _PIECES(x) for x in texts]
-        new: set[str] = set()
-        for pieces in parts:
-            new.update(pieces)
-        new.difference_update(memo)
-        unknown = list(new)
-        once: dict[str, bytes] = {}
-        for piece, ids in zip(unknown, self._ids(unknown), strict=True):
-            (memo if len(piece) <= MEMO_PIECE_CHARS else once)[piece] = ids
-        if not once:
-            return [b"".join(map(memo.__getitem__, pieces)) for pieces in parts]
-        return [b"".join([memo[x] if x in memo else once[x] for x in pieces]) for pieces in parts]
+        self.memo = _Memo(self.library)
+
+    def __call__(self, text: str) -> bytes:
+        if not text:
+            return b""
+        if text[0] > " " and text[-1] > " " and not any(x in text for x in _UNEVEN):
+            pieces = text.replace("\n", " \n").split(" ")
+        elif any(x in text for x in _ODD):
+            return encoded(self.library, text)
+        else:
+            pieces = _PIECES(text)
+            # a piece after one space is known without it
+            pieces[1:] = [x[1:] if x[0] == " " and x[1:2] > " " else x for x in pieces[1:]]
+        # the first piece has no space before it
+        first = encoded(self.library, pieces[0])
+        return first + b"".join(map(self.memo.__getitem__, pieces[1:]))
 
 
 _encoders: dict[str, Encoder] = {}
