@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackscan.llm import cover_tree, line_dedup, mih, mixing, packing, quality, secrets, simhash, token_files
+from trackscan.llm import cover_tree, html_text, line_dedup, mih, mixing, packing, quality, secrets, simhash, token_files
 from trackscan.llm.common import table
 
 
@@ -53,6 +53,11 @@ FROM ranked GROUP BY doc_id
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "html")
+    return html_text.extracted(pages).select("page_id", "title", "text")
+
+
 def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     codes = mih.sign_codes(table(spark, sf_dir, "embeddings"))
     return mih.top_k(codes, codes.filter(F.col("id") % 100 == 0), k=10)
@@ -111,6 +116,7 @@ def op10_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_html_text": op1_html_text,
     "op2_top_k": op2_top_k,
     "op3_mixing": op3_mixing,
     "op4_line_dedup": op4_line_dedup,
