@@ -51,19 +51,18 @@ def targets(sources: DataFrame, budget: float = BUDGET, most: float = MOST_REPEA
         most * F.sum("source_size").over(upto), F.lit(0.0)
     )
     level = sources.filter(live).select(
-        "source", "source_size", "weight", (left / F.sum("weight").over(after)).alias("level")
+        "source",
+        "source_size",
+        "weight",
+        F.row_number().over(full).alias("n"),
+        (left / F.sum("weight").over(after)).alias("level"),
     )
     # the first source that its level doesn't fill sets the level of all from there on
-    fits = F.col("level") * F.col("weight") <= most * F.col("source_size")
-    level = level.withColumn("set", F.min(F.when(fits, F.struct(F.col("source_size") / F.col("weight"), "level"))).over(total))
-    level = level.withColumn(
-        "target",
-        F.least(
-            F.col("set.level") * F.col("weight"), most * F.col("source_size").cast("double")
-        ),
-    )
-    level = level.withColumn(
-        "target", F.coalesce("target", most * F.col("source_size").cast("double"))
+    most_words = most * F.col("source_size").cast("double")
+    fits = F.col("level") * F.col("weight") <= most_words
+    first = F.min(F.when(fits, F.struct("n", "level"))).over(total)
+    level = level.withColumn("set", first["level"]).withColumn(
+        "target", F.coalesce(F.least(F.col("set") * F.col("weight"), most_words), most_words)
     )
     return level.select("source", "source_size", "weight", "target").union(
         sources.filter(~live).select("source", "source_size", "weight", F.lit(0.0))
