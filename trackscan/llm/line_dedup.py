@@ -110,7 +110,7 @@ def deduplicated(
     Other columns stay; columns named n_units or removed are replaced.
     """
     rows = docs.drop("n_units", "removed")
-    spans = F.array_sort(F.collect_list(F.struct("start", "end")))
+    spans = F.array_sort(F.collect_set(F.struct("start", "end")))  # equal rows give equal spans
     gone = (
         repeats(saved(units(rows, unit, least_words), "units"))
         .groupBy("no_id", "doc_id", "tie")

@@ -5,8 +5,8 @@ paths differ, and drops a pair of nodes as soon as the budget is exceeded. To sp
 executors the 64 bits are cut into budget + 1 blocks. Two fingerprints within the budget agree on
 one whole block, so with that block first they share a node of the trie at the block's depth: each
 such node of the budget + 1 tries is one unit of work. A node with more than ``cap`` fingerprints
-is cut into chunks whose pairs are joined separately. Every unit returns a spanning forest of its
-links rather than all pairs, so a dense group of n fingerprints costs n rows.
+is cut into chunks whose pairs are joined separately. Every unit returns a forest that joins what
+its links join, rather than all pairs, so a dense group of n fingerprints costs n rows.
 """
 
 from __future__ import annotations
@@ -83,9 +83,10 @@ def blocks(max_bits: int) -> list[tuple[int, int]]:
 
 
 def links(fps: DataFrame, max_bits: int = MAX_BITS, cap: int = CAP) -> DataFrame:
-    """Rows (a, b): links between distinct fingerprints within max_bits that span all components.
+    """Rows (a, b) whose components are those of all links of at most max_bits bits.
 
-    fps has one column fp of distinct non-null longs.
+    A row joins a fingerprint with one that it reaches by links in the same unit. fps has one
+    column fp of distinct non-null longs.
     """
     ship(fps.sparkSession)
     parts = blocks(max_bits)
