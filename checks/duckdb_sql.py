@@ -25,14 +25,17 @@ def rows(values) -> str:
     return ", ".join("(" + ", ".join(cell(v) for v in row) + ")" for row in values)
 
 
-AT = r"""(?:[^>"']|"[^"]*"|'[^']*')*"""
+# Without possessive groups: the alternatives of a tag's text exclude each other instead.
+AT = r"""(?:[^>=]|=+\s*"[^"]*"|=+\s*'[^']*'|=+\s*[^"'\s>=])*(?:=+\s*)?"""
+OPEN_END = r"""(?:=+\s*(?:"[^"]*|'[^']*))?\z"""
 OPEN = {name: rf"<{name}(?:[\s/]{AT})?>" for name in ("script", "style", "noscript")}
 RAW = "|".join(rf"{OPEN[n]}.*?(?:</{n}\s*>|\z)" for n in ("script", "style"))
-TOKEN = rf"(?is)<!--.*?-->|{RAW}|</?[a-z][a-z0-9]*{AT}>"
-NOSCRIPT = rf"(?is)<!--.*?-->|{RAW}|{OPEN['noscript']}.*?</noscript\s*>"
+TAG = rf"</?[a-z][a-z0-9]*{AT}"
+TOKEN = rf"(?is)(<!--.*?(?:-->|\z)|{RAW}|{TAG}>)|{TAG}{OPEN_END}"
+NOSCRIPT = rf"(?is)<!--.*?(?:-->|\z)|{RAW}|{OPEN['noscript']}.*?(?:</noscript\s*>|\z)|{TAG}(?:>|{OPEN_END})"
 HEAD = rf"(?s)^<[a-zA-Z][^\s/>]*({AT})>"
 BODY = rf"(?is)^<(?:script|style)(?:[\s/]{AT})?>(.*?)(?:</(?:script|style)\s*>)?\z"
-ATTRIBUTE = r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+))?"""
+ATTRIBUTE = r"""([^\s>/=]+)(?:\s*=+\s*("[^"]*"|'[^']*'|[^\s>]+))?"""
 BACKGROUND = r"""(?i)background-image:\s*url\(["']?([^"')]+)["']?\)"""
 NETLOC = r"^(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?//([^/?#]*)"
 PATH = r"^(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?(?://[^/?#]*)?([^?#]*)"
@@ -82,15 +85,15 @@ CTES = {
     "web": f"SELECT page_id, url, {PLANTED_HTML} AS html FROM pages",
     # All elements of a page in order.
     "toks": "SELECT page_id, url, unnest(l) AS tok, generate_subscripts(l, 1) AS i FROM"
-    f" (SELECT page_id, url, regexp_extract_all(html, {text(TOKEN)}) AS l FROM web)",
+    f" (SELECT page_id, url, regexp_extract_all(html, {text(TOKEN)}, 1) AS l FROM web)",
     "els": "SELECT page_id, url, false AS ns, row_number() OVER (PARTITION BY page_id ORDER BY i)"
     " - 1 AS pos, tok FROM toks WHERE regexp_matches(tok, '^<[a-zA-Z]')",
     # Elements inside noscript blocks.
     "nsblocks": "SELECT page_id, url, b, unnest(l) AS tok, generate_subscripts(l, 1) AS i FROM"
-    f" (SELECT page_id, url, b, regexp_extract_all(block, {text(TOKEN)}) AS l FROM"
+    f" (SELECT page_id, url, b, regexp_extract_all(block, {text(TOKEN)}, 1) AS l FROM"
     " (SELECT page_id, url, unnest(l) AS block, generate_subscripts(l, 1) AS b FROM"
     f" (SELECT page_id, url, regexp_extract_all(html, {text(NOSCRIPT)}) AS l FROM web))"
-    " WHERE regexp_matches(block, '(?i)^<noscript'))",
+    " WHERE regexp_matches(block, '(?i)^<noscript[\\s/>]'))",
     "nsels": "SELECT page_id, url, true AS ns, row_number() OVER (PARTITION BY page_id ORDER BY b, i)"
     " - 1 AS pos, tok FROM nsblocks WHERE regexp_matches(tok, '^<[a-zA-Z]')",
     "every": "SELECT *, lower(regexp_extract(tok, '^<([a-zA-Z][^\\s/>]*)', 1)) AS tag,"

@@ -113,3 +113,40 @@ def test_large_tags_do_not_overflow_the_stack(pages):
 
     rows = scan(pages(*htmls)).select("page_id", "pixel_count").orderBy("page_id").collect()
     assert [r.pixel_count for r in rows] == [0, 0, 0, 0, 0, 10000, 0]
+
+
+BROKEN = [
+    """<a title=it's href=x>q</a><img src="https://criteo.com/x.gif"> don't <b>z</b>""",
+    '<a href="x>q</a><img src="https://criteo.com/x.gif"><i class="c">',
+    "<p a='1\"2' b=\"3'4\" c=5'6 d>x<b e = 'f>g' h==i>y",
+    "<noscript><i>n</i><img src=1><!-- end",
+    "a < b <c d=e>f <1> <g/>",
+    "<a x=1 'y z' \"w>v<i>",
+]
+
+
+def test_broken_tags_match_tokenizer(pages):
+    found = lexed(pages, *BROKEN)
+    assert [[t for t, _ in x] for x in found] == [[t for t, _ in parsed(h)] for h in BROKEN]
+    assert found[0] == parsed(BROKEN[0])
+
+
+def test_left_open_at_the_end(pages):
+    htmls = ['<b>x</b><img src="https://criteo.com/x.gif>', "<b><img src=1 ", "<b><!-- <img src=1>"]
+    assert [[t for t, _ in x] for x in lexed(pages, *htmls)] == [["b"]] * 3
+
+
+@pytest.mark.parametrize("part", ["<!-- ", '<a "', "<noscript>", "<a b='", "<script ", "<style>", "</script", "<a =="])
+def test_broken_pages_take_linear_time(spark, part):
+    import time
+
+    def took(size):
+        html = F.repeat(F.lit(part), size // len(part))
+        rows = spark.range(1).select(html.alias("html"))
+        began = time.perf_counter()
+        rows.select(F.size(lex.tokens(F.col("html"))), F.size(lex.noscript_tokens(F.col("html")))).collect()
+        return time.perf_counter() - began
+
+    took(40_000)
+    small, large = took(400_000), took(4_000_000)
+    assert large < 30 * max(small, 0.3)

@@ -10,11 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Text of a tag up to its closing bracket; brackets inside quotes do not close it.
-AT = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
+# Text of a tag up to its closing bracket. A quote opens only as the start of a value, and then
+# hides brackets up to its end, or the end of the page.
+AT = r"""(?:[^>=]++|=++\s*+(?:"[^"]*+(?:"|\z)|'[^']*+(?:'|\z))?+)*+"""
 
 
-_END = {name: rf"</{name}\s*>" for name in ("script", "style", "noscript")}
+_END = {name: rf"</{name}\s*+>" for name in ("script", "style", "noscript")}
 
 
 def _named(name: str) -> str:
@@ -28,13 +29,16 @@ def _raw_text(name: str) -> str:
 
 
 # Alternatives share the opening bracket, so text between tags is passed over in one step each.
-_SKIPPED = f"!--.*?-->|{_raw_text('script')}|{_raw_text('style')}"
-TOKEN = f"(?is)<(?:{_SKIPPED}|/?[a-z][a-z0-9]*{AT}>)"
-NOSCRIPT = f"(?is)<(?:{_SKIPPED}|{_named('noscript')}.*?{_END['noscript']})"
+# What is left open takes the rest of the page, so that no character is read again from every
+# bracket before it: a comment and a noscript block as they are, a tag as no token.
+_SKIPPED = rf"!--.*?(?:-->|\z)|{_raw_text('script')}|{_raw_text('style')}"
+_TAG = f"/?[a-z][a-z0-9]*{AT}"
+TOKEN = rf"(?is)(<(?:{_SKIPPED}|{_TAG}>))|<{_TAG}\z"
+NOSCRIPT = rf"(?is)<(?:{_SKIPPED}|{_named('noscript')}.*?(?:{_END['noscript']}|\z)|{_TAG}(?:>|\z))"
 TAG = r"^<([a-zA-Z][^\s/>]*)"
 HEAD = rf"(?s)^<[a-zA-Z][^\s/>]*({AT})>"
 BODY = rf"(?is)^<(?:script|style)(?:[\s/]{AT})?>(.*?)(?:</(?:script|style)\s*>)?\z"
-ATTRIBUTE = r"""([^\s"'>/=]++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>"']++))?"""
+ATTRIBUTE = r"""([^\s>/=]++)(?:\s*+=++\s*+("[^"]*+"|'[^']*+'|[^\s>]++))?"""
 
 # Tokens that any detection rule can use: the five tags, or an inline background image.
 RELEVANT = r"(?is)^<(?:img|iframe|script|style|meta)[\s/>]|^<[a-z][^\s/>]*[\s/].*background-image"
@@ -52,7 +56,8 @@ def unescape(text: Column) -> Column:
 
 def tokens(html: Column) -> Column:
     """Every comment, tag, script and style of a page in document order."""
-    return F.regexp_extract_all(html, F.lit(TOKEN), F.lit(0))
+    # a tag left open is outside the group, and so an empty token
+    return F.regexp_extract_all(html, F.lit(TOKEN), F.lit(1))
 
 
 def opening_tokens(html: Column) -> Column:
@@ -63,7 +68,7 @@ def noscript_tokens(html: Column) -> Column:
     """Opening tokens inside the noscript blocks of a page."""
     blocks = F.filter(
         F.regexp_extract_all(html, F.lit(NOSCRIPT), F.lit(0)),
-        lambda t: t.rlike(r"(?i)^<noscript"),
+        lambda t: t.rlike(r"(?i)^<noscript[\s/>]"),
     )
     inner = F.flatten(F.transform(blocks, opening_tokens))
     # Pages without the tag skip the second pass.

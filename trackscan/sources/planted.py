@@ -27,6 +27,7 @@ CASE WHEN page_id % 16 = 14 THEN '' ELSE concat(html,
     WHEN 11 THEN '<img src="/a.png" style="width: 1px"><img src="/b.png" style="width:1px">'
     WHEN 12 THEN '<IMG SRC="/img/Track.gif"><img src="http://cdn.example/p.jpg">'
     WHEN 13 THEN repeat('<img src="https://pixel.quantserve.com/p.gif" width="1" height="1">', 25)
+    WHEN 15 THEN '<a title=it''s href=x>q</a><img src="https://criteo.com/q.gif"> don''t <b a = "x>y">z</b><noscript><i>n</i><img src="https://pixel.quantserve.com/n.gif"><!-- end'
     ELSE '' END) END
 """
 
