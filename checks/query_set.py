@@ -1017,7 +1017,8 @@ _DAYS = ["2024-01-01", "2024-01-02", "2024-01-03"]
     + ", ".join(
         f"count(*) FILTER (strftime({TS}, '%Y-%m-%d') = '{d}') AS \"{d}\"" for d in _DAYS
     )
-    + " FROM pd GROUP BY domain",
+    + f", count(*) FILTER (strftime({TS}, '%Y-%m-%d') NOT IN ({', '.join(repr(d) for d in _DAYS)}))"
+    " AS other_days FROM pd GROUP BY domain",
     "pd",
 )
 def domain_heatmap(spark, sf):
@@ -1443,14 +1444,14 @@ def security_summary(spark, sf):
 @query(
     "SELECT d.domain, 'r' || length(i.domain) AS registrar, CASE WHEN i.domain IS NULL THEN 'no record' END"
     f" AS error FROM (SELECT DISTINCT {host('url')} AS domain FROM req) d LEFT JOIN"
-    f" (SELECT DISTINCT {host('url')} AS domain FROM pages WHERE page_id % 2 = 0) i ON d.domain = i.domain",
+    f" (SELECT DISTINCT {host('url')} AS domain FROM pages) i ON d.domain = i.domain",
     "req",
 )
 def domain_enrichment(spark, sf):
-    """Hosts of the request log with their record; only hosts of even pages have one."""
-    even = load(spark, sf, "pages").filter(F.col("page_id") % 2 == 0)
+    """Hosts of the request log with their record; only hosts of pages have one."""
     info = (
-        even.select(urls.netloc(F.col("url")).alias("domain"))
+        load(spark, sf, "pages")
+        .select(urls.netloc(F.col("url")).alias("domain"))
         .distinct()
         .select("domain", F.concat(F.lit("r"), F.length("domain")).alias("registrar"))
     )

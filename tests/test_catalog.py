@@ -85,11 +85,11 @@ HTMLS = [
 ]
 
 
-@pytest.mark.parametrize("limit", [None, 2000, 5])
+@pytest.mark.parametrize("limit", [None, 500, 5])
 def test_detection_in_row_and_by_table(spark, pages, limit, monkeypatch):
     want = {i: expected(u, h) if h else {} for i, (u, h) in enumerate(HTMLS)}
     if limit:
-        monkeypatch.setattr(tables, "PLAN_RULES", limit)
+        monkeypatch.setattr(tables, "CHUNK_RULES", limit)
         found = catalog.detect_with_table(pages(*HTMLS), seeds.catalogue(spark))
     else:
         found = catalog.detect_in_pages(pages(*HTMLS))
@@ -117,3 +117,21 @@ def test_json_export(spark):
     catalog_files.write_json(seeds.catalogue(spark), path)
     rows = spark.read.schema(seeds.CATALOGUE_SCHEMA).json(path)
     assert rows.agg(F.sum(F.size("patterns"))).first()[0] == 98
+
+
+def test_large_catalogue_with_repeated_pages_and_null_lists(spark):
+    extra = [
+        (f"t{i}", f"n{i}", "analytics", "low", [f"mark_{i}\\(", f"host{i}\\w+x"], None if i % 2 else [f"h{i}.example"], "d", [], False, False, "script", [], "2024-01-01")
+        for i in range(1700)
+    ]
+    extra[3] = (*extra[3][:4], None, *extra[3][5:])
+    html = "mark_7( gtag('config', 'G') hostAx host12zzx h44.example"
+    rows = [(1, "https://a.example/", html), (1, "https://a.example/", html), (None, "u", html), (None, "u", html), (2, "u", "clean")]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    trackers = [*fixed.CATALOGUE, *extra]
+    found = catalog.detect_with_table(df, seeds.catalogue(spark, trackers)).collect()
+    want = catalog.detect_in_pages(df, trackers).collect()
+    key = lambda r: (str(r.page_id), r.tracker_id, str(r.matches))
+    assert sorted(map(key, found)) == sorted(map(key, want))
+    ids = sorted(r.tracker_id for r in found if r.tracker_id.startswith("t") and r.tracker_id[1:].isdigit())
+    assert ids == sorted(["t1", "t7", "t12", "t44"] * 4)

@@ -73,9 +73,9 @@ def test_plain_and_required_text():
     assert match.required_text("ab?") is None
 
 
-@pytest.mark.parametrize("limit", [2000, 1])
+@pytest.mark.parametrize("limit", [500, 1])
 def test_pattern_table(spark, limit, monkeypatch):
-    monkeypatch.setattr(tables, "PLAN_RULES", limit)
+    monkeypatch.setattr(tables, "CHUNK_RULES", limit)
     patterns = [("a", r"track\("), ("b", r"track\("), ("b", r"send\w*"), ("c", "none")]
     bodies = spark.createDataFrame([(1, 0, "Track( SENDER"), (2, 0, "x")], "page_id int, pos int, body string")
     table = spark.createDataFrame(patterns, "family string, pattern string")

@@ -11,7 +11,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from trackscan import scan
-from trackscan.functions import tables
 from trackscan.operators import anomaly, cluster, enrich, security
 from trackscan.plans import reports, trends
 from trackscan.sources import catalog_files, history, pages as page_source, results
@@ -61,9 +60,7 @@ def test_change_alerts(hot_history):
     assert {r.result_hash for r in trends.change_alerts(df).collect()} == want
 
 
-@pytest.mark.parametrize("limit", [100_000, 1])
-def test_zscores_with_hot_and_flat_metrics(spark, limit, monkeypatch):
-    monkeypatch.setattr(tables, "BROADCAST_ROWS", limit)
+def test_zscores_with_hot_and_flat_metrics(spark):
     rng = random.Random(3)
     rows = [("hot", rng.gauss(0, 1)) for _ in range(3000)] + [("flat", 5.0)] * 50
     rows += [("few", float(v)) for v in (1, 1, 1, 1, 1, 1, 9)] + [(None, 1.0), (None, 2.0)]
@@ -225,3 +222,16 @@ def test_only_small_input_is_spread(spark, monkeypatch):
     assert page_source.spread(df).rdd.getNumPartitions() == 8
     monkeypatch.setattr(page_source, "SPREAD_BELOW_BYTES", 0)
     assert page_source.spread(df) is df
+
+
+@pytest.mark.parametrize("rows", [50_000, 7])
+def test_previous_keeps_all_rows_and_splits_a_hot_day(spark, rows, monkeypatch):
+    monkeypatch.setattr(trends, "SPAN_ROWS", rows)
+    hot = [("hot", f"2024-01-02 {h:02}:{m:02}:00", 100 * h + m) for h in range(5) for m in range(60)]
+    data = hot + [("cold", "2024-01-01 00:00:00", 1), ("cold", "2024-03-01 00:00:00", 2)]
+    data += [(None, "2024-01-02 00:00:00", 3), (None, "2024-01-02 01:00:00", 4), ("hot", None, 5), (None, None, 6)]
+    df = spark.createDataFrame(data, "url string, at string, v int").withColumn("at", F.to_timestamp("at"))
+    got = {r.v if r.url != "hot" or r.at is None else ("hot", r.v): r.previous and r.previous.v for r in trends.previous(df, "url", "at", ["v"]).collect()}
+    values = sorted(v for _, _, v in hot)
+    want = {("hot", v): before for before, v in zip([None, *values], values)}
+    assert got == {**want, 1: None, 2: 1, 3: None, 4: None, 5: None, 6: None}

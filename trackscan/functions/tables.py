@@ -1,28 +1,25 @@
-"""Checked sizes: which side of a join may go to every task or into the plan."""
+"""Rule tables known only at run time: they become part of the plan, in chunks."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Row
-from pyspark.sql import functions as F
+from collections.abc import Iterator, Sequence
+from typing import TypeVar
 
-# Rows of a summary that may be broadcast, and rules that may become part of the plan.
-BROADCAST_ROWS = 100_000
-PLAN_RULES = 2_000
+T = TypeVar("T")
 
+# Rules of one constant expression; more rules are more expressions in the row of the page.
+CHUNK_RULES = 500
 
-def broadcast_if_small(table: DataFrame, limit: int | None = None) -> DataFrame:
-    """The table, kept once computed, with a broadcast hint only if it has few enough rows.
 
-    Spark guesses the size of an aggregate from its input and would shuffle the large side of
-    the join; counting the rows first settles it. Above the limit the join stays a shuffle.
-    """
-    limit = BROADCAST_ROWS if limit is None else limit
-    kept = table.persist()
-    return F.broadcast(kept) if kept.limit(limit + 1).count() <= limit else kept
-
-
-def rows_if_few(table: DataFrame, limit: int | None = None) -> list[Row] | None:
-    """The rows of a rule table if there are at most `limit`, else None; reads no more."""
-    limit = PLAN_RULES if limit is None else limit
-    rows = table.limit(limit + 1).collect()
-    return rows if len(rows) <= limit else None
+def chunks(items: Sequence[T], sizes: Sequence[int]) -> Iterator[list[T]]:
+    """Items in order, in lists whose sizes add up to CHUNK_RULES at most, or of one item."""
+    held: list[T] = []
+    total = 0
+    for item, size in zip(items, sizes, strict=True):
+        if held and total + size > CHUNK_RULES:
+            yield held
+            held, total = [], 0
+        held.append(item)
+        total += size
+    if held:
+        yield held

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackscan.functions.tables import broadcast_if_small
-
 LIMIT = 2.0
 
 
@@ -14,8 +12,9 @@ def zscores(rows: DataFrame, metric: str, value: str, limit: float = LIMIT) -> D
     """Each row with its z-score within its metric, and whether it is above the limit.
 
     Mean and spread come from an aggregate that joins back, not from a window: a metric with
-    most of the rows would otherwise be sorted and held by one task. With few metrics the
-    rows are not shuffled at all. A metric without spread has no anomalies.
+    most of the rows would otherwise be sorted and held by one task. The join has no hint: at run
+    time few metrics become a broadcast, and of many a hot one is split. A metric without spread
+    has no anomalies. Nothing runs before the result is asked for.
     """
     stats = rows.groupBy(F.col(metric).alias("_metric")).agg(
         F.avg(value).alias("_mean"), F.stddev_pop(value).alias("_spread")
@@ -24,7 +23,7 @@ def zscores(rows: DataFrame, metric: str, value: str, limit: float = LIMIT) -> D
         (F.col(value) - F.col("_mean")) / F.col("_spread")
     )
     return (
-        rows.join(broadcast_if_small(stats), F.col(metric).eqNullSafe(F.col("_metric")))
+        rows.join(stats, F.col(metric).eqNullSafe(F.col("_metric")))
         .withColumn("z_score", score)
         .withColumn("is_anomaly", F.coalesce(F.col("z_score") > limit, F.lit(False)))
         .drop("_metric", "_mean", "_spread")

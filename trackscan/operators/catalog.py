@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from trackscan.fixed_values import CATALOGUE, CATALOGUE_FIELDS
 from trackscan.functions.match import (
-    IGNORE_CASE,
     RULE,
     fold,
     needed_texts,
@@ -18,7 +17,7 @@ from trackscan.functions.match import (
     rules,
     texts_found,
 )
-from trackscan.functions.tables import rows_if_few
+from trackscan.functions.tables import chunks
 from trackscan.functions.text import title
 from trackscan.sources.seeds import catalogue
 
@@ -38,13 +37,13 @@ ATTRIBUTES = (
 
 def _rules(trackers: Sequence[tuple]) -> tuple[list[dict], list[str], list[str]]:
     """Rules of all trackers, patterns of a tracker before its hosts; patterns; texts to find."""
-    patterns = [p for t in trackers for p in t[4]]
-    texts = sorted({*needed_texts(patterns), *(d.lower() for t in trackers for d in t[5])})
+    patterns = [p for t in trackers for p in t[4] or ()]
+    texts = sorted({*needed_texts(patterns), *(d.lower() for t in trackers for d in t[5] or ())})
     rows = []
     for t in trackers:
-        for row in pattern_rows(t[4], texts):
+        for row in pattern_rows(t[4] or (), texts):
             rows.append({**row, "tracker_id": t[0], "type": REGEX})
-        for host in t[5]:
+        for host in t[5] or ():
             needs = [x for x in texts if x.startswith(host.lower())]
             rows.append(
                 {"pattern": host, "needs": needs, "plain": True, "tracker_id": t[0], "type": DOMAIN}
@@ -55,20 +54,29 @@ def _rules(trackers: Sequence[tuple]) -> tuple[list[dict], list[str], list[str]]
 def detect_in_pages(pages: DataFrame, trackers: Sequence[tuple] = CATALOGUE) -> DataFrame:
     """One row per page and tracker with any match, its matches nested in catalogue order.
 
-    The whole match runs in the row of the page; only the few matched rows meet the tracker
-    attributes, a list that is part of the program and so safe to broadcast.
+    The whole match runs in the row of the page, for any number of rules: trackers go in chunks,
+    each of which is one constant expression with one search of the text. Page text is in no join
+    or shuffle; only the few matched rows meet the tracker attributes, a list that is part of the
+    program and so safe to broadcast. Pages that repeat a page_id, or have none, stay apart.
     """
     attributes = catalogue(pages.sparkSession, trackers).select("tracker_id", *ATTRIBUTES)
-    rows, patterns, texts = _rules(trackers)
-    html, url, found = F.col("html"), F.col("url"), F.col("_found")
-
-    def holds(rule: Column) -> Column:
-        # Hosts count only in the case in which they are listed, patterns in any.
-        inside = F.arrays_overlap(found, rule["needs"]) & html.contains(rule["pattern"])
-        host = inside | url.contains(rule["pattern"])
-        return F.when(rule["type"] == DOMAIN, host).otherwise(
-            rule_holds(rule, patterns, html, found)
-        )
+    sizes = [len(t[4] or ()) + len(t[5] or ()) for t in trackers]
+    parts = [_rules(some) for some in chunks(trackers, sizes)]
+    html, url = F.col("html"), F.col("url")
+
+    def hits(number: int) -> Column:
+        rows, patterns, _ = parts[number]
+        found = F.col(f"_found_{number}")
+
+        def holds(rule: Column) -> Column:
+            # Hosts count only in the case in which they are listed, patterns in any.
+            inside = F.arrays_overlap(found, rule["needs"]) & html.contains(rule["pattern"])
+            host = inside | url.contains(rule["pattern"])
+            return F.when(rule["type"] == DOMAIN, host).otherwise(
+                rule_holds(rule, patterns, html, found)
+            )
+
+        return F.filter(rules(rows, f"{RULE},tracker_id:string,type:string"), holds)
 
     def nested(tracker_id: Column) -> Column:
         mine = F.filter(F.col("_hits"), lambda h: h["tracker_id"] == tracker_id)
@@ -80,17 +88,19 @@ def detect_in_pages(pages: DataFrame, trackers: Sequence[tuple] = CATALOGUE) ->
         )
 
     # A failed page is not searched, not even its address.
-    hits = (
-        pages.filter(F.length("html") > 0)
-        .select("page_id", "url", "html", texts_found(fold(html), texts).alias("_found"))
-        .select(
-            "page_id",
-            F.filter(rules(rows, f"{RULE},tracker_id:string,type:string"), holds).alias("_hits"),
-        )
+    searched = pages.filter(F.length("html") > 0).select(
+        "page_id",
+        "url",
+        "html",
+        *(texts_found(fold(html), p[2]).alias(f"_found_{i}") for i, p in enumerate(parts)),
+    )
+    empty = rules([], f"{RULE},tracker_id:string,type:string")
+    found = searched.select(
+        "page_id", F.concat(empty, *(hits(i) for i in range(len(parts)))).alias("_hits")
     )
     hit_ids = F.array_distinct(F.transform("_hits", lambda h: h["tracker_id"]))
     return (
-        hits.select("page_id", F.inline(F.transform(hit_ids, nested)))
+        found.select("page_id", F.inline(F.transform(hit_ids, nested)))
         .join(F.broadcast(attributes), "tracker_id")
         .select("page_id", "tracker_id", *ATTRIBUTES, "matches")
     )
@@ -99,41 +109,11 @@ def detect_in_pages(pages: DataFrame, trackers: Sequence[tuple] = CATALOGUE) ->
 def detect_with_table(pages: DataFrame, trackers: DataFrame) -> DataFrame:
     """The same detection against a catalogue known only at run time.
 
-    A catalogue of moderate size becomes part of the plan. Beyond that pages and rules are
-    joined on the match; matches rejoin as short rows, without the page text.
+    The catalogue is rules, not data: it is read when the plan is made and becomes part of it.
+    Null lists of patterns or hosts are empty ones.
     """
-    known = rows_if_few(trackers.orderBy("ord"))
-    if known is not None:
-        return detect_in_pages(pages, [tuple(r[f] for f in CATALOGUE_FIELDS) for r in known])
-    table = trackers.select(
-        "tracker_id", F.posexplode("patterns").alias("pos", "pattern"), F.lit(REGEX).alias("type")
-    ).unionByName(
-        trackers.select(
-            "tracker_id",
-            F.posexplode("domains").alias("pos", "pattern"),
-            F.lit(DOMAIN).alias("type"),
-        )
-    )
-    hit = F.expr(
-        "CASE WHEN type = 'domain_match' THEN contains(html, pattern) OR contains(url, pattern)"
-        f" ELSE html rlike concat('{IGNORE_CASE}', pattern) END"
-    )
-    found = pages.filter(F.length("html") > 0).join(table, hit)
-    one = F.struct((F.col("type") == DOMAIN).alias("host"), "pos", "pattern", "type")
-    return (
-        found.groupBy("page_id", "tracker_id")
-        .agg(F.array_sort(F.collect_list(one)).alias("found"))
-        .select(
-            "page_id",
-            "tracker_id",
-            F.transform(
-                "found",
-                lambda m: F.struct(m["pattern"].alias("pattern"), m["type"].alias("type")),
-            ).alias("matches"),
-        )
-        .join(trackers.select("tracker_id", *ATTRIBUTES), "tracker_id")
-        .select("page_id", "tracker_id", *ATTRIBUTES, "matches")
-    )
+    known = trackers.orderBy("ord").collect()
+    return detect_in_pages(pages, [tuple(r[f] for f in CATALOGUE_FIELDS) for r in known])
 
 
 def by_category(trackers: DataFrame, category: str) -> DataFrame:

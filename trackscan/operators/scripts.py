@@ -18,7 +18,7 @@ from trackscan.functions.match import (
     strings,
     texts_found,
 )
-from trackscan.functions.tables import rows_if_few
+from trackscan.functions.tables import chunks
 from trackscan.functions.text import cut
 
 SCRIPT_ROW = (
@@ -93,17 +93,23 @@ def script_bodies(pages: DataFrame) -> DataFrame:
 def join_patterns(bodies: DataFrame, patterns: DataFrame) -> DataFrame:
     """Scripts against a table of user patterns, one row per script and matching pattern.
 
-    A table of moderate size becomes part of the plan, as the built-in list is, and the hits
-    find their other columns by equality. A larger one is joined on the match itself.
+    The patterns are rules, not data: they are read when the plan is made and become part of it,
+    in chunks of one constant expression each, as the built-in list is. The hits find their other
+    columns by equality, so no script text is in a join. Null patterns match nothing.
     """
-    known = rows_if_few(patterns)
-    columns = [*bodies.columns, *patterns.columns]
-    if known is None:
-        hit = F.expr(f"body rlike concat('{IGNORE_CASE}', pattern)")
-        return bodies.join(patterns, hit).select(*columns)
-    wanted = list(dict.fromkeys(r["pattern"] for r in known if r["pattern"] is not None))
-    found = texts_found(fold(F.col("body")), needed_texts(wanted))
-    hits = bodies.withColumn("_found", found).select(
-        *bodies.columns, F.explode(pattern_hits(wanted, F.col("body"), F.col("_found"))).alias("pattern")
+    listed = patterns.select("pattern").distinct().filter("pattern IS NOT NULL")
+    wanted = sorted(r[0] for r in listed.collect())
+    parts = list(chunks(wanted, [1] * len(wanted)))
+    text = F.col("body")
+    searched = bodies.select(
+        *bodies.columns,
+        *(
+            texts_found(fold(text), needed_texts(p)).alias(f"_found_{i}")
+            for i, p in enumerate(parts)
+        ),
+    )
+    found = F.concat(
+        strings([]), *(pattern_hits(p, text, F.col(f"_found_{i}")) for i, p in enumerate(parts))
     )
-    return hits.join(F.broadcast(patterns), "pattern").select(*columns)
+    hits = searched.select(*bodies.columns, F.explode(found).alias("pattern"))
+    return hits.join(patterns, "pattern").select(*bodies.columns, *patterns.columns)

@@ -245,10 +245,22 @@ def domain_activity(scanned: DataFrame) -> DataFrame:
     )
 
 
+OTHER_DAYS = "other_days"
+
+
 def heatmap(scanned: DataFrame, days: Sequence[str]) -> DataFrame:
-    """Domain by day; the days are given, so no extra pass looks for them."""
+    """Domain by day; the days are given, so no extra pass looks for them.
+
+    Pages of all other days, and of no day, are in the column other_days.
+    """
+    day = F.when(F.col("day").isin(*days), F.col("day")).otherwise(OTHER_DAYS)
     return (
-        domain_activity(scanned).groupBy("domain").pivot("day", list(days)).sum("pages").na.fill(0)
+        domain_activity(scanned)
+        .withColumn("day", day)
+        .groupBy("domain")
+        .pivot("day", [*days, OTHER_DAYS])
+        .sum("pages")
+        .na.fill(0)
     )
 
 

@@ -77,6 +77,10 @@ def against_baseline(current: DataFrame, historical: DataFrame) -> DataFrame:
     ).withColumn("tracker_change", F.col("current_trackers") - F.col("baseline_trackers"))
 
 
+# Rows of one key in one span of time that a single window holds.
+SPAN_ROWS = 50_000
+
+
 def previous(
     history: DataFrame,
     key: str,
@@ -87,29 +91,54 @@ def previous(
 ) -> DataFrame:
     """Each row with the values of the row before it, as struct `previous`.
 
-    The window runs within a key and a span of time, so a key with most of the rows is split
-    over as many tasks as it has spans. The last row of every span is an aggregate, and the
-    first row of a span takes over the last one of the key's previous span.
+    The window runs within a key and a span of time, so a key with most of the rows is split over
+    as many tasks as it has spans; a span with more than SPAN_ROWS rows of a key is cut further,
+    by its count, into equal parts of its time. The last row of every part is an aggregate, and
+    the first row of a part takes over the last one of the part before. Rows without a key or a
+    time are kept, and have no previous row.
     """
     order = [time, *(tie or [])]
     row = F.struct(time, *values)
+    whole = F.col(key).isNotNull() & F.col(time).isNotNull()
     spans = history.withColumn("_span", F.date_trunc(unit, time))
-    inside = spans.withColumn(
-        "_inside", F.lag(row).over(W.partitionBy(key, "_span").orderBy(*order))
+    crowded = (
+        spans.filter(whole)
+        .groupBy(key, "_span")
+        .agg(
+            F.count("*").alias("_rows"),
+            F.unix_micros(F.min(time).cast("timestamp")).alias("_from"),
+            F.unix_micros(F.max(time).cast("timestamp")).alias("_to"),
+        )
+        .filter(F.col("_rows") > SPAN_ROWS)
+    )
+    share = (F.unix_micros(F.col(time).cast("timestamp")) - F.col("_from")) / (
+        F.col("_to") - F.col("_from") + 1
+    )
+    part = F.floor(share * F.ceil(F.col("_rows") / SPAN_ROWS))
+    parts = (
+        spans.join(crowded, [key, "_span"], "left")
+        .withColumn("_part", F.coalesce(part, F.lit(0)))
+        .select(*history.columns, "_span", "_part")
+    )
+    inside = parts.withColumn(
+        "_inside",
+        F.when(whole, F.lag(row).over(W.partitionBy(key, "_span", "_part").orderBy(*order))),
     )
     carried = (
-        spans.groupBy(key, "_span")
+        parts.filter(whole)
+        .groupBy(key, "_span", "_part")
         .agg(F.max_by(row, F.struct(*order)).alias("_last"))
         .select(
             key,
             "_span",
-            F.lag("_last").over(W.partitionBy(key).orderBy("_span")).alias("_carried"),
+            "_part",
+            F.lag("_last").over(W.partitionBy(key).orderBy("_span", "_part")).alias("_carried"),
         )
     )
     return (
-        inside.join(carried, [key, "_span"])
+        inside.join(carried, [key, "_span", "_part"], "left")
         .withColumn("previous", F.coalesce("_inside", "_carried"))
-        .drop("_span", "_inside", "_carried")
+        .select(*history.columns, "previous")
     )
 
 
