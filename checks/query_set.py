@@ -31,9 +31,9 @@ from trackscan.plans import basic_scan, reports, trends
 from trackscan.plans.basic_scan import detections, scan
 from trackscan.plans.enhanced_scan import enhanced_scan
 from trackscan.sources import catalog_files, history, results, seeds
-from trackscan.sources.pages import METRICS, failed, read_pages
+from trackscan.sources.pages import METRICS, PAGE_WITH_METRICS_SCHEMA, failed, read_pages
 from trackscan.sources.planted import SCAN_TS, web_pages
-from trackscan.sources.requests import requests_of_pages
+from trackscan.sources.requests import read_requests, requests_of_pages
 from trackscan.streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -147,7 +147,11 @@ def _with_metrics(pages: DataFrame) -> DataFrame:
     "web",
 )
 def fetch_metrics(spark, sf):
-    pages = enhanced_scan(_with_metrics(pages_of(spark, sf)), scan_ts=F.expr(SCAN_TS))
+    """Pages with metrics written as files, and read with the metrics schema."""
+    path = streams.shared_folder(spark, "pages-with-metrics")
+    _with_metrics(pages_of(spark, sf)).write.parquet(path)
+    stored = read_pages(spark, path, schema=PAGE_WITH_METRICS_SCHEMA)
+    pages = enhanced_scan(stored, scan_ts=F.expr(SCAN_TS))
     return pages.groupBy(
         F.try_element_at("metrics.headers", F.lit("Server")).alias("server"),
         F.col("metrics.error").alias("error"),
@@ -167,6 +171,22 @@ def request_log(spark, sf):
     )
 
 
+@query(
+    "SELECT page_id, url, resource_type, 'p' || page_id AS accept, count(*) AS n FROM req GROUP BY ALL",
+    "req",
+)
+def request_log_file(spark, sf):
+    """The request log written as JSON lines, and read back by the request source."""
+    path = streams.shared_folder(spark, "requests")
+    headers = F.create_map(F.lit("Accept"), F.concat(F.lit("p"), F.col("page_id")))
+    requests_of_pages(pages_of(spark, sf)).withColumn("headers", headers).write.json(path)
+    return (
+        read_requests(spark, path)
+        .groupBy("page_id", "url", "resource_type", F.col("headers.Accept").alias("accept"))
+        .agg(F.count("*").alias("n"))
+    )
+
+
 @query(
     "SELECT page_id, url, pixels AS pixel_count, js AS js_tracker_count, total AS total_trackers,"
     " CASE WHEN error IS NULL THEN score END AS privacy_score, error,"
@@ -221,6 +241,16 @@ def detection_export(spark, sf):
     return spark.read.parquet(path).select("page_id", "family", "type", "domain", "detail")
 
 
+@query(SQL["detection_export"])
+def detection_csv(spark, sf):
+    """The flat export, written as CSV and read back."""
+    path = streams.shared_folder(spark, "export-csv")
+    results.export_csv(scanned(spark, sf), path)
+    return results.read_export_csv(spark, path).select(
+        "page_id", "family", "type", "domain", "detail"
+    )
+
+
 # --- elements ------------------------------------------------------------------------------
 
 
@@ -767,6 +797,60 @@ def catalogue_csv(spark, sf):
     )
 
 
+_LISTED = (
+    "SELECT s.tracker_id, name, category, risk_level, description, coalesce((SELECT"
+    " string_agg(domain, ';' ORDER BY pos) FROM chost h WHERE h.tracker_id = s.tracker_id), '') AS"
+    " domains, (SELECT count(*) FROM cpat p WHERE p.tracker_id = s.tracker_id) AS pattern_count,"
+    " gdpr_relevant, ccpa_relevant, data_types, evasion_techniques, first_seen FROM seen s"
+)
+
+
+def _listed(catalogue: DataFrame) -> DataFrame:
+    lists = ("domains", "data_types", "evasion_techniques")
+    return catalogue.select(
+        *("tracker_id", "name", "category", "risk_level", "description"),
+        *(F.array_join(c, ";").alias(c) for c in lists),
+        *(long("pattern_count"), "gdpr_relevant", "ccpa_relevant", day("first_seen").alias("first_seen")),
+    )
+
+
+@query(_LISTED, "seen", "chost", "cpat")
+def catalogue_csv_file(spark, sf):
+    """The catalogue of the trackers found, written as CSV and read back."""
+    path = streams.shared_folder(spark, "catalogue-csv")
+    catalog_files.write_csv(seen_trackers(spark, sf), path)
+    return _listed(catalog_files.read_csv(spark, path))
+
+
+@query(_LISTED, "seen", "chost", "cpat")
+def catalogue_json_file(spark, sf):
+    """The same as JSON lines, read by the catalogue's schema."""
+    path = streams.shared_folder(spark, "catalogue-json")
+    catalog_files.write_json(seen_trackers(spark, sf), path)
+    rows = spark.read.schema(seeds.CATALOGUE_SCHEMA).json(path)
+    return _listed(rows.withColumn("pattern_count", F.size("patterns")))
+
+
+@query(
+    "SELECT d.ord, d.domain, count(b.domain) AS findings FROM dom d LEFT JOIN bag b"
+    " ON b.domain = d.domain WHERE d.ord < 10 GROUP BY 1, 2",
+    "dom", "bag",
+)
+def first_domains(spark, sf):
+    """How often each of the first ten listed domains was found."""
+    found = (
+        scanned(spark, sf)
+        .select(F.explode("domains").alias("domain"))
+        .groupBy("domain")
+        .agg(F.count("*").alias("findings"))
+    )
+    return (
+        seeds.first_domains(spark)
+        .join(found, "domain", "left")
+        .select(long("ord"), "domain", F.coalesce("findings", F.lit(0)).alias("findings"))
+    )
+
+
 @query(
     "SELECT d.page_id, count(*) FILTER (gdpr_relevant) AS gdpr_count, count(*) FILTER (ccpa_relevant)"
     " AS ccpa_count, count(*) AS tracker_count FROM det d JOIN cat c ON d.tracker_id = c.tracker_id"
@@ -867,7 +951,7 @@ def most_tracked_domains(spark, sf):
 
 
 @query(
-    "SELECT DISTINCT page_id, url, parameter FROM (SELECT page_id, url,"
+    "SELECT page_id, url, parameter FROM (SELECT page_id, url,"
     " regexp_extract(p, '(?s)^([^=]*)=', 1) AS parameter FROM (SELECT page_id, url,"
     f" unnest(string_split(regexp_extract(url, {text(sql.QUERY)}, 1), '&')) AS p FROM req)"
     " WHERE regexp_matches(p, '(?s)^[^=]*=.'))"
@@ -875,8 +959,7 @@ def most_tracked_domains(spark, sf):
     "req",
 )
 def tracking_parameters(spark, sf):
-    found = requests.tracking_parameters(requests_of_pages(pages_of(spark, sf)))
-    return found.distinct()
+    return requests.tracking_parameters(requests_of_pages(pages_of(spark, sf)))
 
 
 @query(
@@ -1311,7 +1394,8 @@ def scan_anomalies(spark, sf):
 
 @query(
     "SELECT 'u' || user_id AS domain, arg_max(event_type, ts) AS category, strftime(max(ts),"
-    " '%Y-%m-%d %H:%M:%S') AS updated_at, CAST(2 AS BIGINT) AS n_patterns FROM events GROUP BY user_id"
+    " '%Y-%m-%d %H:%M:%S') AS updated_at, 'p' || arg_max(event_id, ts) || ',q' AS patterns"
+    " FROM events GROUP BY user_id"
 )
 def latest_patterns(spark, sf):
     """The newest row per host of a pattern table made from the events."""
@@ -1325,7 +1409,7 @@ def latest_patterns(spark, sf):
         "domain",
         "category",
         F.date_format("last_updated", "yyyy-MM-dd HH:mm:ss").alias("updated_at"),
-        F.size("patterns").cast("long").alias("n_patterns"),
+        joined("patterns", "patterns"),
     )
 
 
@@ -1539,9 +1623,19 @@ def stream_level_alerts(spark, sf):
     "hist",
 )
 def stream_change_alerts(spark, sf):
+    """Alerts over three batches: the events come as three files, one after the other."""
     folder = streams.shared_folder(spark, "stream-changes")
+    events = load(spark, sf, "events")
+    days = F.dayofmonth(F.col("ts").cast("timestamp"))
+    for part in (days <= 10, (days > 10) & (days <= 20), days > 20):
+        events.filter(part).coalesce(1).write.mode("append").parquet(f"{folder}/events")
+    stream = (
+        spark.readStream.schema(events.schema)
+        .option("maxFilesPerTrigger", 1)
+        .parquet(f"{folder}/events")
+    )
     writer = streams.change_alert_writer(
-        _event_stream(spark, sf), f"{folder}/alerts", f"{folder}/state"
+        history_of(stream), f"{folder}/alerts", f"{folder}/state"
     )
     writer.option("checkpointLocation", f"{folder}/checkpoint").trigger(
         availableNow=True
@@ -1582,3 +1676,14 @@ def host_clusters(spark, sf):
     """Hosts of the request log grouped by spelling; no SQL form."""
     log = requests_of_pages(pages_of(spark, sf))
     return cluster.cluster_domains(log.select(urls.netloc(F.col("url")).alias("domain")))
+
+
+@query(
+    f"SELECT DISTINCT {host('url')} AS domain, true AS has_cluster FROM req WHERE {host('url')} <> ''",
+    "req",
+)
+def clustered_hosts(spark, sf):
+    """What is determined of the clusters: each host is in one, numbered from 0."""
+    return host_clusters(spark, sf).select(
+        "domain", F.col("cluster").between(0, 4).alias("has_cluster")
+    )

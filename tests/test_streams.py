@@ -67,6 +67,11 @@ def test_change_alerts_across_batches(spark, files):
     keys = ["url", "scan_ts", "score_fell", "trackers_rose"]
     assert sorted(map(str, got.select(keys).collect())) == sorted(map(str, want.select(keys).collect()))
     assert {r.batch for r in got.select("batch").distinct().collect()} == {0, 1, 2}
+    # a new checkpoint is a run of its own, and leaves the first one as it is
+    again = streams.change_alert_writer(stream(spark, folder), f"{folder}/out", f"{folder}/state")
+    again.option("checkpointLocation", f"{folder}/cp2").trigger(availableNow=True).start().awaitTermination()
+    runs = spark.read.parquet(f"{folder}/out").groupBy("run").count().collect()
+    assert [r["count"] for r in runs] == [want.count()] * 2
 
 
 def test_daily_and_weekly_windows(spark, files):

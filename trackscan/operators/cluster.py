@@ -7,7 +7,7 @@ from pyspark.ml.feature import HashingTF, NGram, Normalizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-FEATURES = 128
+FEATURES, PARTS = 128, 64
 
 
 def cluster_domains(domains: DataFrame, k: int = 5, seed: int = 42, n: int = 3) -> DataFrame:
@@ -16,12 +16,14 @@ def cluster_domains(domains: DataFrame, k: int = 5, seed: int = 42, n: int = 3)
     Fewer than k hosts form one cluster. Features are hashed character n-grams, which need no
     fitted vocabulary.
     """
-    # Sorting fixes the row order that the seeded start of the clustering depends on. The hosts
-    # are kept, since counting, fitting and labelling would each go back to the pages.
+    # Sorted parts of a fixed number fix the row order that the seeded start of the clustering
+    # depends on, whatever the session's number of partitions. The hosts are kept, since counting,
+    # fitting and labelling would each go back to the pages.
     hosts = (
         domains.select("domain")
         .filter(F.col("domain") != "")
         .distinct()
+        .repartition(PARTS, "domain")
         .sortWithinPartitions("domain")
         .persist()
     )

@@ -89,8 +89,20 @@ def export_rows(scanned: DataFrame) -> DataFrame:
     )
 
 
+EXPORT_SCHEMA = (
+    "page_id bigint, url string, scan_timestamp timestamp, privacy_score int, risk_level string,"
+    " family string, type string, domain string, detail string"
+)
+# Texts may hold quotes, line ends and nothing at all; a null is told from an empty text.
+_CSV = {"header": True, "quoteAll": True, "escape": '"', "multiLine": True, "nullValue": "\\N"}
+
+
 def export_csv(scanned: DataFrame, path: str) -> None:
-    export_rows(scanned).write.mode("overwrite").option("header", True).csv(path)
+    export_rows(scanned).write.mode("overwrite").options(**_CSV).csv(path)
+
+
+def read_export_csv(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(EXPORT_SCHEMA).options(**_CSV).csv(path)
 
 
 def export_parquet(scanned: DataFrame, path: str) -> None:

@@ -101,45 +101,54 @@ def change_alert_writer(
 
     The last values are a table with two slots. A batch reads the slot of the batch before
     and overwrites the other, and it overwrites its own alert folder, so a batch that runs
-    again after a failure gives the same result. Within a batch order is by scan time.
+    again after a failure gives the same result. State and alerts lie below run=<id>, the id of
+    the checkpoint: a stream that is started anew from its checkpoint goes on in its own run, and
+    one with a new checkpoint starts a run beside it and touches nothing of the other's.
+
+    Within a batch order is by scan time. A row counts as late if it is older than the newest row
+    of its url in earlier batches: it is compared with older rows of its own batch only, so it may
+    raise no alert where the batch form does, and it never replaces the newest row.
     """
     values = ["privacy_score", "tracker_count"]
     row_schema = "url string, scan_ts timestamp, privacy_score int, tracker_count int, result_hash string"
 
     def handle(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
+        run = f"run={spark.sparkContext.getLocalProperty('sql.streaming.queryId') or '0'}"
         # The rows are read three times; without this the scan behind them would run as often.
         rows = batch.select("url", "scan_ts", *values, "result_hash").persist()
-        if epoch:
-            last = spark.read.schema(row_schema).parquet(f"{state}/slot={(epoch - 1) % 2}")
-        else:
-            last = spark.createDataFrame([], row_schema)
-        both = last.withColumn("_new", F.lit(False)).unionByName(
-            rows.withColumn("_new", F.lit(True))
-        )
-        fell, rose = is_change_alert(score_drop, tracker_rise, percent)
-        (
-            previous(both, "url", "scan_ts", values, ["_new", "result_hash"], unit)
-            .filter("_new")
-            .withColumn("score_fell", fell)
-            .withColumn("trackers_rose", rose)
-            .filter("score_fell OR trackers_rose")
-            .drop("_new")
-            .write.mode("overwrite")
-            .parquet(f"{out}/batch={epoch}")
-        )
-        newest = F.max_by(
-            F.struct("scan_ts", *values, "result_hash"),
-            F.struct("scan_ts", "_new", "result_hash"),
-        )
-        (
-            both.groupBy("url")
-            .agg(newest.alias("row"))
-            .select("url", "row.*")
-            .write.mode("overwrite")
-            .parquet(f"{state}/slot={epoch % 2}")
-        )
-        rows.unpersist()
+        try:
+            if epoch:
+                last = spark.read.schema(row_schema).parquet(f"{state}/{run}/slot={(epoch - 1) % 2}")
+            else:
+                last = spark.createDataFrame([], row_schema)
+            both = last.withColumn("_new", F.lit(False)).unionByName(
+                rows.withColumn("_new", F.lit(True))
+            )
+            fell, rose = is_change_alert(score_drop, tracker_rise, percent)
+            (
+                previous(both, "url", "scan_ts", values, ["_new", "result_hash"], unit)
+                .filter("_new")
+                .withColumn("score_fell", fell)
+                .withColumn("trackers_rose", rose)
+                .filter("score_fell OR trackers_rose")
+                .drop("_new")
+                .write.mode("overwrite")
+                .parquet(f"{out}/{run}/batch={epoch}")
+            )
+            newest = F.max_by(
+                F.struct("scan_ts", *values, "result_hash"),
+                F.struct("scan_ts", "_new", "result_hash"),
+            )
+            (
+                both.groupBy("url")
+                .agg(newest.alias("row"))
+                .select("url", "row.*")
+                .write.mode("overwrite")
+                .parquet(f"{state}/{run}/slot={epoch % 2}")
+            )
+        finally:
+            rows.unpersist()
 
     return history.writeStream.foreachBatch(handle)
 
