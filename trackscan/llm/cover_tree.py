@@ -25,7 +25,7 @@ from trackscan.llm.graph import components, merge_labels
 COSINE, DIMENSIONS = 0.95, 64
 #: Distinct vectors that the upper levels are built from, most cells, and vectors of a chunk.
 SAMPLE, CELLS, CHUNK = 2_048, 64, 8_192
-LEAF, BLOCK = 16, 1_024
+LEAF, BLOCK = 16, 512
 #: Rounding of distances near 0, where they come from cosines.
 MARGIN = 1e-6
 
@@ -48,7 +48,7 @@ def net(x: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
     centre, apart = np.full(n, -1), np.full(n, np.inf)
     left = np.arange(n)
     while len(left):
-        batch = left[:BLOCK // 4]
+        batch = left[: BLOCK // 2]
         d = distances(x[batch], x[left])
         chosen: list[int] = []
         free = np.ones(len(batch), bool)
