@@ -9,6 +9,7 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 import __spark_entry__ as contract  # noqa: E402
+from checks.query_set import QUERIES  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
@@ -25,7 +26,7 @@ def plain(value):
     return value.replace(tzinfo=None) if isinstance(value, datetime.datetime) else value
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, db, name):
     df = contract.queries()[name](spark, SF)
     columns = sorted(df.columns)
@@ -44,3 +45,8 @@ def test_query(spark, db, name):
 def test_entry(spark):
     rows = contract.entry(spark).collect()
     assert rows and all(r.privacy_score <= 50 for r in rows)
+
+
+def test_entry_has_all_queries():
+    assert QUERIES.keys() <= contract.queries().keys()
+    assert contract.oracle_sql().keys() <= contract.queries().keys()

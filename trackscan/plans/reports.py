@@ -33,7 +33,7 @@ def page_counts(scanned: DataFrame) -> DataFrame:
 
 
 def _tally(rows: DataFrame, keys: list[str], domains: Column, **numbers: Column) -> DataFrame:
-    """Per key: sums of per-page numbers and the number of distinct domains, in one pass.
+    """Per key: sums of whole per-page numbers and the number of distinct domains, in one pass.
 
     Every page gives one row without a domain that carries its numbers, and one row per
     domain. The first step counts them by key and domain with a map-side combine, so the
@@ -42,18 +42,18 @@ def _tally(rows: DataFrame, keys: list[str], domains: Column, **numbers: Column)
     names = list(numbers)
     own = F.struct(
         F.lit(None).cast("string").alias("domain"),
-        *[numbers[n].cast("double").alias(n) for n in names],
+        *[numbers[n].cast("long").alias(n) for n in names],
     )
     each = F.transform(
         domains,
-        lambda d: F.struct(d.alias("domain"), *[F.lit(None).cast("double").alias(n) for n in names]),
+        lambda d: F.struct(d.alias("domain"), *[F.lit(None).cast("long").alias(n) for n in names]),
     )
     none = F.filter(F.array(own), lambda r: F.lit(False))
     emitted = rows.select(*keys, F.inline(F.concat(F.array(own), F.coalesce(each, none))))
     by_domain = emitted.groupBy(*keys, "domain").agg(*[F.sum(n).alias(n) for n in names])
     return by_domain.groupBy(*keys).agg(
         F.count("domain").alias("domains"),
-        *[F.coalesce(F.sum(n), F.lit(0.0)).alias(n) for n in names],
+        *[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names],
     )
 
 
