@@ -22,7 +22,9 @@ _ODD = "".join(
 )
 #: What a text doesn't have if single spaces and line ends are all that is between its words.
 _UNEVEN = ("  ", "\n\n", " \n", "\n ", "\t", "\r", "\x0b", "\x0c", *_ODD)
-MEMO_PIECES, MEMO_PIECE_CHARS = 1_000_000, 64
+#: Fewer than two thirds of 2 ** 20, so that the memo's table is not doubled again; with it a Python
+#: worker takes about 250 MB.
+MEMO_PIECES, MEMO_PIECE_CHARS = 690_000, 64
 
 
 class _Memo(dict):
