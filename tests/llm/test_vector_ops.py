@@ -54,8 +54,10 @@ def test_cover_tree_links(spark, chunk):
 
 
 def test_trees_cover_and_count():
-    x = cover_tree.unit(vectors(900, seed=4))
-    tree = cover_tree.CoverTree(x)
+    r = np.random.default_rng(6)
+    tight = vectors(300, seed=5)[200] + r.normal(size=(200, 64)) * np.repeat([1e-9, 1e-5, 1e-3, 0.02], 50)[:, None]
+    x = cover_tree.unit(np.concatenate([vectors(900, seed=4).astype(float), tight]))
+    tree = cover_tree.CoverTree(x, 0.3162)
     assert sorted(tree.order.tolist()) == list(range(len(x)))
     for i in range(len(tree.lo)):
         own = tree.x[tree.lo[i] : tree.hi[i]]

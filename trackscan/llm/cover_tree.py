@@ -26,8 +26,11 @@ COSINE, DIMENSIONS = 0.95, 64
 #: Distinct vectors that the upper levels are built from, most cells, and vectors of a chunk.
 SAMPLE, CELLS, CHUNK = 2_048, 64, 8_192
 LEAF, BLOCK = 16, 512
-#: Rounding of distances near 0, where they come from cosines.
-MARGIN = 1e-6
+#: Bounds of rounding: of distances in double precision, and of cosines in single precision. Single
+#: precision only rules pairs out or in when even its bound does; the rest is decided in double.
+MARGIN, ROUGH = 1e-6, 2e-5
+#: Balls of a smaller radius are leaves, as single precision doesn't tell their points apart.
+LEAST_RADIUS = 0.01
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -41,38 +44,46 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(2 - 2 * (a @ b.T), 0))
 
 
-def net(x: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
-    """(centre of each point, distance to it): centres are points more than radius apart, in
-    order, the first point among them; every point is within radius of its own."""
-    n = len(x)
-    centre, apart = np.full(n, -1), np.full(n, np.inf)
-    left = np.arange(n)
+def net(x: np.ndarray, radius: float) -> np.ndarray:
+    """The centre of each point: centres are points about more than radius apart, in order, the
+    first point among them; every point is about within radius of its own."""
+    rough = x.astype(np.float32)
+    least_cos = np.float32(1 - radius * radius / 2)
+    centre = np.full(len(x), -1)
+    left = np.arange(len(x))
     while len(left):
         batch = left[: BLOCK // 2]
-        d = distances(x[batch], x[left])
+        cos = rough[batch] @ rough[left].T
         chosen: list[int] = []
         free = np.ones(len(batch), bool)
-        near = d[:, : len(batch)] <= radius
+        near = cos[:, : len(batch)] >= least_cos
         for i in range(len(batch)):
             if free[i]:
                 chosen.append(i)
                 free &= ~near[i]
-        d = d[chosen]
-        best = d.argmin(axis=0)
-        least = d[best, np.arange(len(left))]
         own = np.array(chosen)
-        best[own], least[own] = np.arange(len(own)), 0.0
-        within = least <= radius
+        cos = cos[own]
+        best = cos.argmax(axis=0)
+        within = cos[best, np.arange(len(left))] >= least_cos
+        best[own], within[own] = np.arange(len(own)), True
         centre[left[within]] = batch[own[best[within]]]
-        apart[left[within]] = least[within]
         left = left[~within]
-    return centre, apart
+    return centre
+
+
+def to_centre(x: np.ndarray, centre: np.ndarray) -> np.ndarray:
+    """Distance of each point to its centre, in double precision; 0 for centres."""
+    return np.sqrt(((x - x[centre]) ** 2).sum(axis=1))
 
 
 class CoverTree:
-    """Nodes in arrays: points of node i are order[lo[i]:hi[i]], its centre the first of them."""
+    """Nodes in arrays: points of node i are order[lo[i]:hi[i]], its centre the first of them.
+
+    A ball wider than reach with only a few points decides nothing that its points don't decide
+    as well, so they become nodes themselves.
+    """
 
-    def __init__(self, x: np.ndarray) -> None:
+    def __init__(self, x: np.ndarray, reach: float) -> None:
         self.order = np.arange(len(x))
         lo, hi, radius = [0], [len(x)], [2.0]
         rho = [float(distances(x[:1], x).max())] if len(x) else [0.0]
@@ -80,14 +91,20 @@ class CoverTree:
         i = 0
         while i < len(lo):
             a, b = lo[i], hi[i]
-            if b - a > LEAF and rho[i] > MARGIN:
+            if b - a > (LEAF if rho[i] <= reach else 1) and rho[i] > LEAST_RADIUS:
                 r = radius[i] / 2
                 while r >= rho[i]:
                     r /= 2
                 own = self.order[a:b]
-                centre, apart = net(x[own], r)
+                centre = net(x[own], r)
+                size = np.bincount(centre, minlength=b - a)[centre]
+                apart = to_centre(x[own], centre)
+                widest = np.zeros(b - a)
+                np.maximum.at(widest, centre, apart)
+                alone = (size <= LEAF) & (widest[centre] > reach)
+                centre[alone], apart[alone] = np.flatnonzero(alone), 0.0
                 # a centre stands first among its points
-                at = np.lexsort((apart, centre))
+                at = np.lexsort((np.arange(b - a) != centre, centre))
                 self.order[a:b], centre, apart = own[at], centre[at], apart[at]
                 first = np.flatnonzero(np.concatenate(([True], centre[1:] != centre[:-1])))
                 kid[i], kids[i] = len(lo), len(first)
@@ -99,6 +116,7 @@ class CoverTree:
                 kids += [0] * len(first)
             i += 1
         self.x = x[self.order]
+        self.rough = self.x.astype(np.float32)
         self.lo, self.hi, self.rho = np.array(lo), np.array(hi), np.array(rho)
         self.kid, self.kids = np.array(kid), np.array(kids)
         self.size = self.hi - self.lo
@@ -146,6 +164,13 @@ def walk(left: CoverTree, right: CoverTree, weights: list[np.ndarray], cosine: f
     reach = float(np.sqrt(2 - 2 * cosine))
     links = Links(left, right, weights)
     same = left is right
+
+    def check(p: np.ndarray, q: np.ndarray) -> None:
+        """Links among pairs of single points, by cosines in double precision."""
+        a, b = left.lo[p], right.lo[q]
+        near = np.einsum("ij,ij->i", left.x[a], right.x[b]) >= cosine
+        links.pairs(a[near], b[near])
+
     todo = [(0, 0)] if len(left.order) and len(right.order) else []
     while todo:
         a, b = todo.pop()
@@ -155,31 +180,38 @@ def walk(left: CoverTree, right: CoverTree, weights: list[np.ndarray], cosine: f
             links.all_within(span_a)
             continue
         if not left.kids[a] and not right.kids[b]:
-            i, j = np.nonzero(left.x[slice(*span_a)] @ right.x[slice(*span_b)].T >= cosine)
-            if own:
-                i, j = i[i < j], j[i < j]
-            links.pairs(i + span_a[0], j + span_b[0])
+            for at in range(span_a[0], span_a[1], BLOCK):
+                some = left.x[at : min(at + BLOCK, span_a[1])]
+                i, j = np.nonzero(some @ right.x[slice(*span_b)].T >= cosine)
+                i, j = i + at, j + span_b[0]
+                if own:
+                    i, j = i[i < j], j[i < j]
+                links.pairs(i, j)
             continue
         rows, columns = left.below(a), right.below(b)
         if own:
             todo += [(int(k), int(k)) for k in rows if left.size[k] > 1]
         for at in range(0, len(rows), BLOCK):
             some = rows[at : at + BLOCK]
-            cos = left.x[left.lo[some]] @ right.x[right.lo[columns]].T
-            far = np.sqrt(np.maximum(2 - 2 * cos, 0))
-            bound = left.rho[some][:, None] + right.rho[columns][None]
-            i, j = np.nonzero(far <= reach + bound + MARGIN)
-            if own:
-                i, j = i[some[i] < columns[j]], j[some[i] < columns[j]]
-            p, q = some[i], columns[j]
-            single = (left.size[p] == 1) & (right.size[q] == 1)
-            near = single & (cos[i, j] >= cosine)
-            links.pairs(left.lo[p[near]], right.lo[q[near]])
-            inside = ~single & (far[i, j] + bound[i, j] <= reach - MARGIN)
-            for u, v in zip(p[inside].tolist(), q[inside].tolist(), strict=True):
-                links.all_between((left.lo[u], left.hi[u]), (right.lo[v], right.hi[v]))
-            rest = ~single & ~inside
-            todo += zip(p[rest].tolist(), q[rest].tolist(), strict=True)
+            cos = left.rough[left.lo[some]] @ right.rough[right.lo[columns]].T
+            p1, q1 = left.size[some] == 1, right.size[columns] == 1
+            i, j = np.nonzero(cos >= np.float32(cosine - ROUGH))
+            keep = p1[i] & q1[j] & (some[i] < columns[j] if own else True)
+            check(some[i[keep]], columns[j[keep]])
+            # pairs with a ball: all columns for the balls among the rows, the balls for the others
+            for u, v in ((~p1, np.ones(len(columns), bool)), (p1, ~q1)):
+                p, q = np.flatnonzero(u), np.flatnonzero(v)
+                bound = left.rho[some[p]][:, None] + right.rho[columns[q]][None]
+                square = 2 - 2 * cos[np.ix_(p, q)].astype(np.float64)
+                i, j = np.nonzero(square - 2 * ROUGH <= (reach + bound + MARGIN) ** 2)
+                highest = np.sqrt(np.maximum(square[i, j] + 2 * ROUGH, 0)) + bound[i, j]
+                p, q = some[p[i]], columns[q[j]]
+                if own:
+                    highest, p, q = highest[p < q], p[p < q], q[p < q]
+                inside = highest <= reach - MARGIN
+                for x, y in zip(p[inside].tolist(), q[inside].tolist(), strict=True):
+                    links.all_between((left.lo[x], left.hi[x]), (right.lo[y], right.hi[y]))
+                todo += zip(p[~inside].tolist(), q[~inside].tolist(), strict=True)
     return links
 
 
@@ -188,7 +220,7 @@ def upper_level(sample: np.ndarray, cells: int = CELLS) -> np.ndarray:
     centres, radius = sample[:1], 2.0
     while len(sample) and radius > MARGIN:
         radius /= 2
-        finer = np.unique(net(sample, radius)[0])
+        finer = np.unique(net(sample, radius))
         if len(finer) > cells:
             break
         centres = sample[finer]
@@ -324,11 +356,11 @@ def _links(
         x = matrix(table["embedding"].chunk(0))
         right = table["right"].to_numpy()
         if i == j:
-            tree = CoverTree(x)
+            tree = CoverTree(x, reach)
             links, keys = walk(tree, tree, [weight], cosine), keys
         else:
             first, second = np.flatnonzero(~right), np.flatnonzero(right)
-            both = (CoverTree(x[first]), CoverTree(x[second]))
+            both = (CoverTree(x[first], reach), CoverTree(x[second], reach))
             links = walk(*both, [weight[first], weight[second]], cosine)
             keys = np.concatenate([keys[first], keys[second]])
         keys = keys[links.point]
