@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackscan.llm.common import saved
@@ -16,7 +16,9 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round hangs neighbours on the smallest node seen, so paths shorten by halves. The rows
     of a round are written to the shared folder. A node with very many links is a hot join key;
-    both sides of that join are plain shuffles, which adaptive execution splits.
+    both sides of that join are plain shuffles, which adaptive execution splits. (Dealing the
+    minima out by an expression of the node, not the node itself, is what makes it shuffle them:
+    it cannot split what an aggregate has dealt out.)
     Self-links and repeated links add nothing; no edges give no rows.
     """
     now = saved(
@@ -44,9 +46,13 @@ def _digest(edges: DataFrame) -> tuple:
     return row[0], row[1]
 
 
+def _anew(node: str) -> Column:
+    return F.col(node).bitwiseXOR(F.lit(0).cast("long")).alias(node)
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select("b", "a")).toDF("u", "v")
-    lowest = both.groupBy("u").agg(F.min("v").alias("m"))
+    lowest = both.groupBy("u").agg(F.min("v").alias("m")).select(_anew("u"), "m")
     return (
         both.join(lowest, "u")
         .filter(F.col("v") > F.col("u"))
@@ -58,7 +64,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
 def _small_star(edges: DataFrame) -> DataFrame:
     lowest = edges.groupBy("a").agg(F.min("b").alias("m"))
     hung = (
-        edges.join(lowest, "a")
+        edges.join(lowest.select(_anew("a"), "m"), "a")
         .filter(F.col("b") != F.col("m"))
         .select(F.col("b").alias("a"), F.col("m").alias("b"))
     )

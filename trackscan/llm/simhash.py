@@ -105,7 +105,12 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, cap: int = CAP) -> DataFrame
         keyed.groupBy("block", "value")
         .count()
         .filter(F.col("count") > cap)
-        .select("block", "value", F.ceil(F.col("count") / cap).cast("int").alias("chunks"))
+        .select(
+            "block",
+            # dealt anew, so that adaptive execution can split a hot node (see graph.components)
+            F.col("value").bitwiseXOR(F.lit(0).cast("long")).alias("value"),
+            F.ceil(F.col("count") / cap).cast("int").alias("chunks"),
+        )
     )
     chunks = F.coalesce("chunks", F.lit(1))
     units = (
