@@ -110,6 +110,9 @@ def previous(
             F.unix_micros(F.max(time).cast("timestamp")).alias("_to"),
         )
         .filter(F.col("_rows") > SPAN_ROWS)
+        # Dealt out by an expression, both sides of the join are plain shuffles, of which a hot
+        # key can be split at run time; what an aggregate has dealt out cannot.
+        .withColumn("_span", F.date_trunc(unit, "_span"))
     )
     share = (F.unix_micros(F.col(time).cast("timestamp")) - F.col("_from")) / (
         F.col("_to") - F.col("_from") + 1
