@@ -22,22 +22,29 @@ _ODD = "".join(
 )
 #: What a text doesn't have if single spaces and line ends are all that is between its words.
 _UNEVEN = ("  ", "\n\n", " \n", "\n ", "\t", "\r", "\x0b", "\x0c", *_ODD)
-#: Fewer than two thirds of 2 ** 20, so that the memo's table is not doubled again; with it a Python
-#: worker takes about 250 MB.
+#: Either half has fewer than two thirds of 2 ** 19, so that its table is not doubled again; with it
+#: a Python worker takes about 250 MB.
 MEMO_PIECES, MEMO_PIECE_CHARS = 690_000, 64
 
 
 class _Memo(dict):
-    """Ids by piece, where a piece without white space in front stands for one after a space."""
+    """Ids by piece, where a piece without white space in front stands for one after a space.
+
+    It has two halves: when the new one is full it becomes the old one, and pieces that are met
+    again move over, so that common words are not encoded anew.
+    """
 
     def __init__(self, library: Tokenizer) -> None:
         self.library = library
+        self.old: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        text = piece if piece[0].isspace() else " " + piece
-        ids = encoded(self.library, text)
+        ids = self.old.pop(piece, None)
+        if ids is None:
+            ids = encoded(self.library, piece if piece[0].isspace() else " " + piece)
         if len(piece) <= MEMO_PIECE_CHARS:
-            if len(self) >= MEMO_PIECES:
+            if len(self) >= MEMO_PIECES // 2:
+                self.old = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
@@ -50,8 +57,8 @@ def encoded(library: Tokenizer, text: str) -> bytes:
 class Encoder:
     """Whole-text encoding that gives the library's own ids, as little-endian 32-bit bytes.
 
-    Natural text repeats its words, so ids are kept by piece, up to MEMO_PIECES; then the memo
-    starts anew. Strings of special tokens in a text are ordinary text.
+    Natural text repeats its words, so the ids of up to MEMO_PIECES pieces are kept. Strings of
+    special tokens in a text are ordinary text.
     """
 
     def __init__(self, path: str) -> None:
