@@ -22,9 +22,8 @@ _ODD = "".join(
 )
 #: What a text doesn't have if single spaces and line ends are all that is between its words.
 _UNEVEN = ("  ", "\n\n", " \n", "\n ", "\t", "\r", "\x0b", "\x0c", *_ODD)
-#: Either half has fewer than two thirds of 2 ** 19, so that its table is not doubled again; with it
-#: a Python worker takes about 250 MB.
-MEMO_PIECES, MEMO_PIECE_CHARS = 690_000, 64
+#: With a full memo a Python worker takes about 300 MB.
+MEMO_PIECES, MEMO_PIECE_CHARS = 900_000, 64
 
 
 class _Memo(dict):
