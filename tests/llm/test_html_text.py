@@ -44,6 +44,21 @@ def test_text(page, text):
     assert html_text.text_of(page) == text
 
 
+HEADS = [
+    ("<html><head><title>T</title><h1>Hello</h1><p>text", "Hello\n\ntext"),
+    ("<head><title>T</title>\n <meta charset=x><style>p{}</style>text<b>b", "textb"),
+    ("<head><noscript>n</noscript><template><p>no</p></template><p>yes", "yes"),
+    ("<head><head><link rel=x><script>s</script> \n<!-- c -->last", "last"),
+    ("<head><title>T</title><body hidden><p>no", ""),
+    ("<head><title>T</title> \n", ""),
+]
+
+
+@pytest.mark.parametrize("page, text", HEADS)
+def test_a_head_without_its_end_tag(page, text):
+    assert html_text.text_of(page) == text
+
+
 def test_all_visible_words_stay():
     words = [f"w{i}" for i in range(500)]
     tags = ["p", "b", "li", "td", "tr", "div", "ul", "table", "a", "h2", "dd", "span"]

@@ -57,6 +57,10 @@ IMPLIED = {
     "option": (frozenset({"option"}), frozenset({"select"})),
     "body": (frozenset({"head"}), frozenset()),
 }
+#: Start tags that leave an open head open; any other, or text, closes it.
+IN_HEAD = frozenset(
+    "base basefont bgsound head link meta noframes noscript script style template title".split()
+)
 #: An end tag doesn't reach beyond these.
 SCOPE = frozenset("table td th caption html template".split())
 #: A tree deeper than this puts further elements beside each other.
@@ -110,6 +114,8 @@ def tree(page: str) -> Node:
     at = 0
     while m := _TOKEN.search(page, at):
         if m.start() > at:
+            if stack[-1].name == "head" and _SPACES.sub("", page[at : m.start()]):
+                _leave_head(stack)
             stack[-1].children.append(html.unescape(page[at : m.start()]))
         at = m.end()
         if not m[2]:
@@ -118,6 +124,8 @@ def tree(page: str) -> Node:
         if m[1]:
             _close(stack, name)
             continue
+        if stack[-1].name == "head" and name not in IN_HEAD:
+            _leave_head(stack)
         _open_closes(stack, name)
         if name in ("html", "body") and len(stack) == 1:
             if not _made(name, m[3]).shown:
@@ -133,10 +141,17 @@ def tree(page: str) -> Node:
         elif name not in VOID and len(stack) < MOST_DEPTH:
             stack.append(node)
     if at < len(page):
+        if _SPACES.sub("", page[at:]):
+            _leave_head(stack)
         stack[-1].children.append(html.unescape(page[at:]))
     return root
 
 
+def _leave_head(stack: list[Node]) -> None:
+    while stack[-1].name == "head":
+        stack.pop()
+
+
 def _close(stack: list[Node], name: str) -> None:
     for i in range(len(stack) - 1, 0, -1):
         if stack[i].name == name:
