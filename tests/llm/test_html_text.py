@@ -59,6 +59,24 @@ def test_a_head_without_its_end_tag(page, text):
     assert html_text.text_of(page) == text
 
 
+FOREIGN = [
+    ("a <math><mi>x</mi><mo>+</mo><mn>1</mn><annotation>no</annotation></math> b", "a x+1 b"),
+    ("<math><mtable><mtr><mtd>1<mtd></mtd></mtd></mtr><mtr><mtd>2</mtd></mtr></mtable></math>", "1\n2"),
+    ("<p>a<svg>no<title>no</title><defs><text>no</text></defs><g><text>A<tspan>b</tspan></text></g></svg>c", "a Ab c"),
+    ("<svg><defs/><path d=a/></path><text>one</text><text>two</text></svg>", "one two"),
+    ("<svg><style>p{}</style><desc>no</desc><foreignObject><p>yes</p></foreignObject></svg>z", "yes\n\nz"),
+    ("<svg><text>t</text><p>out<b>b</b>", "t\n\noutb"),
+    ("<object><p>fallback</p></object>", "fallback"),
+    ("<object data='x.pdf'><p>no</p></object>y", "y"),
+    ("<select><option>no</select><div/>text", "text"),
+]
+
+
+@pytest.mark.parametrize("page, text", FOREIGN)
+def test_math_svg_and_objects(page, text):
+    assert html_text.text_of(page) == text
+
+
 def test_all_visible_words_stay():
     words = [f"w{i}" for i in range(500)]
     tags = ["p", "b", "li", "td", "tr", "div", "ul", "table", "a", "h2", "dd", "span"]

@@ -24,7 +24,7 @@ VOID = frozenset(
 )
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
 HIDDEN = frozenset(
-    "head script style template noscript iframe object svg math select datalist audio video canvas"
+    "head script style template noscript iframe select datalist audio video canvas"
     " title meta link noembed noframes".split()
 )
 BLOCK = frozenset(
@@ -61,6 +61,18 @@ IMPLIED = {
 IN_HEAD = frozenset(
     "base basefont bgsound head link meta noframes noscript script style template title".split()
 )
+#: Parts of svg and math that are not drawn where they stand.
+FOREIGN_HIDDEN = frozenset(
+    "defs desc metadata symbol clippath mask pattern marker filter lineargradient radialgradient"
+    " annotation annotation-xml mphantom".split()
+)
+#: Elements of svg and math whose content is HTML again.
+INTEGRATION = frozenset("foreignobject desc mi mo mn ms mtext annotation-xml".split())
+#: Start tags that end open svg and math.
+BREAKOUT = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li"
+    " listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split()
+)
 #: An end tag doesn't reach beyond these.
 SCOPE = frozenset("table td th caption html template".split())
 #: A tree deeper than this puts further elements beside each other.
@@ -77,15 +89,17 @@ _TOKEN = re.compile(
 _ATTRIBUTE = re.compile(
     r"([^\s\"'>/=][^\s>/=]*)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]+)))?"
 )
+_SLASH_IN_VALUE = re.compile(r"=\s*[^\s\"'][^\s]*/\Z")
 _NOT_SHOWN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b")
 _SPACES = re.compile(r"[ \t\n\f\r]+")
 
 
 class Node:
-    __slots__ = ("children", "name", "shown", "start")
+    __slots__ = ("children", "foreign", "name", "shown", "start")
 
     def __init__(self, name: str, shown: bool = True, start: int = 1) -> None:
         self.name, self.shown, self.start = name, shown, start
+        self.foreign = False  # whether its children are of svg or math
         self.children: list[Node | str] = []
 
 
@@ -99,6 +113,8 @@ def _made(name: str, written: str) -> Node:
             shown = False
         if found.get("aria-hidden", "").lower() == "true":
             shown = False
+        if name == "object" and found.get("data", "").strip():
+            shown = False  # the resource is shown instead
         style = found.get("style")
         if style and _NOT_SHOWN.search(html.unescape(style).lower()):
             shown = False
@@ -126,13 +142,22 @@ def tree(page: str) -> Node:
             continue
         if stack[-1].name == "head" and name not in IN_HEAD:
             _leave_head(stack)
+        if stack[-1].foreign and name in BREAKOUT:
+            while stack[-1].foreign:
+                stack.pop()
         _open_closes(stack, name)
         if name in ("html", "body") and len(stack) == 1:
             if not _made(name, m[3]).shown:
                 root.shown = False
             continue
         node = _made(name, m[3])
+        within = stack[-1].foreign
+        node.foreign = name in ("svg", "math") or (within and name not in INTEGRATION)
+        if within and name in FOREIGN_HIDDEN:
+            node.shown = False
         stack[-1].children.append(node)
+        if (within or node.foreign) and m[3].endswith("/") and not _SLASH_IN_VALUE.search(m[3]):
+            continue  # in svg and math a slash ends an element
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
             text = page[at : end.start() if end else len(page)]
@@ -255,16 +280,29 @@ def width(text: str) -> int:
     )
 
 
-def _render(node: Node, out: Lines, pre: bool) -> None:
+def _render(node: Node, out: Lines, pre: bool, drawing: bool = False) -> None:
+    """drawing: in svg, where only text elements and foreign objects have text."""
     number = node.start
     for child in node.children:
         if isinstance(child, str):
-            out.text(child, pre)
+            if not drawing:
+                out.text(child, pre)
             continue
         name = child.name
         if not child.shown:
             continue
-        if name == "br":
+        if child.foreign and name == "svg":
+            _render(child, out, False, True)
+        elif drawing:
+            texts = name in ("text", "foreignobject")
+            out.space |= texts
+            _render(child, out, False, not texts)
+            out.space |= texts
+        elif child.foreign and name in ("mtr", "mtd"):  # rows and cells of a matrix
+            out.end() if name == "mtr" else None
+            _render(child, out, False)
+            out.space = True
+        elif name == "br":
             out.end(keep_empty=True)
         elif name == "hr":
             out.empty_line()
