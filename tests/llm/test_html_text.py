@@ -77,6 +77,16 @@ def test_math_svg_and_objects(page, text):
     assert html_text.text_of(page) == text
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<div>" * 256 + "<div hidden>x", ""),
+    ("<div>" * 20_000 + "<div hidden>x</div>y", "y"),
+    ("<i>" * 300 + "<div hidden><div>a</div>b</div>c", "c"),
+    ("<b>" * 300 + "<ul><li>p<li>q</ul><table><tr><td>long<td>1<tr><td>s<td>2</table>", "- p\n- q\n\nlong  1\ns     2"),
+])
+def test_any_depth(page, text):
+    assert html_text.text_of(page) == text
+
+
 def test_all_visible_words_stay():
     words = [f"w{i}" for i in range(500)]
     tags = ["p", "b", "li", "td", "tr", "div", "ul", "table", "a", "h2", "dd", "span"]

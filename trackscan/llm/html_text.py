@@ -10,7 +10,10 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections import defaultdict
+from collections.abc import Generator, Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -75,8 +78,6 @@ BREAKOUT = frozenset(
 )
 #: An end tag doesn't reach beyond these.
 SCOPE = frozenset("table td th caption html template".split())
-#: A tree deeper than this puts further elements beside each other.
-MOST_DEPTH = 256
 
 # Every alternative ends at the end of the page at the latest, so a broken page costs no more.
 _TOKEN = re.compile(
@@ -126,7 +127,7 @@ def _made(name: str, written: str) -> Node:
 def tree(page: str) -> Node:
     """The page's elements, with the end tags that are implied."""
     root = Node("html")
-    stack = [root]
+    stack = Stack(root)
     at = 0
     while m := _TOKEN.search(page, at):
         if m.start() > at:
@@ -144,7 +145,7 @@ def tree(page: str) -> Node:
             _leave_head(stack)
         if stack[-1].foreign and name in BREAKOUT:
             while stack[-1].foreign:
-                stack.pop()
+                stack.cut(len(stack) - 1)
         _open_closes(stack, name)
         if name in ("html", "body") and len(stack) == 1:
             if not _made(name, m[3]).shown:
@@ -163,8 +164,8 @@ def tree(page: str) -> Node:
             text = page[at : end.start() if end else len(page)]
             node.children.append(html.unescape(text) if name in ("textarea", "title") else text)
             at = end.end() if end else len(page)
-        elif name not in VOID and len(stack) < MOST_DEPTH:
-            stack.append(node)
+        elif name not in VOID:
+            stack.push(node)
     if at < len(page):
         if _SPACES.sub("", page[at:]):
             _leave_head(stack)
@@ -172,38 +173,60 @@ def tree(page: str) -> Node:
     return root
 
 
-def _leave_head(stack: list[Node]) -> None:
+def _leave_head(stack: Stack) -> None:
     while stack[-1].name == "head":
-        stack.pop()
+        stack.cut(len(stack) - 1)
 
 
-def _close(stack: list[Node], name: str) -> None:
-    for i in range(len(stack) - 1, 0, -1):
-        if stack[i].name == name:
-            del stack[i:]
-            return
-        if stack[i].name in SCOPE and name not in ("table", "tr", "tbody", "thead", "tfoot"):
-            return
+class Stack(list):
+    """The open elements, and where each name stands among them: looked up at any depth at once."""
+
+    def __init__(self, root: Node) -> None:
+        super().__init__([root])
+        self.places: dict[str, list[int]] = defaultdict(list)
+        self.scopes: list[int] = []
+
+    def push(self, node: Node) -> None:
+        self.places[node.name].append(len(self))
+        if node.name in SCOPE:
+            self.scopes.append(len(self))
+        self.append(node)
+
+    def cut(self, at: int) -> None:
+        """Closes all from place at on."""
+        while len(self) > at:
+            name = self.pop().name
+            self.places[name].pop()
+            if name in SCOPE:
+                self.scopes.pop()
+
+    def last(self, name: str) -> int:
+        places = self.places.get(name)
+        return places[-1] if places else 0
+
+    def scope(self) -> int:
+        return self.scopes[-1] if self.scopes else 0
 
 
-def _open_closes(stack: list[Node], name: str) -> None:
-    if name in CLOSES_P:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].name == "p":
-                del stack[i:]
-                break
-            if stack[i].name in SCOPE:
-                break
+def _close(stack: Stack, name: str) -> None:
+    at = stack.last(name)
+    if at and (at >= stack.scope() or name in ("table", "tr", "tbody", "thead", "tfoot")):
+        stack.cut(at)
+
+
+def _open_closes(stack: Stack, name: str) -> None:
+    if name in CLOSES_P and stack.last("p") > stack.scope():
+        stack.cut(stack.last("p"))
     if name in IMPLIED:
         closed, stops = IMPLIED[name]
-        lowest = 0
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].name in stops:
-                break
-            if stack[i].name in closed:
-                lowest = i
-        if lowest:
-            del stack[lowest:]
+        stop = max(map(stack.last, stops), default=0)
+        found = []
+        for x in closed:
+            places = stack.places.get(x, ())
+            i = bisect_right(places, stop)
+            found += places[i : i + 1]
+        if found:
+            stack.cut(min(found))
 
 
 class Lines:
@@ -280,7 +303,23 @@ def width(text: str) -> int:
     )
 
 
-def _render(node: Node, out: Lines, pre: bool, drawing: bool = False) -> None:
+#: A step yields the steps that it waits for, so that trees of any depth need no recursion.
+Steps = Generator["Steps", Any, Any]
+
+
+def _done(first: Steps) -> Any:
+    waiting, result = [first], None
+    while waiting:
+        try:
+            waiting.append(waiting[-1].send(result))
+            result = None
+        except StopIteration as end:
+            waiting.pop()
+            result = end.value
+    return result
+
+
+def _render(node: Node, out: Lines, pre: bool, drawing: bool = False) -> Steps:
     """drawing: in svg, where only text elements and foreign objects have text."""
     number = node.start
     for child in node.children:
@@ -292,15 +331,15 @@ def _render(node: Node, out: Lines, pre: bool, drawing: bool = False) -> None:
         if not child.shown:
             continue
         if child.foreign and name == "svg":
-            _render(child, out, False, True)
+            yield _render(child, out, False, True)
         elif drawing:
             texts = name in ("text", "foreignobject")
             out.space |= texts
-            _render(child, out, False, not texts)
+            yield _render(child, out, False, not texts)
             out.space |= texts
         elif child.foreign and name in ("mtr", "mtd"):  # rows and cells of a matrix
             out.end() if name == "mtr" else None
-            _render(child, out, False)
+            yield _render(child, out, False)
             out.space = True
         elif name == "br":
             out.end(keep_empty=True)
@@ -308,13 +347,13 @@ def _render(node: Node, out: Lines, pre: bool, drawing: bool = False) -> None:
             out.empty_line()
         elif name == "table":
             out.empty_line()
-            out.add_all(_table(child))
+            out.add_all((yield _table(child)))
             out.empty_line()
         elif name == "li":
             mark = f"{number}. " if node.name == "ol" else "- "
             number += 1
             own = Lines()
-            _render(child, own, pre)
+            yield _render(child, own, pre)
             lines = own.finished()
             rest = " " * len(mark)
             out.add_all([(mark if not i else rest) + x if x else "" for i, x in enumerate(lines or [""])])
@@ -323,13 +362,13 @@ def _render(node: Node, out: Lines, pre: bool, drawing: bool = False) -> None:
             out.empty_line() if spaced else out.end()
             if name in ("dd", "blockquote"):
                 own = Lines()
-                _render(child, own, pre)
+                yield _render(child, own, pre)
                 out.add_all(["    " + x if x else "" for x in own.finished()])
             else:
-                _render(child, out, pre or name == "pre")
+                yield _render(child, out, pre or name == "pre")
             out.empty_line() if spaced else out.end()
         else:
-            _render(child, out, pre)  # inline
+            yield _render(child, out, pre)  # inline
 
 
 def _rows(table: Node) -> Iterator[Node]:
@@ -341,7 +380,7 @@ def _rows(table: Node) -> Iterator[Node]:
                 yield from _rows(child)
 
 
-def _table(table: Node) -> list[str]:
+def _table(table: Node) -> Steps:
     """Lines of a table; a cell's further lines stand below its first, columns are aligned."""
     lines: list[str] = []
     stray = Lines()  # captions, and what is not in a row
@@ -349,7 +388,7 @@ def _table(table: Node) -> list[str]:
         if isinstance(child, str):
             stray.text(child)
         elif child.shown and child.name not in ("tr", "thead", "tbody", "tfoot"):
-            _render(child, stray, False)
+            yield _render(child, stray, False)
             stray.end()
     grid = []
     for row in _rows(table):
@@ -358,14 +397,14 @@ def _table(table: Node) -> list[str]:
             if isinstance(child, Node) and child.name in ("td", "th"):
                 if child.shown:
                     own = Lines()
-                    _render(child, own, False)
+                    yield _render(child, own, False)
                     cells.append(own.finished())
             elif isinstance(child, str):
                 loose.text(child)
             elif child.shown:
                 one = Node("span")
                 one.children.append(child)
-                _render(one, loose, False)
+                yield _render(one, loose, False)
         stray.add_all(loose.finished())
         if any(cells):
             grid.append(cells)
@@ -389,7 +428,7 @@ def text_of(page: str | None) -> str:
     out = Lines()
     root = tree(page or "")
     if root.shown:
-        _render(root, out, False)
+        _done(_render(root, out, False))
     return "\n".join(out.finished())
 
 
