@@ -1623,23 +1623,19 @@ def stream_level_alerts(spark, sf):
     "hist",
 )
 def stream_change_alerts(spark, sf):
-    """Alerts over three batches: the events come as three files, one after the other."""
+    """Alerts over three batches: a third of the events is written, then the stream takes it."""
     folder = streams.shared_folder(spark, "stream-changes")
     events = load(spark, sf, "events")
     days = F.dayofmonth(F.col("ts").cast("timestamp"))
     for part in (days <= 10, (days > 10) & (days <= 20), days > 20):
-        events.filter(part).coalesce(1).write.mode("append").parquet(f"{folder}/events")
-    stream = (
-        spark.readStream.schema(events.schema)
-        .option("maxFilesPerTrigger", 1)
-        .parquet(f"{folder}/events")
-    )
-    writer = streams.change_alert_writer(
-        history_of(stream), f"{folder}/alerts", f"{folder}/state"
-    )
-    writer.option("checkpointLocation", f"{folder}/checkpoint").trigger(
-        availableNow=True
-    ).start().awaitTermination()
+        events.filter(part).write.mode("append").parquet(f"{folder}/events")
+        stream = spark.readStream.schema(events.schema).parquet(f"{folder}/events")
+        writer = streams.change_alert_writer(
+            history_of(stream), f"{folder}/alerts", f"{folder}/state"
+        )
+        writer.option("checkpointLocation", f"{folder}/checkpoint").trigger(
+            availableNow=True
+        ).start().awaitTermination()
     return spark.read.parquet(f"{folder}/alerts").select(
         "url",
         F.date_format("scan_ts", "yyyy-MM-dd HH:mm:ss").alias("scanned_at"),

@@ -133,3 +133,20 @@ def test_shared_folder_needs_the_setting_on_a_cluster():
     assert "trackscan-" in streams.shared_folder(Session("local[2]"), "a")
     with pytest.raises(ValueError):
         streams.shared_folder(Session("yarn"), "a")
+
+
+def test_change_alert_query_keeps_partitions(spark, tmp_path, monkeypatch):
+    """Each third of the events is one batch, written by as many tasks as read it."""
+    from checks import query_set
+
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").limit(300).repartition(4)
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    monkeypatch.setattr(query_set.streams, "shared_folder", lambda *_: f"{tmp_path}/run")
+    monkeypatch.setattr(query_set, "load", lambda s, sf, name: s.read.parquet(f"{sf}/{name}.parquet"))
+    spark.conf.set("spark.sql.files.openCostInBytes", "64m")
+    try:
+        query_set.stream_change_alerts(spark, str(tmp_path)).count()
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert len(list((tmp_path / "run/events").glob("part-*"))) > 3
+    assert len(list((tmp_path / "run/checkpoint/commits").glob("[0-9]*"))) == 3
