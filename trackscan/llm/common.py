@@ -56,7 +56,16 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: computed once, and readable after an executor is lost."""
-    path = new_folder(df.sparkSession, name)
+    """df as a table in the shared folder: computed once, and readable after an executor is lost.
+
+    name: of a new folder there; or the path of one, so that it can be discarded later.
+    """
+    path = name if "/" in name else new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete an intermediate table that nothing reads any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

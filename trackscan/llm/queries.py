@@ -5,7 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackscan.llm import cover_tree, html_text, line_dedup, mih, mixing, packing, quality, secrets, simhash, token_files
+from trackscan.llm import (
+    cover_tree,
+    html_text,
+    lexical,
+    line_dedup,
+    mih,
+    mixing,
+    packing,
+    quality,
+    secrets,
+    simhash,
+    token_files,
+)
 from trackscan.llm.common import table
 
 
@@ -115,6 +127,45 @@ def op10_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover_tree.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = lexical.build(table(spark, sf_dir, "documents"))
+    return lexical.search(index, table(spark, sf_dir, "benchmark"), k=20)
+
+
+#: What is between terms, as the contract of op11 gives it.
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_LOW = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+OP11_SQL = rf"""
+WITH texts AS (
+    SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOW}, '{TERM}') AS l
+    FROM documents
+), sized AS (
+    SELECT r, doc_id, len(l)::BIGINT AS n FROM texts WHERE len(l) > 0
+), total AS (
+    SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS length FROM sized
+), postings AS (
+    SELECT r, term, count(*)::BIGINT AS tf FROM (SELECT r, unnest(l) AS term FROM texts) GROUP BY ALL
+), asked AS (
+    SELECT item_id, text, term, count(*)::BIGINT AS times FROM (
+        SELECT item_id, text, unnest(regexp_extract_all({_LOW}, '{TERM}')) AS term
+        FROM (SELECT DISTINCT item_id, text FROM benchmark)) GROUP BY ALL
+), weights AS (
+    SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w
+    FROM (SELECT term, count(*)::BIGINT AS df FROM postings GROUP BY term), total
+), scores AS (
+    SELECT item_id, text, r, doc_id, sum(times * w * ((1000000000 * tf)
+           // (1000 * tf + 12 * (100 - 25 + (25 * n * docs) // length))))::BIGINT AS score
+    FROM asked JOIN weights USING (term) JOIN postings USING (term) JOIN sized USING (r), total
+    GROUP BY item_id, text, r, doc_id
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY item_id, text
+                                 ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank
+    FROM scores WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20
+"""
+
+
 QUERIES = {
     "op1_html_text": op1_html_text,
     "op2_top_k": op2_top_k,
@@ -126,5 +177,10 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_secrets": op9_secrets,
     "op10_cover_tree": op10_cover_tree,
+    "op11_lexical_search": op11_lexical_search,
+}
+SQL = {
+    "op2_top_k": OP2_SQL,
+    "op4_line_dedup": OP4_SQL,
+    "op11_lexical_search": OP11_SQL,
 }
-SQL = {"op2_top_k": OP2_SQL, "op4_line_dedup": OP4_SQL}
