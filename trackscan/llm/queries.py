@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from trackscan.llm import (
     cover_tree,
+    hard_negatives,
     html_text,
     lexical,
     line_dedup,
@@ -166,6 +167,37 @@ SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20
 """
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mined(rows.withColumn("label", moved))
+
+
+OP12_SQL = """
+WITH usable AS (
+    SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           list_transform(embedding, lambda v: floor(256 * v::DOUBLE)) AS x
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0
+), scored AS (
+    SELECT a.vec_id AS anchor_id, a.label AS anchor_label, c.vec_id, c.label,
+           list_dot_product(a.x, c.x)::BIGINT AS score
+    FROM usable a JOIN usable c ON a.vec_id % 100 = 0 AND a.vec_id <> c.vec_id
+), positives AS (
+    SELECT anchor_id, vec_id AS positive_id, score AS positive_score
+    FROM scored WHERE label = anchor_label
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT p.anchor_id, p.positive_id, row_number() OVER near::INTEGER AS rank,
+       s.vec_id AS negative_id, p.positive_score, s.score AS negative_score
+FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND s.label <> s.anchor_label
+     AND 80 * p.positive_score <= 100 * s.score AND 100 * s.score <= 100 * p.positive_score
+WINDOW near AS (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id)
+QUALIFY row_number() OVER near <= 5
+"""
+
+
 QUERIES = {
     "op1_html_text": op1_html_text,
     "op2_top_k": op2_top_k,
@@ -178,9 +210,11 @@ QUERIES = {
     "op9_secrets": op9_secrets,
     "op10_cover_tree": op10_cover_tree,
     "op11_lexical_search": op11_lexical_search,
+    "op12_hard_negatives": op12_hard_negatives,
 }
 SQL = {
     "op2_top_k": OP2_SQL,
     "op4_line_dedup": OP4_SQL,
     "op11_lexical_search": OP11_SQL,
+    "op12_hard_negatives": OP12_SQL,
 }
