@@ -8,6 +8,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 _shipped: set[str] = set()
 
@@ -69,3 +70,8 @@ def discard(spark: SparkSession, path: str) -> None:
     """Delete an intermediate table that nothing reads any more."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def with_columns(df: DataFrame, added: str) -> StructType:
+    """The schema of df, whatever its columns are called, with more columns from a DDL string."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(added).fields])

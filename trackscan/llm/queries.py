@@ -18,6 +18,7 @@ from trackscan.llm import (
     secrets,
     simhash,
     token_files,
+    toxicity,
 )
 from trackscan.llm.common import table
 
@@ -198,6 +199,19 @@ QUALIFY row_number() OVER near <= 5
 """
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    spans = F.transform("offending", lambda s: F.concat_ws("-", s["start"], s["end"]))
+    return toxicity.scored(docs, model).select(
+        "doc_id",
+        toxicity.is_held_out().alias("held_out"),
+        "score",
+        "predicted",
+        F.array_join(spans, ",").alias("offending_spans"),
+    )
+
+
 QUERIES = {
     "op1_html_text": op1_html_text,
     "op2_top_k": op2_top_k,
@@ -211,6 +225,7 @@ QUERIES = {
     "op10_cover_tree": op10_cover_tree,
     "op11_lexical_search": op11_lexical_search,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_toxicity": op13_toxicity,
 }
 SQL = {
     "op2_top_k": OP2_SQL,
