@@ -111,6 +111,48 @@ def test_line_dedup(spark, unit):
     assert line_dedup.deduplicated(cases.docs(spark, empty=True)).count() == 0
 
 
+def plain_runs(texts, least):
+    """(key, text) without passages of least words or more that were seen before, sentence by sentence."""
+    first, out = {}, []
+    for key, text in texts:
+        for m in re.finditer("[^\n.!?]+[.!?]*|[.!?]+", text):
+            first.setdefault(tuple(m[0].lower().encode().split()), (key, m.start()))
+    for key, text in texts:
+        run, gone = [], set()
+        for m in [*re.finditer("[^\n.!?]+[.!?]*|[.!?]+", text), None]:
+            words = m and tuple(m[0].lower().encode().split())
+            if words is not None and not words:
+                continue
+            if words and first[words] != (key, m.start()):
+                run.append((m.span(), len(words)))
+                continue
+            if sum(n for _, n in run) >= least:
+                gone |= {s for s, _ in run}
+            run = []
+        kept = "".join(c for i, c in enumerate(text) if not any(a <= i < b for a, b in gone))
+        out.append((key, kept, sorted(gone)))
+    return out
+
+
+def test_repeated_passages(spark):
+    shared = [cases.prose(900 + i, 9) for i in range(8)]
+    texts = []
+    for i in range(40):
+        own = [cases.prose(i * 50 + j, 7) for j in range(4)] + ["all rights reserved"]
+        if i % 3 == 0:  # six or more of the shared sentences, on lines cut anew
+            own[2:2] = shared[: 6 + i % 3]
+        elif i % 3 == 1:
+            own.insert(1, shared[i % 8])  # one by itself stays
+        glue = (". ", "!\n", ".\n \n", "? ")[i % 4]
+        texts.append((i, glue.join(own) + "."))
+    frame = spark.createDataFrame(texts, "doc_id long, text string")
+    frame = frame.selectExpr("*", "1 AS no_id", "2 AS own_id", "3 AS tie", "4 AS `a``b`")
+    found = line_dedup.deduplicated(frame, "sentence", 1, 20).collect()
+    got = sorted((r.doc_id, r.text, [tuple(x) for x in r.removed]) for r in found)
+    assert got == plain_runs(texts, 20)
+    assert sum(bool(r.removed) for r in found) >= 10
+
+
 def signed(x):
     return x - (1 << 64) if x >> 63 else x
 
@@ -251,6 +293,8 @@ def test_representatives(spark):
     rows = cases.rows()
     kept = simhash.representatives(cases.docs(spark))
     assert kept.columns == cases.docs(spark).columns
+    odd = cases.docs(spark).selectExpr("*", "1 AS key", "2 AS place", "3 AS `a``b`", "4 AS `_fp`")
+    assert simhash.representatives(odd).columns == odd.columns
     groups = {r.component_id for r in simhash.near_duplicates(cases.docs(spark)).collect()}
     got = kept.collect()
     assert sorted(str(r.doc_id) for r in got) == sorted(map(str, groups))
@@ -351,5 +395,18 @@ def held_out(model):
     assert hit[truth].mean() >= 0.9 and hit[~truth].mean() <= 0.05
 
 
+def test_secrets_of_unseen_contexts():
+    for seed in (7, 1, 2):
+        model = secrets.train([("some text here", 0, 0, -1)], seed=seed)
+        held_out(model)
+
+
+def test_candidates_apart_from_spans():
+    text = " ".join(f"deadbeef{i:020d} value{i:020d}x" for i in range(3000))  # 170 KB
+    base, found = secrets.rule_spans(text), secrets.candidates(text)
+    want = [c for c in found[:300] if not any(c[0] < e and s < c[1] for _, s, e in base[:400])]
+    assert secrets.apart(found, base)[: len(want)] == want
+
+
 def test_redaction_merges_spans():
     assert secrets.redacted("abcdefgh", [("a", 1, 3), ("b", 2, 5), ("c", 6, 7)]) == "a[SECRET]f[SECRET]h"

@@ -5,8 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
@@ -75,3 +77,33 @@ def discard(spark: SparkSession, path: str) -> None:
 def with_columns(df: DataFrame, added: str) -> StructType:
     """The schema of df, whatever its columns are called, with more columns from a DDL string."""
     return StructType([*df.schema.fields, *StructType.fromDDL(added).fields])
+
+
+def quoted(name: str) -> str:
+    """A column's name as it is written in an expression, whatever it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def free_name(columns: list[str], name: str) -> str:
+    """name, or a longer one that no column has."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name = "_" + name
+    return name
+
+
+def mapped(df: DataFrame, run: Callable, schema: StructType) -> DataFrame:
+    """df.mapInArrow(run, schema) for columns of any name, also those that Spark can't look up.
+
+    run sees columns c0, c1 and so on, and its columns count by their order.
+    """
+    inside = StructType.fromDDL(
+        ", ".join(f"r{i} {f.dataType.simpleString()}" for i, f in enumerate(schema.fields))
+    )
+
+    def renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in run(batches):
+            yield pa.RecordBatch.from_arrays(batch.columns, inside.names)
+
+    plain = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+    return plain.mapInArrow(renamed, inside).toDF(*schema.names)

@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from trackscan.llm.common import discard, new_folder, saved, ship
 
-#: Postings of one part of the index, which a task holds at a time.
-PART_POSTINGS = 1 << 19
+#: Postings of one part of the index; a task holds two parts at a time, or one larger row.
+PART_POSTINGS = 1 << 18
 #: Terms of a block of queries. A block goes to every task, so its size is checked.
 BLOCK_TERMS = 1 << 18
 #: Of a term's weight, an impact and the normaliser of documents.
@@ -100,7 +100,7 @@ def counted(docs: DataFrame, keep: str) -> DataFrame:
 
 
 STRATUM = (
-    "m long, docs array<long>, terms array<string>, counts array<int>, "
+    "m long, docs array<long>, terms string, counts array<int>, "
     "runs binary, tfs binary, sizes binary, at binary"
 )
 
@@ -149,6 +149,13 @@ def _lists(values: pa.Array, stratum: np.ndarray, n: int) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
 
 
+def _joined(words: pa.Array, stratum: np.ndarray, n: int) -> pa.Array:
+    """Words, which hold no space, as one text for each of n strata."""
+    ends = np.searchsorted(stratum, np.arange(n + 1))
+    listed = words.to_pylist()
+    return pa.array([" ".join(listed[a:b]) for a, b in zip(ends, ends[1:], strict=False)], pa.string())
+
+
 def _blobs(values: np.ndarray, stratum: np.ndarray, n: int) -> pa.Array:
     ends = np.searchsorted(stratum, np.arange(n + 1))
     return pa.array([values[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)], pa.binary())
@@ -179,7 +186,7 @@ def strata(ids, n, words, tfs, n_docs: int, length: int) -> pa.RecordBatch:
     cells = [
         pa.array(values),
         _lists(pa.array(ids, pa.int64()).take(pa.array(order)), of_doc, k),
-        _lists(coded.dictionary.take(pa.array(code[term_at])), s[term_at], k),
+        _joined(coded.dictionary.take(pa.array(code[term_at])), s[term_at], k),
         _lists(pa.array(np.diff(np.append(term_at, len(code))).astype(np.int32)), s[term_at], k),
         _blobs(run_term.astype(np.int32), s[run_at], k),
         _blobs(tf[run_at], s[run_at], k),
@@ -199,14 +206,16 @@ class Strata:
 
     def __init__(self, rows: pa.RecordBatch, vocabulary: pa.Array) -> None:
         m = rows.column(0).to_numpy()
-        docs, words = rows.column(1), rows.column(2)
+        docs = rows.column(1)
+        words = [x.as_py().split(b" ") for x in rows.column(2).cast(pa.binary())]
         self.ids = docs.flatten()
         self.key = self.ids.fill_null(np.iinfo(np.int64).max).to_numpy()  # ids by order, null last
         sizes = docs.value_lengths().to_numpy()
         self.n, self.width = len(m), max(1, len(vocabulary))
         base = np.concatenate(([0], np.cumsum(sizes)))
-        word_base = np.concatenate(([0], np.cumsum(words.value_lengths().to_numpy())))
-        known = pc.index_in(words.flatten(), value_set=vocabulary).fill_null(-1).to_numpy()
+        word_base = np.concatenate(([0], np.cumsum([len(w) for w in words])))
+        flat = pa.array([w for some in words for w in some], pa.binary())
+        known = pc.index_in(flat, value_set=vocabulary).fill_null(-1).to_numpy()
 
         def blob(column: int, kind) -> tuple[np.ndarray, np.ndarray]:
             parts = [np.frombuffer(x.as_py(), kind) for x in rows.column(column)]
@@ -314,7 +323,8 @@ def weighted(index: Index, queries: DataFrame) -> DataFrame:
         forward.mapInArrow(run, "query struct<item_id:long,text:string>, term string, n long"),
         "query-terms",
     )
-    listed = index.strata.select(F.explode(F.arrays_zip("terms", "counts")).alias("x"))
+    zipped = F.arrays_zip(F.split("terms", " ").alias("terms"), "counts")
+    listed = index.strata.select(F.explode(zipped).alias("x"))
     # the terms of queries are few beside those of documents; Spark broadcasts them if they are small
     held = listed.select(F.col("x.terms").alias("term"), F.col("x.counts").alias("docs"))
     df = (
@@ -364,8 +374,9 @@ def search(index: Index, queries: DataFrame, k: int = 20) -> DataFrame:
 def _searched(index: Index, block: DataFrame, k: int) -> DataFrame:
     """Rows (item_id, text, doc_id, score), k from every task, for a block of queries."""
     asked = block.select("item_id", "text", "term", "weight").orderBy("item_id", "text", "term").collect()
-    vocabulary = pa.array(sorted({r["term"] for r in asked}), pa.string())
-    code = {t: i for i, t in enumerate(vocabulary.to_pylist())}
+    known = sorted({r["term"] for r in asked})
+    vocabulary = pa.array([t.encode() for t in known], pa.binary())
+    code = {t: i for i, t in enumerate(known)}
     queries: dict[tuple, list[tuple[int, int]]] = {}
     for r in asked:
         queries.setdefault((r["item_id"], r["text"]), []).append((code[r["term"]], r["weight"]))
@@ -375,9 +386,11 @@ def _searched(index: Index, block: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = [Best.none() for _ in parts]
         for batch in batches:
-            for a in range(0, batch.num_rows, PART_ROWS):
-                some = Strata(batch.slice(a, PART_ROWS), vocabulary)
-                best = [some.search(c, w, k, b) for (c, w), b in zip(parts, best, strict=True)]
+            postings = np.cumsum(pc.binary_length(batch.column(7)).to_numpy()) // 4
+            cuts = np.unique(postings // (2 * PART_POSTINGS), return_index=True)[1]
+            for a, b in zip(cuts, [*cuts[1:], batch.num_rows], strict=False):
+                some = Strata(batch.slice(a, b - a), vocabulary)
+                best = [some.search(c, w, k, x) for (c, w), x in zip(parts, best, strict=True)]
         n = [len(b.score) for b in best]
         if sum(n):
             owner = np.repeat(np.arange(len(n)), n)
@@ -392,7 +405,3 @@ def _searched(index: Index, block: DataFrame, k: int) -> DataFrame:
             )
 
     return index.strata.mapInArrow(run, "item_id long, text string, doc_id long, score long")
-
-
-#: Rows of the index that a task looks at together; a part has a few hundred.
-PART_ROWS = 512

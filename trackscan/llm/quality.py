@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackscan.llm.common import saved, ship
+from trackscan.llm.common import mapped, saved, ship, with_columns
 
 #: Labelled rows of either label that are learned from, chosen by a hash of their id.
 TRAIN_ROWS = 4_000
@@ -201,5 +201,4 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
                 [*batch.schema.names, "score", "predicted"],
             )
 
-    schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes)
-    return rows.mapInArrow(run, schema + ", score double, predicted int")
+    return mapped(rows, run, with_columns(rows, "score double, predicted int"))

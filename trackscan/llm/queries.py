@@ -26,7 +26,8 @@ from trackscan.llm.common import table
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     chars = F.aggregate("removed", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
-    return line_dedup.deduplicated(docs).select(
+    found = line_dedup.deduplicated(docs, "sentence", least_words=1, least_run=20)
+    return found.select(
         "doc_id",
         "n_units",
         F.size("removed").cast("long").alias("n_removed"),
@@ -40,28 +41,37 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP4_SQL = r"""
-WITH lines AS (
-    SELECT doc_id, pos, line,
-           coalesce(sum(length(line) + 1) OVER (
-               PARTITION BY doc_id ORDER BY pos
-               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS a,
-           lower(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'), ' ')) AS unit
-    FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
-                 generate_subscripts(string_split(text, chr(10)), 1) AS pos
-          FROM documents)
-), ranked AS (
-    SELECT *, length(unit) - length(replace(unit, ' ', '')) + 1 >= 5 AND unit <> ''
-              AND row_number() OVER (PARTITION BY unit ORDER BY doc_id, a) > 1 AS gone
-    FROM lines
+WITH split AS (
+    SELECT doc_id, text, regexp_extract_all(text, '[^\n.!?]+[.!?]*|[.!?]+|\n') AS parts
+    FROM documents
+), parts AS (
+    SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS pos FROM split
+), units AS (
+    SELECT doc_id, pos, part, a, unit, length(unit) - length(replace(unit, ' ', '')) + 1 AS words
+    FROM (SELECT doc_id, pos, part,
+                 (sum(length(part)) OVER (PARTITION BY doc_id ORDER BY pos) - length(part))::BIGINT AS a,
+                 trim(regexp_replace(lower(part), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS unit
+          FROM parts)
+), repeated AS (
+    SELECT doc_id, pos, words, row_number() OVER (PARTITION BY unit ORDER BY doc_id, a) > 1 AS again
+    FROM units WHERE unit <> ''
+), runs AS (
+    SELECT *, count(*) FILTER (NOT again) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM repeated
+), gone AS (
+    SELECT doc_id, pos FROM (
+        SELECT *, sum(words) FILTER (again) OVER (PARTITION BY doc_id, run) AS total FROM runs)
+    WHERE again AND total >= 20
+), marked AS (
+    SELECT u.*, g.pos IS NOT NULL AS gone FROM units u LEFT JOIN gone g USING (doc_id, pos)
 )
-SELECT doc_id, count(*) AS n_units, count(*) FILTER (gone) AS n_removed,
-       coalesce(sum(length(line)) FILTER (gone), 0)::BIGINT AS removed_chars,
-       coalesce(string_agg(a || '-' || (a + length(line)), ',' ORDER BY a) FILTER (gone), '')
+SELECT d.doc_id, greatest(count(m.pos) FILTER (m.part <> chr(10)), (d.text IS NOT NULL)::INT)::BIGINT AS n_units,
+       count(*) FILTER (m.gone) AS n_removed,
+       coalesce(sum(length(m.part)) FILTER (m.gone), 0)::BIGINT AS removed_chars,
+       coalesce(string_agg(a || '-' || (a + length(m.part)), ',' ORDER BY a) FILTER (m.gone), '')
            AS removed_spans,
-       length(coalesce(string_agg(line, chr(10) ORDER BY a) FILTER (NOT gone), ''))::BIGINT
-           AS kept_chars,
-       md5(coalesce(string_agg(line, chr(10) ORDER BY a) FILTER (NOT gone), '')) AS kept_md5
-FROM ranked GROUP BY doc_id
+       length(coalesce(string_agg(m.part, '' ORDER BY a) FILTER (NOT m.gone), ''))::BIGINT AS kept_chars,
+       md5(coalesce(string_agg(m.part, '' ORDER BY a) FILTER (NOT m.gone), '')) AS kept_md5
+FROM documents d LEFT JOIN marked m USING (doc_id) GROUP BY d.doc_id, d.text
 """
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"

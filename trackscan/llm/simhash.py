@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackscan.llm.common import saved, ship
+from trackscan.llm.common import free_name, mapped, quoted, saved, ship, with_columns
 from trackscan.llm.graph import components, merge_labels
 
 SHINGLE_WORDS = 4
@@ -54,9 +54,12 @@ def fingerprint(text: str | None, shingle_words: int = SHINGLE_WORDS) -> int:
 
 
 def fingerprints(
-    docs: DataFrame, shingle_words: int = SHINGLE_WORDS, keep: Sequence[str] = ("doc_id",)
+    docs: DataFrame,
+    shingle_words: int = SHINGLE_WORDS,
+    keep: Sequence[str] = ("doc_id",),
+    name: str = "fp",
 ) -> DataFrame:
-    """Rows (*keep, fp) for every row of docs; fp holds the 64 bits as a signed long."""
+    """Rows (*keep, name) for every row of docs; the last holds the 64 bits as a signed long."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,13 +70,13 @@ def fingerprints(
                 batch.num_rows,
             )
             yield pa.record_batch(
-                [*batch.columns[1:], pa.array(fps.view(np.int64))], [*keep, "fp"]
+                [*batch.columns[1:], pa.array(fps.view(np.int64))], [*keep, name]
             )
 
-    text = F.col("text").cast("string").alias("read")
-    kept = docs.select(*keep)
-    schema = ", ".join(f"`{n}` {t}" for n, t in kept.dtypes)
-    return docs.select(text, *keep).mapInArrow(run, schema + ", fp long")
+    kept = [quoted(c) for c in keep]
+    text = F.col("text").cast("string").alias(free_name(list(keep), "read"))
+    schema = with_columns(docs.select(*kept), f"{name} long")
+    return mapped(docs.select(text, *kept), run, schema)
 
 
 def blocks(max_bits: int) -> list[tuple[int, int]]:
@@ -264,26 +267,25 @@ def representatives(
     without ids keeps one row too. The columns are those of docs.
     """
     columns = docs.columns
-    own = saved(fingerprints(docs, shingle_words, columns), "fingerprints").withColumnRenamed(
-        "fp", "__fp"
-    )
-    ids = own.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__fp").alias("fp"))
+    fp, key, place = (free_name(columns, n) for n in ("fp", "key", "place"))
+    own = saved(fingerprints(docs, shingle_words, columns, fp), "fingerprints")
+    ids = own.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(fp).alias("fp"))
     first = F.struct(F.col("first").isNull(), "first", "fp")
     chosen = (
         _rooted(ids, max_bits)
         .groupBy("root")
         .agg(F.min(first).alias("first"))
         .select(
-            F.coalesce(F.col("first.first").cast("string"), F.lit("")).alias("__id"),
-            F.col("first.fp").alias("__fp"),
+            F.coalesce(F.col("first.first").cast("string"), F.lit("")).alias(key),
+            F.col("first.fp").alias(fp),
         )
     )
-    key = F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit(""))
-    place = F.row_number().over(Window.partitionBy("__id", "__fp").orderBy("text"))
+    doc_id = F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit(""))
+    number = F.row_number().over(Window.partitionBy(key, fp).orderBy("text"))
     return (
-        own.withColumn("__id", key)
-        .join(chosen, ["__id", "__fp"], "left_semi")
-        .withColumn("__place", place)
-        .filter(F.col("__place") == 1)
-        .select(*columns)
+        own.withColumn(key, doc_id)
+        .join(chosen, [key, fp], "left_semi")
+        .withColumn(place, number)
+        .filter(F.col(place) == 1)
+        .select(*map(quoted, columns))
     )

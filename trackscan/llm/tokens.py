@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from collections.abc import Callable
 
 import public_tokenizers
 from tokenizers import Tokenizer
@@ -22,8 +23,11 @@ _ODD = "".join(
 )
 #: What a text doesn't have if single spaces and line ends are all that is between its words.
 _UNEVEN = ("  ", "\n\n", " \n", "\n ", "\t", "\r", "\x0b", "\x0c", *_ODD)
+#: Letters up to U+00FF, then ASCII marks but for the apostrophe: a word and its marks are separate
+#: for every pre-tokenizer that Direct accepts.
+_SIMPLE = re.compile(r"([A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
 #: With a full memo a Python worker takes about 300 MB.
-MEMO_PIECES, MEMO_PIECE_CHARS = 900_000, 64
+MEMO_PIECES, MEMO_PIECE_CHARS, MEMO_MARKS = 900_000, 64, 10_000
 
 
 class _Memo(dict):
@@ -35,10 +39,16 @@ class _Memo(dict):
 
     def __init__(self, library: Tokenizer) -> None:
         self.library = library
+        self.direct = direct(library)
         self.old: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.old.pop(piece, None)
+        if ids is None and self.direct:
+            simple = _SIMPLE(piece)
+            if simple:
+                word, marks = simple.groups()
+                ids = self[word] + self.direct("", marks) if marks else self.direct(word, "")
         if ids is None:
             ids = encoded(self.library, piece if piece[0].isspace() else " " + piece)
         if len(piece) <= MEMO_PIECE_CHARS:
@@ -53,6 +63,59 @@ def encoded(library: Tokenizer, text: str) -> bytes:
     return array("I", library.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
 
 
+def _byte_letters() -> list[str]:
+    """A letter for each byte, as byte-level vocabularies write them: a visible Latin-1 character
+    stands for itself, the others are U+0100 and on in the order of the bytes."""
+    seen = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in seen]
+    return [chr(b) if b in seen else chr(256 + hidden.index(b)) for b in range(256)]
+
+
+_LETTERS = dict(enumerate(_byte_letters()))
+
+
+def _in_letters(word: str) -> str:
+    return word if word.isascii() else word.encode().decode("latin-1").translate(_LETTERS)
+
+
+#: What a word after a space is in the model's own letters, by the kind of vocabulary.
+_FORMS: tuple[Callable[[str], str], ...] = (
+    lambda word: _LETTERS[32] + _in_letters(word),
+    lambda word: _in_letters(word.lower()),
+)
+
+
+def direct(library: Tokenizer) -> Callable[[str, str], bytes] | None:
+    """A function that gives the ids of a word after a space, and of the marks behind it.
+
+    It asks the model itself, past normaliser and pre-tokenizer, which do nothing to such words
+    but write them in the model's letters. Which letters is tried out on words of all lengths up
+    to three; a vocabulary for which neither form gives the library's own ids has none.
+    """
+    model, tails = library.model, {"": b""}
+    if any(t.content.isalpha() for t in library.get_added_tokens_decoder().values()):
+        return None
+    letters = "".join(c for c in map(chr, range(256)) if c.isalpha())
+    words = [*letters, *(a + b for a, b in zip(letters, letters[1:], strict=False))]
+    words += [letters[i : i + n] for n in (3, 5, 9, 30) for i in range(0, len(letters), 3)]
+    words += ["the", "The", "WITH", "there", "understanding", "Straße", "différence", "niño"]
+    for form in _FORMS:
+
+        def ids(word: str, marks: str, form=form) -> bytes:
+            tail = tails.get(marks)
+            if tail is None:
+                tail = encoded(library, marks)
+                if len(tails) < MEMO_MARKS:
+                    tails[marks] = tail
+            if not word:
+                return tail
+            return array("I", [t.id for t in model.tokenize(form(word))]).tobytes() + tail
+
+        if all(ids(w, m) == encoded(library, f" {w}{m}") for w in words for m in ("", ".", ",)")):
+            return ids
+    return None
+
+
 class Encoder:
     """Whole-text encoding that gives the library's own ids, as little-endian 32-bit bytes.
 

@@ -16,12 +16,13 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackscan.llm.common import saved, ship, with_columns
+from trackscan.llm.common import mapped, saved, ship, with_columns
 
 #: Labelled rows of either label that are learned from, chosen by a hash of their id.
 TRAIN_ROWS = 6_000
@@ -30,15 +31,17 @@ FEATURES, LEAST_DOCS = 4_096, 3
 #: Of a feature's log-odds, to be used: standard errors above zero. What stands in a larger share of
 #: the clean documents says little of any one sentence.
 LEAST_Z, MOST_CLEAN = 3.0, 0.05
-GRAMS, MOST_WORD = (3, 4, 5, 6), 64
+GRAMS = (3, 4, 5, 6)
+#: Longer words count as a whole in training, without their n-grams; scoring reads them all.
+MOST_WORD = 64
 THRESHOLD = 0.3
 SHRINK, STEPS, RATE, LEAK = 1e-4, 400, 0.1, 1e-3
-#: Distinct words whose weight a Python worker remembers.
-MEMO_WORDS = 300_000
+#: Distinct features that a task counts before it hands their counts on.
+HELD_FEATURES = 300_000
 
 WORDS = re.compile(r"\w+")
-#: A sentence ends with a mark that is followed by white space, or with its line.
-SENTENCES = re.compile(r"[^\n.!?。！？]*(?:[.!?]+(?![\s])[^\n.!?。！？]*)*[.!?。！？]*")
+#: A sentence ends behind a mark that is followed by white space, or with its line.
+ENDS = re.compile(r"[.!?](?=\s)|[。！？]|\n")
 
 
 @dataclass(frozen=True)
@@ -52,20 +55,20 @@ class Model:
 
 
 def sentences(text: str) -> Iterator[tuple[int, int]]:
-    """(start, end) of every sentence that isn't empty, without the white space around it."""
-    for m in SENTENCES.finditer(text):
-        a, b = m.span()
-        part = text[a:b]
-        a, b = b - len(part.lstrip()), a + len(part.rstrip())
-        if b > a:
-            yield a, b
+    """(start, end) of every sentence, with the white space around it; none is empty."""
+    past = 0
+    for m in ENDS.finditer(text):
+        yield past, m.end()
+        past = m.end()
+    if past < len(text):
+        yield past, len(text)
 
 
 def features(word: str) -> set[str]:
     """The word itself, and its character n-grams with borders."""
     marked = f"<{word}>"
     found = {marked}
-    for n in GRAMS:
+    for n in GRAMS if len(word) <= MOST_WORD else ():
         found.update(marked[i : i + n] for i in range(len(marked) - n + 1))
     return found
 
@@ -113,9 +116,9 @@ def chosen_features(sample: DataFrame, n: int = FEATURES) -> list[str]:
         counts: tuple[Counter, Counter] = (Counter(), Counter())
         for batch in batches:
             for toxic, text in zip(*batch.columns, strict=True):
-                words = {w for w in WORDS.findall(text.as_py().lower()) if len(w) <= MOST_WORD}
+                words = set(WORDS.findall(text.as_py().lower()))
                 counts[toxic.as_py()].update(set().union(*map(features, words)))
-                if len(counts[0]) + len(counts[1]) > MEMO_WORDS:
+                if len(counts[0]) + len(counts[1]) > HELD_FEATURES:
                     yield from out(counts)
         yield from out(counts)
 
@@ -153,33 +156,25 @@ def chosen_features(sample: DataFrame, n: int = FEATURES) -> list[str]:
 
 
 class Instances:
-    """Sentences of a text as sets of known features, each word looked up once."""
+    """Sentences of a text as sets of known features, which one automaton finds in one pass."""
 
     def __init__(self, known: dict[str, int]) -> None:
-        self.known = known
-        self.memo: dict[str, tuple[int, ...]] = {}
-
-    def of_word(self, word: str) -> tuple[int, ...]:
-        found = self.memo.get(word)
-        if found is None:
-            found = tuple(sorted(self.known[f] for f in features(word) if f in self.known))
-            if len(word) <= MOST_WORD:
-                if len(self.memo) >= MEMO_WORDS:
-                    self.memo.clear()
-                self.memo[word] = found
-        return found
+        self.automaton = ahocorasick.Automaton()
+        for feature, i in known.items():
+            self.automaton.add_word(feature, i)
+        self.automaton.make_automaton()
+
+    def _found(self, text: str) -> frozenset[int]:
+        # a feature has "<" or ">" at its borders only, so none lies across two words
+        marked = "<" + "><".join(WORDS.findall(text.lower())) + ">"
+        return frozenset(i for _, i in self.automaton.iter(marked))
 
     def of_text(self, text: str) -> Iterator[tuple[int, int, frozenset[int]]]:
         """(start, end, features) of the sentences that have a known one."""
-        low = text.lower()
-        hot = {w for w in set(WORDS.findall(low)) if self.of_word(w)}
-        if not hot:
-            return
         for a, b in sentences(text):
-            # the lower-cased sentence by itself: lower-casing a text may move its positions
-            words = [w for w in WORDS.findall(text[a:b].lower()) if w in hot]
-            if words:
-                yield a, b, frozenset(f for w in words for f in self.of_word(w))
+            found = self._found(text[a:b])
+            if found:
+                yield a, b, found
 
 
 def bags(sample: DataFrame, known: list[str]) -> DataFrame:
@@ -279,7 +274,8 @@ class Scorer:
             p = float(_sigmoid(self.model.offset + self.w[sorted(fs)].sum()))
             clean += np.log1p(-min(p, 1 - 1e-15))
             if p >= THRESHOLD:
-                found.append((a, b, p))
+                own = text[a:b]
+                found.append((b - len(own.lstrip()), a + len(own.rstrip()), p))
         return float(-np.expm1(clean)), found
 
 
@@ -312,4 +308,4 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
             )
 
     added = "score double, predicted int, offending array<struct<start:long,end:long,score:double>>"
-    return rows.mapInArrow(run, with_columns(rows, added))
+    return mapped(rows, run, with_columns(rows, added))
