@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackscan.llm import jaccard, mixing, packing, quality, secrets
+from trackscan.llm import mixing, packing, quality, secrets, simhash
 from trackscan.llm.common import saved, table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -19,8 +19,9 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: 80 % of the shingles of five words."""
-    return jaccard.representatives(docs).select(*COLUMNS)
+    """One document of each group of near duplicates: fingerprints of shingles of four words that
+    differ in at most four bits, as op7 links them."""
+    return simhash.representatives(docs, max_bits=4, shingle_words=4).select(*COLUMNS)
 
 
 def secrets_removed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
