@@ -6,6 +6,7 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow as pa
@@ -107,3 +108,16 @@ def mapped(df: DataFrame, run: Callable, schema: StructType) -> DataFrame:
 
     plain = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
     return plain.mapInArrow(renamed, inside).toDF(*schema.names)
+
+
+@contextmanager
+def rows_per_batch(spark: SparkSession, n: int):
+    """Within it, Python gets n rows at a time of what is run: for rows of hundreds of kilobytes,
+    of which Spark's own number would fill an executor."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(n))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)

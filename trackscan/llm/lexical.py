@@ -24,12 +24,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackscan.llm.common import discard, new_folder, saved, ship
+from trackscan.llm.common import discard, new_folder, rows_per_batch, saved, ship
 
 #: Postings of one part of the index; a task holds two parts at a time, or one larger row.
 PART_POSTINGS = 1 << 18
 #: Terms of a block of queries. A block goes to every task, so its size is checked.
 BLOCK_TERMS = 1 << 18
+#: Strata that a task is handed at a time.
+BATCH_ROWS = 64
 #: Of a term's weight, an impact and the normaliser of documents.
 WEIGHT_SCALE, IMPACT_SCALE, TF_SCALE, M_SCALE = 1_000, 1_000_000_000, 1_000, 12
 M_BASE, M_SHARE = 100, 25
@@ -358,7 +360,10 @@ def search(index: Index, queries: DataFrame, k: int = 20) -> DataFrame:
     """
     spark = queries.sparkSession
     rows, blocks = _in_blocks(saved(weighted(index, queries), "weights"))
-    found = [saved(_searched(index, rows.filter(F.col("block") == b), k), "found") for b in range(blocks)]
+    found = []
+    with rows_per_batch(spark, BATCH_ROWS):
+        for b in range(blocks):
+            found.append(saved(_searched(index, rows.filter(F.col("block") == b), k), "found"))
     best = Window.partitionBy("item_id", "text").orderBy(
         F.col("score").desc(), F.col("doc_id").asc_nulls_last()
     )
