@@ -6,6 +6,8 @@ work on arrays inside the page row; the two share only the fixed values and the
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from trackscan import fixed_values as fixed
 from trackscan.sources.planted import PLANTED_HTML
 
@@ -36,6 +38,10 @@ NOSCRIPT = rf"(?is)<!--.*?(?:-->|\z)|{RAW}|{OPEN['noscript']}.*?(?:</noscript\s*
 HEAD = rf"(?s)^<[a-zA-Z][^\s/>]*({AT})>"
 BODY = rf"(?is)^<(?:script|style)(?:[\s/]{AT})?>(.*?)(?:</(?:script|style)\s*>)?\z"
 ATTRIBUTE = r"""([^\s>/=]+)(?:\s*=+\s*("[^"]*"|'[^']*'|[^\s>]+))?"""
+# A character reference with all that its name could be, or what is between references.
+PIECES = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)|[^&]+|&"
+# The characters of numbers 128 to 159; five are control characters.
+WINDOWS = "€\x81‚ƒ„…†‡ˆ‰Š‹Œ\x8dŽ\x8f\x90‘’“”•–—˜™š›œ\x9džŸ"
 BACKGROUND = r"""(?i)background-image:\s*url\(["']?([^"')]+)["']?\)"""
 NETLOC = r"^(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?//([^/?#]*)"
 PATH = r"^(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?(?://[^/?#]*)?([^?#]*)"
@@ -105,11 +111,30 @@ CTES = {
     " generate_subscripts(n, 1) AS i FROM (SELECT page_id, ns, pos,"
     f" regexp_extract_all(head, {text(ATTRIBUTE)}, 1) AS n,"
     f" regexp_extract_all(head, {text(ATTRIBUTE)}, 2) AS v FROM every)",
-    "attrs": "SELECT page_id, ns, pos, i, lower(name) AS name,"
-    " replace(replace(replace(replace(replace(CASE WHEN regexp_matches(value, '^[\"'']')"
-    " THEN substr(value, 2, length(value) - 2) ELSE value END,"
-    " '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&') AS value"
-    " FROM rawattrs",
+    "bare": "SELECT page_id, ns, pos, i, lower(name) AS name, CASE WHEN regexp_matches(value, '^[\"'']')"
+    " THEN substr(value, 2, length(value) - 2) ELSE value END AS value FROM rawattrs",
+    # Character references: a row for each piece of a value that has an ampersand.
+    "refs": f"SELECT * FROM (VALUES {rows(html5.items())}) t(name, char)",
+    "pieces": "SELECT page_id, ns, pos, i, unnest(l) AS p, generate_subscripts(l, 1) AS k FROM"
+    f" (SELECT *, regexp_extract_all(value, {text(PIECES)}) AS l FROM bare WHERE contains(value, '&'))",
+    "numbers": "SELECT page_id, ns, pos, i, k, CASE WHEN regexp_matches(p, '^&#[xX]')"
+    " THEN try_cast('0x' || regexp_extract(p, '^&#[xX]0*([0-9a-fA-F]+)', 1) AS BIGINT)"
+    " ELSE try_cast(regexp_extract(p, '[0-9]+') AS BIGINT) END AS n"
+    " FROM pieces WHERE regexp_matches(p, '^&#([0-9]|[xX][0-9a-fA-F])')",
+    "points": "SELECT page_id, ns, pos, i, k, CASE WHEN n IS NULL OR n = 0 OR n > 1114111"
+    " OR n BETWEEN 55296 AND 57343 THEN chr(65533) WHEN n BETWEEN 128 AND 159"
+    f" THEN substr({text(WINDOWS)}, (n - 127)::INT, 1)"
+    " WHEN n < 9 OR n = 11 OR n BETWEEN 14 AND 31 OR n = 127 OR n BETWEEN 64976 AND 65007"
+    " OR n % 65536 >= 65534 THEN '' ELSE chr(n::INT) END AS c FROM numbers",
+    "words": "SELECT DISTINCT p, substr(p, 2) AS name FROM pieces WHERE regexp_matches(p, '^&[^#]')",
+    "known": "SELECT w.p, coalesce(any_value(e.char), max_by(o.char || substr(w.name, length(o.name) + 1),"
+    " length(o.name)), w.p) AS c FROM words w LEFT JOIN refs e ON e.name = w.name"
+    " LEFT JOIN (SELECT * FROM refs WHERE name NOT LIKE '%;') o ON starts_with(w.name, o.name) GROUP BY w.p",
+    "joined": "SELECT page_id, ns, pos, i, string_agg(coalesce(q.c, w.c, p), '' ORDER BY k) AS value"
+    " FROM pieces LEFT JOIN points q USING (page_id, ns, pos, i, k) LEFT JOIN known w USING (p)"
+    " GROUP BY page_id, ns, pos, i",
+    "attrs": "SELECT b.page_id, b.ns, b.pos, b.i, b.name, coalesce(j.value, b.value) AS value FROM bare b"
+    " LEFT JOIN joined j ON b.page_id = j.page_id AND b.ns = j.ns AND b.pos = j.pos AND b.i = j.i",
     "wide": "SELECT page_id, ns, pos, "
     + ", ".join(
         f"arg_max(value, i) FILTER (WHERE name = '{n}') AS {n}_"
@@ -225,13 +250,16 @@ CTES = {
 # What each part reads, found by its names once and kept in definition order.
 ORDER = [
     "dom", "pat", "fam", "cdom", "intel", "cat", "cpat", "chost", "vm", "web", "toks", "els",
-    "nsblocks", "nsels", "every", "rawattrs", "attrs", "wide", "ev", "px", "b64", "ext", "inl",
+    "nsblocks", "nsels", "every", "rawattrs", "bare", "refs", "pieces", "numbers", "points",
+    "words", "known", "joined", "attrs", "wide", "ev", "px", "b64", "ext", "inl",
     "meta", "css", "bag", "risky", "counts", "res", "scored", "pd", "pcat", "hit", "det", "seen",
     "finger", "hosts", "enh", "escore", "req", "hist",
 ]
 NEEDS = {
     "toks": ["web"], "els": ["toks"], "nsblocks": ["web"], "nsels": ["nsblocks"],
-    "every": ["els", "nsels"], "rawattrs": ["every"], "attrs": ["rawattrs"], "wide": ["attrs"],
+    "every": ["els", "nsels"], "rawattrs": ["every"], "bare": ["rawattrs"],
+    "pieces": ["bare"], "numbers": ["pieces"], "points": ["numbers"], "words": ["pieces"],
+    "known": ["words", "refs"], "joined": ["pieces", "points", "known"], "attrs": ["bare", "joined"], "wide": ["attrs"],
     "ev": ["every", "wide"], "px": ["ev", "dom"], "b64": ["ev"], "ext": ["ev", "dom"],
     "inl": ["ev", "pat"], "meta": ["ev", "vm"], "css": ["ev", "dom"], "bag": ["px", "ext", "css"],
     "risky": ["bag", "cdom"], "counts": ["web", "px", "b64", "ext", "inl", "meta", "css", "risky"],

@@ -150,3 +150,18 @@ def test_broken_pages_take_linear_time(spark, part):
     took(40_000)
     small, large = took(400_000), took(4_000_000)
     assert large < 30 * max(small, 0.3)
+
+
+def test_character_references_are_the_parsers(spark):
+    from html import unescape
+
+    texts = [
+        "https:&#x2F;&#47;criteo.com&sol;x.gif", "&amp;lt; &amp;amp;", "&notit; &notin; &not", "a=1&copy=2&reg",
+        "&#128;&#129;&#159;&#x80;", "&#0;&#xD800;&#xDFFF;&#x110000;&#99999999999999999999;", "&#1;&#8;&#9;&#11;&#13;&#31;&#127;",
+        "&#xFDD0;&#xFFFE;&#x1FFFF;&#x1F600;&#0000065;&#x0041", "&bogus; &;& &# &#x &#xg; &x", "&nbsp;&hearts;&Aacute&aacute",
+        "&CounterClockwiseContourIntegral;", "&ampx;&AMP;&AMPamp;", "&" * 40 + "lt;", "&" + "a" * 50 + ";", "&acE;&NotEqualTilde;",
+        "plain", "", "é&eacute;日&#26085;",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r.i: r.d for r in df.select("i", lex.unescape(F.col("t")).alias("d")).collect()}
+    assert got == {i: unescape(t) for i, t in enumerate(texts)}

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from trackscan.functions.references import unescape
+
 # Text of a tag up to its closing bracket. A quote opens only as the start of a value, and then
 # hides brackets up to its end, or the end of the page.
 AT = r"""(?:[^>=]++|=++\s*+(?:"[^"]*+(?:"|\z)|'[^']*+(?:'|\z))?+)*+"""
@@ -43,17 +45,6 @@ ATTRIBUTE = r"""([^\s>/=]++)(?:\s*+=++\s*+("[^"]*+"|'[^']*+'|[^\s>]++))?"""
 # Tokens that any detection rule can use: the five tags, or an inline background image.
 RELEVANT = r"(?is)^<(?:img|iframe|script|style|meta)[\s/>]|^<[a-z][^\s/>]*[\s/].*background-image"
 
-_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
-
-
-def unescape(text: Column) -> Column:
-    """Decode the five basic entities; the ampersand comes last so nothing decodes twice."""
-    decoded = text
-    for entity, char in _ENTITIES:
-        decoded = F.replace(decoded, F.lit(entity), F.lit(char))
-    return F.when(text.contains("&"), decoded).otherwise(text)
-
-
 def tokens(html: Column) -> Column:
     """Every comment, tag, script and style of a page in document order."""
     # a tag left open is outside the group, and so an empty token

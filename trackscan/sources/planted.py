@@ -25,7 +25,7 @@ CASE WHEN page_id % 16 = 14 THEN '' ELSE concat(html,
     WHEN 9 THEN '<script>var c=canvas.getContext("2d");canvas.toDataURL();new RTCPeerConnection();c.measureText("x");</script>'
     WHEN 10 THEN '<script src="https://doubleclick.net/x.js"></script><script src="//criteo.com/a.js"></script><script src="https://www.mixpanel.com/m.js"></script>'
     WHEN 11 THEN '<img src="/a.png" style="width: 1px"><img src="/b.png" style="width:1px">'
-    WHEN 12 THEN '<IMG SRC="/img/Track.gif"><img src="http://cdn.example/p.jpg">'
+    WHEN 12 THEN '<IMG SRC="/img/Track.gif"><img src="http://cdn.example/p.jpg"><img src="https:&#x2F;&#47;criteo.com&sol;x&period;gif" alt="&notit; a&copy=1 &#128;&#xD800;&#0;&#1;&#x1F600;&#0000065 &#99999999999; &bogus; & &nbsp;&hearts;&CounterClockwiseContourIntegral;&ampx">'
     WHEN 13 THEN repeat('<img src="https://pixel.quantserve.com/p.gif" width="1" height="1">', 25)
     WHEN 15 THEN '<a title=it''s href=x>q</a><img src="https://criteo.com/q.gif"> don''t <b a = "x>y">z</b><noscript><i>n</i><img src="https://pixel.quantserve.com/n.gif"><!-- end'
     ELSE '' END) END
