@@ -5,6 +5,7 @@ Every query reads whole tables: `pages` through the planted view, or `events`.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,7 +31,7 @@ from trackscan.params import ScoringParams
 from trackscan.plans import basic_scan, reports, trends
 from trackscan.plans.basic_scan import detections, scan
 from trackscan.plans.enhanced_scan import enhanced_scan
-from trackscan.sources import catalog_files, history, results, seeds
+from trackscan.sources import catalog_files, folders, history, results, seeds
 from trackscan.sources.pages import METRICS, PAGE_WITH_METRICS_SCHEMA, failed, read_pages
 from trackscan.sources.planted import SCAN_TS, web_pages
 from trackscan.sources.requests import read_requests, requests_of_pages
@@ -1147,6 +1148,20 @@ def paged_results(spark, sf):
     )
 
 
+@query(
+    "SELECT page_id, score AS privacy_score FROM scored WHERE risk = 'Low'"
+    " ORDER BY scan_ts DESC, page_id LIMIT 50 OFFSET 40",
+    "scored",
+)
+def next_page(spark, sf):
+    """The page of results that follows the 40 rows shown before it."""
+    low = reports.by_risk(scanned(spark, sf), "Low", "privacy_analysis.risk_level")
+    shown = reports.seek(low, 40).select("scan_timestamp", "page_id").collect()[-1]
+    return reports.seek(low, 50, tuple(shown)).select(
+        "page_id", long("privacy_analysis.privacy_score")
+    )
+
+
 @query(
     "SELECT page_id, string_agg(pattern, ',' ORDER BY pos, ord) AS patterns FROM (SELECT *, row_number()"
     " OVER (PARTITION BY page_id ORDER BY pos, ord) AS rn FROM inl) WHERE rn <= 2 GROUP BY page_id",
@@ -1225,6 +1240,27 @@ def retained_history(spark, sf):
     )
 
 
+@query(
+    "SELECT strftime(scan_ts, '%Y-%m-%d') AS day, count(*) AS scans, (SELECT count(DISTINCT CAST(scan_ts AS"
+    " DATE)) FROM hist WHERE scan_ts >= TIMESTAMP '2024-01-17 12:30:00') AS folders FROM hist"
+    " WHERE scan_ts >= TIMESTAMP '2024-01-17 12:30:00' GROUP BY 1",
+    "hist",
+)
+def expired_history(spark, sf):
+    """History is stored, what is past its retention is removed, and the rest is read back."""
+    path = streams.shared_folder(spark, "expired-history")
+    rows = site_history(spark, sf).select(*[c.split()[0] for c in history.HISTORY_SCHEMA.split(", ")])
+    history.append(rows, path, files_per_day=2)
+    history.expire(spark, path, dt.datetime(2024, 1, 31, 12, 30), 14)
+    left = [n for n in folders.names(spark, path) if n.startswith("scan_date=")]
+    return (
+        history.read(spark, path)
+        .groupBy(day("scan_date").alias("day"))
+        .agg(F.count("*").alias("scans"))
+        .withColumn("folders", F.lit(len(left)).cast("long"))
+    )
+
+
 _LEVEL = (
     "SELECT event_id, concat_ws(',', CASE WHEN privacy_score < 60 THEN 'low_privacy_score' END,"
     " CASE WHEN tracker_count > 50 THEN 'too_many_trackers' END) AS reasons FROM hist"
@@ -1392,19 +1428,39 @@ def scan_anomalies(spark, sf):
     )
 
 
-@query(
+_LATEST_PATTERNS = (
     "SELECT 'u' || user_id AS domain, arg_max(event_type, ts) AS category, strftime(max(ts),"
     " '%Y-%m-%d %H:%M:%S') AS updated_at, 'p' || arg_max(event_id, ts) || ',q' AS patterns"
     " FROM events GROUP BY user_id"
 )
+
+
+@query(_LATEST_PATTERNS)
 def latest_patterns(spark, sf):
     """The newest row per host of a pattern table made from the events."""
-    table = load(spark, sf, "events").select(
+    return _patterns(_pattern_rows(spark, sf))
+
+
+@query(_LATEST_PATTERNS)
+def stored_patterns(spark, sf):
+    """The same from a stored table that four upserts have made, one of them a repeat."""
+    path = streams.shared_folder(spark, "patterns")
+    rows, third = _pattern_rows(spark, sf), F.pmod(F.crc32("patterns"), F.lit(3))
+    for part in (1, 0, 1, 2):
+        catalog_files.upsert_patterns(rows.filter(third == part), path)
+    return _patterns(catalog_files.read_patterns(spark, path))
+
+
+def _pattern_rows(spark, sf):
+    return load(spark, sf, "events").select(
         F.concat(F.lit("u"), "user_id").alias("domain"),
         F.col("event_type").alias("category"),
         F.concat(F.lit('["p'), "event_id", F.lit('","q"]')).alias("patterns"),
         F.col("ts").alias("last_updated"),
     )
+
+
+def _patterns(table):
     return catalog_files.latest_patterns(table).select(
         "domain",
         "category",
@@ -1623,20 +1679,23 @@ def stream_level_alerts(spark, sf):
     "hist",
 )
 def stream_change_alerts(spark, sf):
-    """Alerts over three batches: a third of the events is written, then the stream takes it."""
+    """Alerts over three batches: a third of the events is written, then the stream takes it.
+
+    Two days come late, one of them in the last batch."""
     folder = streams.shared_folder(spark, "stream-changes")
     events = load(spark, sf, "events")
     days = F.dayofmonth(F.col("ts").cast("timestamp"))
-    for part in (days <= 10, (days > 10) & (days <= 20), days > 20):
-        events.filter(part).write.mode("append").parquet(f"{folder}/events")
+    batch = F.when(days.isin(4, 15), 2).when(days == 7, 1).otherwise(F.least(F.floor((days - 1) / 10), F.lit(2)))
+    for part in range(3):
+        events.filter(batch == part).write.mode("append").parquet(f"{folder}/events")
         stream = spark.readStream.schema(events.schema).parquet(f"{folder}/events")
         writer = streams.change_alert_writer(
-            history_of(stream), f"{folder}/alerts", f"{folder}/state"
+            history_of(stream), f"{folder}/alerts", f"{folder}/state", lateness_days=40
         )
         writer.option("checkpointLocation", f"{folder}/checkpoint").trigger(
             availableNow=True
         ).start().awaitTermination()
-    return spark.read.parquet(f"{folder}/alerts").select(
+    return streams.change_alerts_of(spark, f"{folder}/alerts").select(
         "url",
         F.date_format("scan_ts", "yyyy-MM-dd HH:mm:ss").alias("scanned_at"),
         long("previous.privacy_score", "last_score"),

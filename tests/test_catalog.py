@@ -135,3 +135,36 @@ def test_large_catalogue_with_repeated_pages_and_null_lists(spark):
     assert sorted(map(key, found)) == sorted(map(key, want))
     ids = sorted(r.tracker_id for r in found if r.tracker_id.startswith("t") and r.tracker_id[1:].isdigit())
     assert ids == sorted(["t1", "t7", "t12", "t44"] * 4)
+
+
+def pattern_rows(spark, *rows):
+    return spark.createDataFrame(rows, "domain string, category string, patterns string, last_updated string")
+
+
+def test_upserts_keep_a_domain_unique(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "patterns")
+    with pytest.raises(FileNotFoundError):
+        catalog_files.read_patterns(spark, path)
+    first = pattern_rows(spark, ("a", "x", "[]", "1"), ("a", "y", "[]", "2"), ("b", "x", "[]", "5"), (None, "x", "[]", "9"))
+    assert catalog_files.upsert_patterns(first, path) == 1
+    assert catalog_files.upsert_patterns(first, path) == 2  # again: nothing changes
+    late = pattern_rows(spark, ("b", "old", "[]", "4"), ("c", "z", '["p"]', "1"))
+    assert catalog_files.upsert_patterns(late, path) == 3
+    claim, races = catalog_files.folders.claim, []
+
+    def other_writer_first(spark, file):
+        if not races:
+            races.append(1)
+            catalog_files.upsert_patterns(pattern_rows(spark, ("d", "w", "[]", "1")), path)
+        return claim(spark, file)
+
+    monkeypatch.setattr(catalog_files.folders, "claim", other_writer_first)
+    assert catalog_files.upsert_patterns(pattern_rows(spark, ("a", "new", "[]", "3")), path) == 5
+    rows = sorted(tuple(r)[:2] for r in catalog_files.read_patterns(spark, path).collect())
+    assert rows == [("a", "new"), ("b", "x"), ("c", "z"), ("d", "w")]
+    assert len(list((tmp_path / "patterns/versions").iterdir())) == catalog_files.KEPT_VERSIONS
+    (tmp_path / "patterns/claims/000000006").touch()  # a writer that died
+    with pytest.raises(RuntimeError):
+        catalog_files.upsert_patterns(late, path)
+    assert catalog_files.upsert_patterns(late, path, recover=True) == 7
+    assert catalog_files.read_patterns(spark, path).count() == 4

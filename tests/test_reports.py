@@ -235,3 +235,62 @@ def test_previous_keeps_all_rows_and_splits_a_hot_day(spark, rows, monkeypatch):
     values = sorted(v for _, _, v in hot)
     want = {("hot", v): before for before, v in zip([None, *values], values)}
     assert got == {**want, 1: None, 2: 1, 3: None, 4: None, 5: None, 6: None}
+
+
+def stored_history(spark, df, path):
+    dated = df.withColumn("scan_date", F.to_date("scan_ts"))
+    history.append(dated, path, files_per_day=2)
+
+
+def test_expired_dates_go_and_a_failure_loses_nothing(spark, hot_history, monkeypatch):
+    rows, df = hot_history
+    as_of = dt.datetime(2024, 1, 5, 12)
+    since = dt.datetime(2024, 1, 3, 12)
+    want = sorted(r[1] for r in rows if r[1] >= since)
+
+    def left(path):
+        return sorted(r[0] for r in history.read(spark, path).select("scan_ts").collect())
+
+    path = os.path.join(tempfile.mkdtemp(prefix="run-"), "history")
+    stored_history(spark, df, path)
+    days = sorted({r[1].date() for r in rows})
+    gone = history.expire(spark, path, as_of, 2)
+    assert gone == [str(d) for d in days if d < since.date()] and left(path) == want
+    assert not any(n in os.listdir(path) for n in (f"scan_date={g}" for g in gone))
+    assert history.expire(spark, path, as_of, 2) == [] and left(path) == want
+    # stopped after the folder of the date in part was lost
+    path = os.path.join(tempfile.mkdtemp(prefix="run-"), "history")
+    stored_history(spark, df, path)
+    whole, write = left(path), history._write_date
+
+    def stops(spark, copy, table):
+        history.folders.remove(spark, f"{table}/scan_date={since.date()}")
+        raise OSError("stopped")
+
+    monkeypatch.setattr(history, "_write_date", stops)
+    with pytest.raises(OSError):
+        history.expire(spark, path, as_of, 2)
+    monkeypatch.setattr(history, "_write_date", write)
+    history.expire(spark, path, as_of, 2)
+    assert left(path) == want
+    # stopped before: the copy is old, and rows that came since are not lost
+    path = os.path.join(tempfile.mkdtemp(prefix="run-"), "history")
+    stored_history(spark, df, path)
+    monkeypatch.setattr(history, "_write_date", lambda *_: (_ for _ in ()).throw(OSError("stopped")))
+    with pytest.raises(OSError):
+        history.expire(spark, path, as_of, 2)
+    monkeypatch.setattr(history, "_write_date", write)
+    assert left(path) == whole
+    stored_history(spark, df.limit(5).withColumn("scan_ts", F.lit(dt.datetime(2024, 1, 3, 20))), path)
+    history.expire(spark, path, as_of, 2)
+    assert left(path) == sorted([*want, *[dt.datetime(2024, 1, 3, 20)] * 5])
+
+
+def test_seek_pages_follow_one_another(spark):
+    times = [dt.datetime(2024, 1, 1 + i // 3) for i in range(20)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(times)], "page_id long, scan_timestamp timestamp")
+    shown, after = [], None
+    while page := reports.seek(df, 4, after).collect():
+        shown += [r.page_id for r in page]
+        after = (page[-1].scan_timestamp, page[-1].page_id)
+    assert shown == [r.page_id for r in reports.paged(df, 20).collect()]

@@ -150,3 +150,50 @@ def test_change_alert_query_keeps_partitions(spark, tmp_path, monkeypatch):
         spark.conf.unset("spark.sql.files.openCostInBytes")
     assert len(list((tmp_path / "run/events").glob("part-*"))) > 3
     assert len(list((tmp_path / "run/checkpoint/commits").glob("[0-9]*"))) == 3
+
+
+def written(spark, folder, parts):
+    """History files that arrive in the order of parts."""
+    for part in parts:
+        spark.createDataFrame(part, history.HISTORY_SCHEMA).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+
+
+def test_late_rows_give_the_batch_alerts(spark, files):
+    rows, folder = files
+    mixed = random.Random(3).sample(rows, len(rows))
+    mixed += [(None, START, 1, 1, "x", START.date()), ("u1", None, 1, 1, "x", None)]
+    late = tempfile.mkdtemp(prefix="run-")
+    written(spark, late, [mixed[i::4] for i in range(4)])
+    writer = streams.change_alert_writer(stream(spark, late), f"{late}/out", f"{late}/state", lateness_days=60)
+    writer.option("checkpointLocation", f"{late}/cp").trigger(availableNow=True).start().awaitTermination()
+    got = streams.change_alerts_of(spark, f"{late}/out")
+    want = trends.change_alerts(spark.createDataFrame(mixed, history.HISTORY_SCHEMA))
+    keys = ["url", "scan_ts", "score_fell", "trackers_rose", "previous.privacy_score", "previous.scan_ts"]
+    assert sorted(map(str, got.select(keys).collect())) == sorted(map(str, want.select(keys).collect()))
+    assert got.count() > 100
+
+
+def test_state_of_changes_by_bucket(spark, files):
+    """A batch writes the buckets of its urls only; rows that are too late are kept apart."""
+    _, folder = files
+    day = dt.timedelta(days=1)
+
+    def row(url, n, score):
+        ts = START + n * day
+        return (url, ts, 5, score, f"h{n}", ts.date())
+
+    urls = [f"u{i}" for i in range(30)]
+    parts = [[row(u, 0, 90) for u in urls], [row("u3", 1, 50)], [row("u3", 9, 20), row("u3", 4, 60)], [row("u3", 2, 1), row("u3", 10, 5)]]
+    late = tempfile.mkdtemp(prefix="run-")
+    for part in parts:
+        written(spark, late, [part])
+        writer = streams.change_alert_writer(stream(spark, late), f"{late}/out", f"{late}/state", lateness_days=6, buckets=8)
+        writer.option("checkpointLocation", f"{late}/cp").trigger(availableNow=True).start().awaitTermination()
+    got = [(r.scan_ts, r.previous.privacy_score, r.privacy_score) for r in streams.change_alerts_of(spark, f"{late}/out").collect()]
+    assert sorted(got) == [(START + day, 90, 50), (START + 9 * day, 60, 20), (START + 10 * day, 20, 5)]
+    from pathlib import Path
+
+    (home,) = Path(late, "state").iterdir()
+    by_batch = {p.name: len(list(p.glob("bucket=*"))) for p in (home / "rows").iterdir()}
+    assert by_batch["batch=0"] > 3 and by_batch["batch=3"] == 1 and "batch=1" not in by_batch
+    assert spark.read.parquet(str(home / "late")).count() == 1

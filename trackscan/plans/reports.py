@@ -309,6 +309,19 @@ def paged(results: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:
     return results.orderBy(F.desc("scan_timestamp"), "page_id").offset(offset).limit(limit)
 
 
+def seek(results: DataFrame, limit: int = 50, after: tuple | None = None) -> DataFrame:
+    """The same pages of results by the place where the last one ended.
+
+    after is (scan_timestamp, page_id) of the last row that was shown. Only limit rows of each task
+    meet, however far the page is, and a table that is stored by time skips the files before it.
+    """
+    if after is not None:
+        time, page = F.lit(after[0]), F.lit(after[1])
+        same = (F.col("scan_timestamp") == time) & (F.col("page_id") > page)
+        results = results.filter((F.col("scan_timestamp") <= time) & ((F.col("scan_timestamp") < time) | same))
+    return results.orderBy(F.desc("scan_timestamp"), "page_id").limit(limit)
+
+
 def first_per_page(scanned: DataFrame, array: str, n: int) -> DataFrame:
     """The first n entries of an array column of each page."""
     return scanned.select("page_id", F.slice(array, 1, n).alias("first"))

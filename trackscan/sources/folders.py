@@ -31,3 +31,12 @@ def claim(spark: SparkSession, path: str) -> bool:
         if "FileAlreadyExists" in str(error):
             return False
         raise
+
+
+def rename(spark: SparkSession, path: str, to: str) -> None:
+    """Move a folder to a name that is free; its parent is made."""
+    fs, folder = _path(spark, path)
+    target = _path(spark, to)[1]
+    fs.mkdirs(target.getParent())
+    if fs.exists(target) or not fs.rename(folder, target):
+        raise FileExistsError(f"{path} can't become {to}")

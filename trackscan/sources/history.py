@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackscan.functions.text import fingerprint
+from trackscan.sources import folders
 
 HISTORY_SCHEMA = (
     "url string, scan_ts timestamp, tracker_count int, privacy_score int, result_hash string,"
@@ -63,6 +66,45 @@ def retained(history: DataFrame, as_of: Column, days: int = 30) -> DataFrame:
     return history.filter(F.col("scan_date") >= F.date_sub(F.to_date(as_of), days))
 
 
+def expire(spark: SparkSession, path: str, as_of: dt.datetime, days: int = 30) -> list[str]:
+    """Remove what is older than some days from the history table; returns the dates that went.
+
+    The date that is kept in part is written anew first, from a copy of its kept rows beside the
+    table, then the folders of older dates go, the oldest first. A run that stops in between
+    leaves a table without holes: the copy replaces the date if its folder was lost, and the rest
+    is done by the next run. Rows without a date stay.
+    """
+    since = as_of - dt.timedelta(days=days)
+    copies, edge = f"{path}/_expiring", f"scan_date={since.date()}"
+    for name in folders.names(spark, copies):
+        complete = "_SUCCESS" in folders.names(spark, f"{copies}/{name}")
+        if complete and name not in folders.names(spark, path):
+            _write_date(spark, f"{copies}/{name}", path)
+        folders.remove(spark, f"{copies}/{name}")
+    dates = [n for n in folders.names(spark, path) if n.startswith("scan_date=2") or n.startswith("scan_date=1")]
+    if edge in dates:
+        rows = read(spark, path).filter(F.col("scan_date") == F.lit(since.date()))
+        kept = rows.filter(F.col("scan_ts") >= F.lit(since))
+        if rows.filter(F.col("scan_ts") < F.lit(since)).limit(1).count():
+            kept.write.mode("overwrite").parquet(f"{copies}/{edge}")
+            if kept.limit(1).count():
+                _write_date(spark, f"{copies}/{edge}", path)
+            else:
+                folders.remove(spark, f"{path}/{edge}")
+            folders.remove(spark, f"{copies}/{edge}")
+    old = [n for n in dates if n < edge]
+    for name in old:
+        folders.remove(spark, f"{path}/{name}")
+    return [n.split("=")[1] for n in old]
+
+
+def _write_date(spark: SparkSession, copy: str, path: str) -> None:
+    """Replace one date of the table by a copy of it; the other dates stay."""
+    read(spark, copy).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+        "scan_date"
+    ).parquet(path)
+
+
 def level_alerts(
     history: DataFrame, min_privacy_score: int = 60, max_trackers: int = 50
 ) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import tempfile
 import uuid
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from trackscan.plans.trends import is_change_alert, previous
+from trackscan.sources.folders import names, remove
 from trackscan.sources.history import HISTORY_SCHEMA, level_alerts
 from trackscan.sources.pages import PAGE_SCHEMA
 
@@ -88,6 +90,12 @@ def alert_stream(history: DataFrame, **limits: int) -> DataFrame:
     return level_alerts(history, **limits)
 
 
+# Parts of the state by a hash of the url; a batch reads and writes those that it has rows for.
+STATE_BUCKETS = 64
+_VALUES = ("privacy_score", "tracker_count")
+_ROW = "url string, scan_ts timestamp, privacy_score int, tracker_count int, result_hash string"
+
+
 def change_alert_writer(
     history: DataFrame,
     out: str,
@@ -96,63 +104,136 @@ def change_alert_writer(
     tracker_rise: float = 20,
     percent: bool = False,
     unit: str = "day",
+    lateness_days: int = 30,
+    buckets: int = STATE_BUCKETS,
 ) -> DataStreamWriter:
     """Writes alerts on the change since the last scan of a url, also across batches.
 
-    The last values are a table with two slots. A batch reads the slot of the batch before
-    and overwrites the other, and it overwrites its own alert folder, so a batch that runs
-    again after a failure gives the same result. State and alerts lie below run=<id>, the id of
-    the checkpoint: a stream that is started anew from its checkpoint goes on in its own run, and
-    one with a new checkpoint starts a run beside it and touches nothing of the other's.
-
-    Within a batch order is by scan time. A row counts as late if it is older than the newest row
-    of its url in earlier batches: it is compared with older rows of its own batch only, so it may
-    raise no alert where the batch form does, and it never replaces the newest row.
+    Rows may come late by up to lateness_days behind the newest row of earlier batches. A late row
+    is compared with the row before it in time, and the row after it is compared anew: a verdict
+    on that row, an alert or none, is written again and `change_alerts_of` takes the newest. So the
+    result is that of the batch form. Rows that are later still are kept apart below late/.
+
+    The state is cut into buckets by url. It holds the rows of the last lateness_days and the row
+    before them of each url. A batch reads the buckets that its urls fall into, and writes them
+    anew into a folder of its own; a small table says for each bucket which batch wrote it last.
+    A batch that runs again after a failure finds what it found before, and overwrites its own
+    folders. State and alerts lie below run=<id>, the id of the checkpoint: a stream that is
+    started anew from its checkpoint goes on in its own run, and one with a new checkpoint starts a
+    run beside it and touches nothing of the other's.
     """
-    values = ["privacy_score", "tracker_count"]
-    row_schema = "url string, scan_ts timestamp, privacy_score int, tracker_count int, result_hash string"
 
     def handle(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         run = f"run={spark.sparkContext.getLocalProperty('sql.streaming.queryId') or '0'}"
-        # The rows are read three times; without this the scan behind them would run as often.
-        rows = batch.select("url", "scan_ts", *values, "result_hash").persist()
+        home = f"{state}/{run}"
+        newest, written = _state_of(spark, home, epoch)
+        bucket = F.pmod(F.xxhash64("url"), F.lit(buckets)).cast("int")
+        # The rows are read several times; without this the scan behind them would run as often.
+        rows = batch.select("url", "scan_ts", *_VALUES, "result_hash").withColumn("bucket", bucket).persist()
         try:
-            if epoch:
-                last = spark.read.schema(row_schema).parquet(f"{state}/{run}/slot={(epoch - 1) % 2}")
+            bound = None if newest is None else newest - dt.timedelta(days=lateness_days)
+            if bound is not None:
+                late = F.coalesce(F.col("scan_ts") <= F.lit(bound), F.lit(False))
+                rows.filter(late).write.mode("overwrite").parquet(f"{home}/late/batch={epoch}")
+                fresh = rows.filter(~late)
             else:
-                last = spark.createDataFrame([], row_schema)
-            both = last.withColumn("_new", F.lit(False)).unionByName(
-                rows.withColumn("_new", F.lit(True))
+                fresh = rows
+            touched = [r[0] for r in fresh.select("bucket").distinct().collect()]  # buckets at most
+            held = [f"{home}/rows/batch={written[b]}/bucket={b}" for b in touched if b in written]
+            if held:
+                before = spark.read.schema(_ROW).parquet(*held)
+            else:
+                before = spark.createDataFrame([], _ROW)
+            both = (
+                before.withColumn("bucket", bucket)
+                .withColumn("_new", F.lit(False))
+                .unionByName(fresh.withColumn("_new", F.lit(True)))
             )
             fell, rose = is_change_alert(score_drop, tracker_rise, percent)
+            judged = previous(both, "url", "scan_ts", [*_VALUES, "_new"], ["result_hash"], unit)
+            # what is new, and what now stands behind something new
             (
-                previous(both, "url", "scan_ts", values, ["_new", "result_hash"], unit)
-                .filter("_new")
-                .withColumn("score_fell", fell)
+                judged.withColumn("score_fell", fell)
                 .withColumn("trackers_rose", rose)
-                .filter("score_fell OR trackers_rose")
-                .drop("_new")
+                .withColumn("again", ~F.col("_new"))
+                .filter(F.when(F.col("again"), F.col("previous._new")).otherwise(F.expr("score_fell OR trackers_rose")))
+                .withColumn("previous", F.col("previous").dropFields("_new"))
+                .drop("_new", "bucket")
                 .write.mode("overwrite")
                 .parquet(f"{out}/{run}/batch={epoch}")
             )
-            newest = F.max_by(
-                F.struct("scan_ts", *values, "result_hash"),
-                F.struct("scan_ts", "_new", "result_hash"),
-            )
-            (
-                both.groupBy("url")
-                .agg(newest.alias("row"))
-                .select("url", "row.*")
-                .write.mode("overwrite")
-                .parquet(f"{state}/{run}/slot={epoch % 2}")
+            top = rows.agg(F.max("scan_ts")).first()[0]
+            newest = max((t for t in (newest, top) if t is not None), default=None)
+            _write_state(both, f"{home}/rows/batch={epoch}", newest, lateness_days)
+            after = {**written, **dict.fromkeys(touched, epoch)}
+            table = [(newest, [(b, e) for b, e in sorted(after.items())])]
+            spark.createDataFrame(table, _STATE).coalesce(1).write.mode("overwrite").parquet(
+                f"{home}/state/batch={epoch}"
             )
+            _remove_old(spark, home, epoch, {*written.values(), *after.values()})
         finally:
             rows.unpersist()
 
     return history.writeStream.foreachBatch(handle)
 
 
+_STATE = "newest timestamp, written array<struct<bucket:int,batch:long>>"
+
+
+def _batches(spark: SparkSession, folder: str) -> list[int]:
+    return sorted(int(n.split("=")[1]) for n in names(spark, folder) if n.startswith("batch="))
+
+
+def _state_of(spark: SparkSession, home: str, epoch: int):
+    """(newest row's time, batch that wrote a bucket last) as the batches before this one left them."""
+    done = [n for n in _batches(spark, f"{home}/state") if n < epoch and "_SUCCESS" in names(spark, f"{home}/state/batch={n}")]
+    if not done:
+        return None, {}
+    row = spark.read.schema(_STATE).parquet(f"{home}/state/batch={done[-1]}").first()
+    return row["newest"], {x["bucket"]: x["batch"] for x in row["written"]}
+
+
+def _write_state(both: DataFrame, path: str, newest, lateness_days: int) -> None:
+    """Rows of the last lateness_days, and of each url the last one before them."""
+    rows = both.drop("_new").filter("url IS NOT NULL AND scan_ts IS NOT NULL")
+    if newest is None:
+        kept = rows
+    else:
+        old = F.col("scan_ts") <= F.lit(newest - dt.timedelta(days=lateness_days))
+        columns = ["scan_ts", *_VALUES, "result_hash", "bucket"]
+        last = F.max_by(F.struct(*columns), F.struct("scan_ts", "result_hash"))
+        before = rows.filter(old).groupBy("url").agg(last.alias("row")).select("url", "row.*")
+        kept = rows.filter(~old).unionByName(before)
+    share = F.pmod(F.xxhash64("url", "scan_ts"), F.lit(4))  # a hot url has several writers
+    kept.repartition("bucket", share).write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def _remove_old(spark: SparkSession, home: str, epoch: int, used: set[int]) -> None:
+    """Folders that neither this batch nor, should it run again, the one before it reads."""
+    for n in _batches(spark, f"{home}/rows"):
+        if n < epoch and n not in used:
+            remove(spark, f"{home}/rows/batch={n}")
+    for n in _batches(spark, f"{home}/state")[:-2]:
+        remove(spark, f"{home}/state/batch={n}")
+
+
+def change_alerts_of(spark: SparkSession, out: str) -> DataFrame:
+    """The alerts that a change_alert_writer has written, each row with its newest verdict."""
+    keys = ["run", "url", "scan_ts", "result_hash", *_VALUES]
+    written = spark.read.parquet(out)
+    rest = [c for c in written.columns if c not in (*keys, "again")]
+    first = written.filter("NOT again")
+    anew = written.filter("again").groupBy(*keys).agg(
+        F.max_by(F.struct(*rest), "batch").alias("_anew"), F.max("batch").alias("_batch")
+    )
+    # a row that is judged again had an alert or not; either is replaced
+    kept = first.join(anew.select(*keys), keys, "left_anti").select(*keys, *rest)
+    return kept.unionByName(anew.select(*keys, "_anew.*").select(*keys, *rest)).filter(
+        "score_fell OR trackers_rose"
+    )
+
+
 def history_writer(history: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
     """Appends a stream of history rows to the table, by date."""
     return (
