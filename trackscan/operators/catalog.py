@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackscan.fixed_values import CATALOGUE, CATALOGUE_FIELDS
+from trackscan.fixed_values import CATALOGUE
 from trackscan.functions.match import (
     RULE,
     fold,
@@ -17,6 +18,7 @@ from trackscan.functions.match import (
     rules,
     texts_found,
 )
+from trackscan.functions.rule_index import matches
 from trackscan.functions.tables import chunks
 from trackscan.functions.text import title
 from trackscan.sources.seeds import catalogue
@@ -107,13 +109,47 @@ def detect_in_pages(pages: DataFrame, trackers: Sequence[tuple] = CATALOGUE) ->
 
 
 def detect_with_table(pages: DataFrame, trackers: DataFrame) -> DataFrame:
-    """The same detection against a catalogue known only at run time.
+    """The same detection against a catalogue known only at run time, of any size.
 
-    The catalogue is rules, not data: it is read when the plan is made and becomes part of it.
-    Null lists of patterns or hosts are empty ones.
+    The rules stay a table: they are found through an index of their texts (see rule_index), and
+    what a page holds is put together from the rules that it met. Null lists of patterns or hosts
+    are empty ones. Equal rows of pages are searched once and each get the findings.
     """
-    known = trackers.orderBy("ord").collect()
-    return detect_in_pages(pages, [tuple(r[f] for f in CATALOGUE_FIELDS) for r in known])
+    listed = ("patterns", REGEX), ("domains", DOMAIN)
+    rows = reduce(
+        DataFrame.union,
+        (
+            trackers.select("tracker_id", "ord", F.posexplode(column).alias("pos", "pattern"), F.lit(i).alias("kind"))
+            for i, (column, _) in enumerate(listed)
+        ),
+    )
+    rules = rows.withColumn("rule", F.concat_ws("/", "kind", "pos", "ord", "tracker_id"))
+    is_host = (F.col("kind") == 1).alias("is_host")
+    searched = pages.filter(F.length("html") > 0).withColumn(
+        "text_key", F.md5(F.to_json(F.struct("page_id", "url", "html")))
+    )
+    times = searched.groupBy("text_key", "page_id").agg(F.count("*").cast("int").alias("times"))
+    plain = rules.select("rule", "pattern", is_host)
+    hits = matches(searched.select("text_key", F.col("html").alias("text")).distinct(), plain).union(
+        matches(searched.select("text_key", F.col("url").alias("text")).distinct(), plain.filter("is_host"))
+    )
+    kind = F.when(F.col("kind") == 0, listed[0][1]).otherwise(listed[1][1])
+    match = F.struct("ord", "kind", "pos", "pattern", kind.alias("type"))
+    return (
+        hits.distinct()
+        .join(rules, "rule")
+        .groupBy("text_key", "tracker_id")
+        .agg(F.array_sort(F.collect_list(match)).alias("found"))
+        .join(times, "text_key")
+        .join(trackers.select("tracker_id", *ATTRIBUTES), "tracker_id")
+        .withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("times"))))
+        .select(
+            "page_id",
+            "tracker_id",
+            *ATTRIBUTES,
+            F.transform("found", lambda m: F.struct(m["pattern"], m["type"])).alias("matches"),
+        )
+    )
 
 
 def by_category(trackers: DataFrame, category: str) -> DataFrame:

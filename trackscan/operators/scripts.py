@@ -95,7 +95,8 @@ def join_patterns(bodies: DataFrame, patterns: DataFrame) -> DataFrame:
 
     The patterns are rules, not data: they are read when the plan is made and become part of it,
     in chunks of one constant expression each, as the built-in list is. The hits find their other
-    columns by equality, so no script text is in a join. Null patterns match nothing.
+    columns by equality, and carry their script's text, which is part of the result, into that
+    join. Null patterns match nothing.
     """
     listed = patterns.select("pattern").distinct().filter("pattern IS NOT NULL")
     wanted = sorted(r[0] for r in listed.collect())
