@@ -6,6 +6,7 @@ Every query reads whole tables: `pages` through the planted view, or `events`.
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -1294,6 +1295,20 @@ def change_alerts(spark, sf):
     )
 
 
+@query(SQL["change_alerts"])
+def bucketed_change_alerts(spark, sf):
+    """The same from a history table in buckets by url and hour, appended twice."""
+    name = f"history_{uuid.uuid4().hex}"
+    path = f"{streams.shared_folder(spark, 'bucketed-history')}/table"
+    rows = site_history(spark, sf)
+    early = F.col("scan_ts") < F.lit(_SPLIT).cast("timestamp")
+    for part in (rows.filter(early), rows.filter(~F.coalesce(early, F.lit(False)))):
+        history.append_bucketed(part, name, path, buckets=8)
+    return trends.change_alerts(spark.table(name), part=history.PART).select(
+        "event_id", long("previous.privacy_score", "last_score"), "score_fell", "trackers_rose"
+    )
+
+
 @query(
     "SELECT event_id FROM (SELECT *, last_score - privacy_score AS d, tracker_count - last_count AS r"
     f" FROM {_PREVIOUS}) WHERE (last_score <> 0 AND d * 100.0 / last_score >= 30)"

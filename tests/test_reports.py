@@ -3,6 +3,7 @@
 import datetime as dt
 import os
 import random
+import re
 import statistics
 import tempfile
 from collections import Counter, defaultdict
@@ -237,6 +238,45 @@ def test_previous_keeps_all_rows_and_splits_a_hot_day(spark, rows, monkeypatch):
     assert got == {**want, 1: None, 2: 1, 3: None, 4: None, 5: None, 6: None}
 
 
+def shuffles(df):
+    """Shuffles that ran, without those whose result was used again."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    return [line for line in plan.splitlines() if " Exchange " in f" {line} " and "Reused" not in line], plan
+
+
+def test_previous_shuffles_the_rows_once(spark, hot_history):
+    path = os.path.join(tempfile.mkdtemp(prefix="run-"), "rows")
+    hot_history[1].write.parquet(path)
+    ran, plan = shuffles(trends.previous(spark.read.parquet(path), "url", "scan_ts", ["privacy_score"]))
+    assert "ReusedExchange" in plan and sum("_part#" in line for line in ran) == 1
+
+
+def test_bucketed_history_is_not_shuffled(spark, hot_history):
+    rows, df = hot_history
+    path = os.path.join(tempfile.mkdtemp(prefix="run-"), "history")
+    for part in df.randomSplit([0.6, 0.4], 1):
+        history.append_bucketed(part, "bucketed_history_test", path, buckets=4)
+    table = spark.table("bucketed_history_test")
+    got = trends.previous(table, "url", "scan_ts", ["privacy_score"], part=history.PART)
+    want = trends.previous(df, "url", "scan_ts", ["privacy_score"]).collect()
+    assert {r.result_hash: r.previous for r in got.collect()} == {r.result_hash: r.previous for r in want}
+    assert got.count() == len(rows)
+    ran, plan = shuffles(got)
+    # only the outermost rows of each part are dealt out, by url
+    assert len(ran) == 1 and re.search(r"hashpartitioning\(url#\d+, \d+\)", ran[0])
+    # the hot url is in several buckets
+    assert table.filter("url = 'hot'").select(F.input_file_name()).distinct().count() > 4
+    spark.sql("DROP TABLE bucketed_history_test")
+
+
+def test_equal_rows_keep_their_number(spark):
+    data = [("u", "2024-01-01 00:00:00", 1)] * 50 + [("u", "2024-01-02 00:00:00", 2)] * 50
+    df = spark.createDataFrame(data, "url string, at string, v int").withColumn("at", F.to_timestamp("at"))
+    got = Counter((r.v, r.previous and r.previous.v) for r in trends.previous(df.repartition(7), "url", "at", ["v"]).collect())
+    assert got == {(1, None): 1, (1, 1): 49, (2, 1): 1, (2, 2): 49}
+
+
 def stored_history(spark, df, path):
     dated = df.withColumn("scan_date", F.to_date("scan_ts"))
     history.append(dated, path, files_per_day=2)

@@ -88,17 +88,57 @@ def previous(
     values: list[str],
     tie: list[str] | None = None,
     unit: str = "day",
+    part: str | None = None,
 ) -> DataFrame:
     """Each row with the values of the row before it, as struct `previous`.
 
     The window runs within a key and a span of time, so a key with most of the rows is split over
     as many tasks as it has spans; a span with more than SPAN_ROWS rows of a key is cut further,
-    by its count, into equal parts of its time. The last row of every part is an aggregate, and
-    the first row of a part takes over the last one of the part before. Rows without a key or a
-    time are kept, and have no previous row.
+    by its count, into equal parts of its time. The rows are shuffled once for it. The first row of
+    a part takes over the last one of the part before: only the outermost two rows of each part meet
+    by key for that, and nothing is joined back. Rows without a key or a time are kept, and have no
+    previous row.
+
+    part names a stored column that rises with the time, of a table that is bucketed by key and
+    part (`history.append_bucketed`). Then neither a count nor a shuffle of the rows is needed.
     """
-    order = [time, *(tie or [])]
+    if part is None:
+        parts, spans = _parts(history, key, time, unit), ["_span", "_part"]
+    else:
+        parts, spans = history, [part]
     row = F.struct(time, *values)
+    # Rows are sorted in both branches below. With all columns in the order, rows that tie are equal
+    # and it doesn't matter which of them is first.
+    named = [time, *(tie or [])]
+    order = [*named, *[_sortable(f) for f in history.schema.fields if f.name not in (key, *named)]]
+    inside = W.partitionBy(key, *spans).orderBy(*order)
+    # A flag from below the window: a filter by the key would go down through the window, and the
+    # branches would no longer share its shuffle.
+    whole = F.col(key).isNotNull() & F.col(time).isNotNull()
+    marked = (
+        parts.withColumn("_whole", whole)
+        .withColumn("_inside", F.lag(row).over(inside))
+        .withColumn("_last", F.lead(F.lit(True)).over(inside).isNull())
+    )
+    first = F.col("_whole") & F.col("_inside").isNull()
+    rest = marked.filter(~first).withColumn("previous", F.when(F.col("_whole"), F.col("_inside")))
+    outer = marked.filter(F.col("_whole") & (F.col("_inside").isNull() | F.col("_last")))
+    carried = outer.withColumn(
+        "previous", F.lag(row).over(W.partitionBy(key).orderBy(*spans, *order))
+    ).filter(first)
+    columns = [*history.columns, "previous"]
+    return rest.select(*columns).unionByName(carried.select(*columns))
+
+
+def _sortable(field) -> Column:
+    """A column as a sort key; maps and variants, which have no order, as text."""
+    kind = field.dataType.simpleString()
+    column = F.col(f"`{field.name.replace('`', '``')}`")
+    return F.to_json(F.struct(column)) if "map<" in kind or "variant" in kind else column
+
+
+def _parts(history: DataFrame, key: str, time: str, unit: str) -> DataFrame:
+    """Rows with the span of time they are in, and its part where a span has many rows of a key."""
     whole = F.col(key).isNotNull() & F.col(time).isNotNull()
     spans = history.withColumn("_span", F.date_trunc(unit, time))
     crowded = (
@@ -118,31 +158,11 @@ def previous(
         F.col("_to") - F.col("_from") + 1
     )
     part = F.floor(share * F.ceil(F.col("_rows") / SPAN_ROWS))
-    parts = (
+    return (
         spans.join(crowded, [key, "_span"], "left")
         .withColumn("_part", F.coalesce(part, F.lit(0)))
         .select(*history.columns, "_span", "_part")
     )
-    inside = parts.withColumn(
-        "_inside",
-        F.when(whole, F.lag(row).over(W.partitionBy(key, "_span", "_part").orderBy(*order))),
-    )
-    carried = (
-        parts.filter(whole)
-        .groupBy(key, "_span", "_part")
-        .agg(F.max_by(row, F.struct(*order)).alias("_last"))
-        .select(
-            key,
-            "_span",
-            "_part",
-            F.lag("_last").over(W.partitionBy(key).orderBy("_span", "_part")).alias("_carried"),
-        )
-    )
-    return (
-        inside.join(carried, [key, "_span", "_part"], "left")
-        .withColumn("previous", F.coalesce("_inside", "_carried"))
-        .select(*history.columns, "previous")
-    )
 
 
 def is_change_alert(
@@ -166,11 +186,14 @@ def change_alerts(
     tracker_rise: float = 20,
     percent: bool = False,
     unit: str = "day",
+    part: str | None = None,
 ) -> DataFrame:
-    """Scans whose score fell, or tracker count rose, by the limit since the scan before."""
-    rows = previous(
-        history, "url", "scan_ts", ["privacy_score", "tracker_count"], ["result_hash"], unit
-    )
+    """Scans whose score fell, or tracker count rose, by the limit since the scan before.
+
+    part is as in `previous`.
+    """
+    values = ["privacy_score", "tracker_count"]
+    rows = previous(history, "url", "scan_ts", values, ["result_hash"], unit, part)
     fell, rose = is_change_alert(score_drop, tracker_rise, percent)
     return rows.withColumn("score_fell", fell).withColumn("trackers_rose", rose).filter(
         "score_fell OR trackers_rose"
