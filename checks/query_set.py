@@ -29,7 +29,7 @@ from trackscan.operators import (
     security,
 )
 from trackscan.params import ScoringParams
-from trackscan.plans import basic_scan, reports, trends
+from trackscan.plans import basic_scan, reports, rollups, trends
 from trackscan.plans.basic_scan import detections, scan
 from trackscan.plans.enhanced_scan import enhanced_scan
 from trackscan.sources import catalog_files, folders, history, results, seeds
@@ -522,6 +522,15 @@ def domain_bags(spark, sf):
     )
 
 
+@query("SELECT page_id, true AS is_now FROM web", "web")
+def scan_times(spark, sf):
+    """Without a given time a scan takes the time at which it runs."""
+    now = F.current_timestamp()
+    return scan(pages_of(spark, sf), with_source=False).select(
+        "page_id", (F.col("scan_timestamp") == now).alias("is_now")
+    )
+
+
 @query(
     "SELECT page_id, url, CASE WHEN error IS NULL THEN score END AS privacy_score, risk AS risk_level,"
     " error FROM scored",
@@ -656,15 +665,17 @@ ADVICE = (
 )
 
 
-@query(
+_ADVISED = (
     "SELECT page_id, CASE WHEN advice = '' THEN 'Minimal tracking detected - privacy impact is low'"
     f" ELSE advice END AS advice FROM (SELECT page_id, {ADVICE} AS advice FROM (SELECT r.page_id,"
     " r.n_risky, coalesce(bool_or(category = 'advertising'), false) AS a,"
     " coalesce(bool_or(category = 'social_media'), false) AS s,"
     " coalesce(bool_or(category = 'analytics'), false) AS y FROM res r LEFT JOIN pcat c"
-    " ON r.page_id = c.page_id WHERE r.error IS NULL GROUP BY r.page_id, r.n_risky))",
-    "res", "pcat",
-)
+    " ON r.page_id = c.page_id WHERE r.error IS NULL GROUP BY r.page_id, r.n_risky))"
+)
+
+
+@query(_ADVISED, "res", "pcat")
 def recommendations(spark, sf):
     return (
         scanned(spark, sf)
@@ -1066,18 +1077,59 @@ def _edge(column: str, edges) -> str:
     "scored",
 )
 def scan_metrics(spark, sf):
-    good = scanned(spark, sf).filter("error IS NULL")
-    scans = good.select(
+    return _metric_rows(reports.metrics(_timed(scanned(spark, sf)), _EDGES, _TIMES))
+
+
+def _timed(scans: DataFrame) -> DataFrame:
+    return scans.filter("error IS NULL").select(
         F.col("summary.total_trackers").alias("tracker_count"),
         "privacy_analysis.privacy_score",
         (F.col("page_id") % 40 / 8).alias("scan_duration"),
     )
+
+
+def _metric_rows(values: DataFrame) -> DataFrame:
     edge = F.when(F.col("le").isNull(), "").when(F.col("le") == float("inf"), "inf")
-    return reports.metrics(scans, _EDGES, _TIMES).select(
+    return values.select(
         "metric", edge.otherwise(F.col("le").cast("string")).alias("edge"), "value"
     )
 
 
+def _batches_of(spark, sf, name, parts, merge) -> DataFrame:
+    """The pages in three batches, each rolled up on its own. The second is written twice, the
+    first two are compacted, and the first comes again after that; each counts once."""
+    path = streams.shared_folder(spark, name)
+    pages = pages_of(spark, sf)
+
+    def write(batch: int) -> None:
+        own = pages.filter(F.pmod(F.xxhash64("page_id"), F.lit(3)) == batch)
+        rollups.write_batch(parts(scan(own, scan_ts=F.expr(SCAN_TS), with_source=False)), path, batch)
+
+    for batch in (0, 1, 1):
+        write(batch)
+    rollups.compact(spark, path, 1, merge)
+    for batch in (2, 0):
+        write(batch)
+    return merge(rollups.stored(spark, path))
+
+
+@query(SQL["scan_statistics"])
+def rollup_statistics(spark, sf):
+    """The statistics out of daily rollups of three batches."""
+    parts = _batches_of(spark, sf, "rollup", rollups.daily_parts, rollups.merge_daily)
+    return rollups.statistics(parts).withColumn("mean_score", F.round("mean_score", 6))
+
+
+@query(SQL["scan_metrics"])
+def rollup_metrics(spark, sf):
+    """The metrics table out of the counters of three batches."""
+
+    def parts(scanned_pages: DataFrame) -> DataFrame:
+        return rollups.metric_parts(_timed(scanned_pages), _EDGES, _TIMES)
+
+    return _metric_rows(_batches_of(spark, sf, "metrics", parts, rollups.merge_metrics))
+
+
 @query(
     "SELECT CAST(least(floor(score / 10) + 1, 10) AS BIGINT) AS bucket, count(*) AS pages FROM scored"
     " WHERE error IS NULL GROUP BY 1",
@@ -1111,7 +1163,14 @@ def domain_heatmap(spark, sf):
 
 
 @query(
-    "SELECT s.page_id, s.url, s.error, s.total AS total_trackers,"
+    "SELECT s.page_id, s.url, s.error, s.total AS total_trackers, s.pixels AS pixel_count,"
+    " s.js AS js_tracker_count, s.metas AS meta_tracker_count, s.css AS css_tracker_count,"
+    " CASE WHEN s.error IS NULL THEN coalesce((SELECT string_agg(shown, chr(10) ORDER BY shown) FROM"
+    " (SELECT page_id, concat_ws('|', element_type, substr(src, 1, 100) || '...', domain,"
+    " CASE WHEN small THEN '1x1' ELSE '' END) AS shown FROM (SELECT page_id, element_type, src,"
+    " tracking_domain AS domain, is_1x1_pixel AS small FROM px UNION ALL SELECT page_id, 'img', src,"
+    " NULL, false FROM b64)) x WHERE x.page_id = s.page_id), '') END AS pixels,"
+    f" coalesce((SELECT v.advice FROM ({_ADVISED}) v WHERE v.page_id = s.page_id), '') AS advice,"
     " CASE WHEN s.error IS NULL THEN s.score END AS privacy_score, s.risk AS risk_level,"
     " CASE WHEN s.error IS NULL THEN coalesce((SELECT string_agg(category, ', ' ORDER BY category) FROM"
     " pcat c WHERE c.page_id = s.page_id), '') END AS categories,"
@@ -1119,21 +1178,34 @@ def domain_heatmap(spark, sf):
     " FROM risky r WHERE r.page_id = p.page_id AND r.domain = p.domain AND r.category IN"
     " ('advertising', 'social_media')) THEN '!' ELSE '' END, ',' ORDER BY p.domain) FROM pd p WHERE"
     " p.page_id = s.page_id), '') END AS domains FROM scored s",
-    "scored", "pcat", "pd", "risky",
+    "scored", "pcat", "pd", "risky", "px", "b64",
 )
 def report_rows(spark, sf):
     marked = F.transform(
         "domains", lambda d: F.concat(d["domain"], F.when(d["high_risk"], "!").otherwise(""))
     )
+    shown = F.transform(
+        "pixels",
+        lambda p: F.concat_ws(
+            "|",
+            p["element_type"],
+            p["source"],
+            p["domain"],
+            F.when(p["one_pixel"], "1x1").otherwise(""),
+        ),
+    )
     return reports.report_rows(scanned(spark, sf)).select(
         "page_id",
         "url",
         "error",
         long("total_trackers"),
+        *[long(f"{kind}_count") for kind in ("pixel", "js_tracker", "meta_tracker", "css_tracker")],
         long("privacy_score"),
         "risk_level",
         "categories",
         F.array_join(marked, ",").alias("domains"),
+        F.array_join(F.array_sort(shown), "\n").alias("pixels"),
+        F.array_join("recommendations", "|").alias("advice"),
     )
 
 
@@ -1390,6 +1462,42 @@ def weekly_summary(spark, sf):
     )
 
 
+_WITHIN = 0.03
+
+
+@query(
+    f"SELECT *, domains AS exact_domains, pages AS exact_urls, true AS domains_close, true AS urls_close"
+    f" FROM ({SQL['weekly_summary']})".replace("SELECT *,", "SELECT * EXCLUDE (domains),", 1)
+)
+def weekly_rollup(spark, sf):
+    """Weeks out of daily sketches, with the estimates held against exact counts."""
+    parts = _batches_of(spark, sf, "weekly", rollups.daily_parts, rollups.merge_daily)
+    exact = trends.weekly(scanned(spark, sf)).select(
+        "week", F.col("domains").alias("exact_domains"), F.col("pages").alias("exact_urls")
+    )
+
+    def close(estimate: str, exact_count: str):
+        return F.abs(F.col(estimate) - F.col(exact_count)) <= _WITHIN * F.col(exact_count)
+
+    return (
+        rollups.per_period(parts, "week")
+        .join(exact, "week")
+        .select(
+            day("week").alias("week"),
+            "pages",
+            "trackers",
+            F.round("mean_score", 6).alias("mean_score"),
+            "low",
+            "medium",
+            "high",
+            "exact_domains",
+            "exact_urls",
+            close("domains", "exact_domains").alias("domains_close"),
+            close("urls", "exact_urls").alias("urls_close"),
+        )
+    )
+
+
 _SPLIT = "2024-01-20 00:00:00"
 
 
@@ -1665,9 +1773,45 @@ def stream_daily(spark, sf):
     return _window_rows(streams.daily_counts(_event_stream(spark, sf)), spark, "stream-daily")
 
 
-@query(_windows("week", 7), "hist")
+_WEEKS = _windows("week", 7).replace(
+    " FROM (SELECT *,", ", count(DISTINCT url) AS exact_urls, true AS urls_close FROM (SELECT *,", 1
+)
+
+
+@query(_WEEKS, "hist")
 def stream_weekly(spark, sf):
-    return _window_rows(streams.weekly_counts(_event_stream(spark, sf)), spark, "stream-weekly")
+    """Weekly windows, with the estimated number of urls held against the exact one."""
+    stream = streams.weekly_counts(_event_stream(spark, sf))
+    table = streams.run_to_table(stream, streams.shared_folder(spark, "stream-weekly"))
+    exact = (
+        site_history(spark, sf)
+        .groupBy(F.date_trunc("week", "scan_ts").alias("window_start"))
+        .agg(F.count_distinct("url").alias("exact_urls"))
+    )
+    close = F.abs(F.col("distinct_urls") - F.col("exact_urls")) <= 0.15 * F.col("exact_urls")
+    return table.join(exact, "window_start").select(
+        day("window_start").alias("window_start"),
+        "scans",
+        "trackers",
+        F.round("mean_score", 6).alias("mean_score"),
+        "exact_urls",
+        close.alias("urls_close"),
+    )
+
+
+@query(SQL["scan_statistics"])
+def stream_rollup(spark, sf):
+    """Statistics out of the rollups that a stream of scans keeps."""
+    folder = streams.shared_folder(spark, "stream-rollup")
+    pages = web_pages(streams.page_stream(spark, f"{sf}/pages.parquet*"))
+    stream = scan(pages, scan_ts=F.expr(SCAN_TS), with_source=False)
+    writer = streams.rollup_writer(stream, f"{folder}/rollup")
+    writer.option("checkpointLocation", f"{folder}/checkpoint").trigger(
+        availableNow=True
+    ).start().awaitTermination()
+    return rollups.statistics(rollups.stored(spark, f"{folder}/rollup")).withColumn(
+        "mean_score", F.round("mean_score", 6)
+    )
 
 
 @query(

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
+from trackscan.plans import rollups
 from trackscan.plans.trends import is_change_alert, previous
 from trackscan.sources.folders import names, remove
 from trackscan.sources.history import HISTORY_SCHEMA, level_alerts
@@ -245,6 +246,19 @@ def history_writer(history: DataFrame, path: str, checkpoint: str) -> DataStream
     )
 
 
+def rollup_writer(scanned: DataFrame, path: str) -> DataStreamWriter:
+    """Keeps the daily rollup of a stream of scan results: one small partial table per batch.
+
+    A batch that runs again replaces its own. path belongs to the checkpoint, whose batches it
+    numbers; `rollups.stored` reads it, and `rollups.compact` may run up to the batch before last.
+    """
+
+    def handle(batch: DataFrame, epoch: int) -> None:
+        rollups.write_batch(rollups.daily_parts(batch), path, epoch)
+
+    return scanned.writeStream.foreachBatch(handle)
+
+
 def run_to_table(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
     """Process what is there and return it as a table in the shared folder.
 
