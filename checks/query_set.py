@@ -1901,3 +1901,21 @@ def clustered_hosts(spark, sf):
     return host_clusters(spark, sf).select(
         "domain", F.col("cluster").between(0, 4).alias("has_cluster")
     )
+
+
+@query(
+    f"SELECT DISTINCT {host('url')} AS domain, true AS at_nearest, 5 AS centres FROM req"
+    f" WHERE {host('url')} <> ''",
+    "req",
+)
+def nearest_clusters(spark, sf):
+    """Each host is at the nearest of the centres, by distances worked out apart from the model."""
+    log = requests_of_pages(pages_of(spark, sf))
+    found = cluster.fit(log.select(urls.netloc(F.col("url")).alias("domain")))
+    apart = cluster.distances(F.col("features"), found.centres)
+    own = F.get("apart", "cluster")
+    return found.hosts.withColumn("apart", apart).select(
+        "domain",
+        (own <= F.array_min("apart") + 1e-9).alias("at_nearest"),
+        F.lit(len(found.centres)).alias("centres"),
+    )

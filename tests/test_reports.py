@@ -218,6 +218,20 @@ def test_clusters(spark):
     assert {r.cluster for r in few} == {0}
 
 
+def test_clusters_from_a_sample_cover_all_hosts(spark):
+    names = [f"ads{i}.alpha.com" for i in range(60)] + [f"zzz{i}.omega.net" for i in range(60)]
+    df = spark.createDataFrame([(n,) for n in [*names, "", None]], "domain string")
+    found = cluster.fit(df, k=2, sample=30)
+    apart = cluster.distances(F.col("features"), found.centres)
+    rows = found.hosts.withColumn("apart", apart).collect()
+    assert sorted(r.domain for r in rows) == sorted(names) and len(found.centres) == 2
+    for r in rows:
+        plain = [sum((x - c) ** 2 for x, c in zip(r.features.toArray(), centre)) for centre in found.centres]
+        assert plain == pytest.approx(r.apart) and r.cluster == plain.index(min(plain))
+    assert len({r.cluster for r in rows if "alpha" in r.domain}) == 1 == len({r.cluster for r in rows if "omega" in r.domain})
+    assert cluster.fit(df.limit(0)).hosts.count() == 0
+
+
 def test_only_small_input_is_spread(spark, monkeypatch):
     df = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     assert page_source.spread(df).rdd.getNumPartitions() == 8
