@@ -53,6 +53,60 @@ def test_cover_tree_links(spark, chunk):
     assert cover_tree.near_duplicates(table(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize(("clusters", "sample"), [(64, 2048), (512, 4096)])
+def test_clusters_have_cells_of_their_own(spark, clusters, sample):
+    r = np.random.default_rng(clusters)
+    middles = cover_tree.unit(r.normal(size=(clusters, 64)))
+    x = np.repeat(middles, 4096 // clusters, axis=0)
+    x = cover_tree.unit(x + r.normal(size=x.shape) * r.uniform(0, 0.03, (len(x), 1)))
+    x = np.concatenate([x, cover_tree.unit(r.normal(size=(60, 64)))])  # and some strays
+    drawn = x[r.permutation(len(x))[:sample]]
+    cells = cover_tree.upper_level(drawn, 10_000_000, 0.3162)
+    assert 0.9 * clusters <= len(cells.centres) <= clusters + 60
+    # what a vector is compared with: about its own cluster, and the strays
+    own, far, all_far = cells.place(x)
+    np.minimum.at(cells.lo, own, far)
+    np.maximum.at(cells.hi, own, far)
+    row, met = cells.may_meet(all_far, 0.3162)
+    size = np.bincount(own, minlength=len(cells.lo))
+    assert size[met].sum() <= 2 * len(x) * len(x) / clusters + 60 * len(x)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    found = {v.vec_id: v for v in cover_tree.near_duplicates(table(spark, rows), chunk=300).collect()}
+    u = cover_tree.unit(x.astype(np.float32))
+    near = u @ u.T >= 0.95
+    assert [found[i].n_links for i in range(len(x))] == (near.sum(axis=1) - 1).tolist()
+    a, b = np.nonzero(near)
+    label = graph.merge_labels(np.arange(len(x)), a, b)
+    first = {g: int(np.flatnonzero(label == g)[0]) for g in set(label.tolist())}
+    assert [found[i].component_id for i in range(len(x))] == [first[g] for g in label.tolist()]
+
+
+def test_work_grows_with_the_rows_of_4096_clusters():
+    r = np.random.default_rng(9)
+    middles = cover_tree.unit(r.normal(size=(4096, 64)))
+    x = cover_tree.unit(np.repeat(middles, 12, axis=0) + r.normal(size=(4096 * 12, 64)) * 0.02)
+    x = x[r.permutation(len(x))]
+    cells = cover_tree.upper_level(x[: cover_tree.SAMPLE], 100_000_000, 0.3162)
+    places = [cells.place(x[at : at + 512]) for at in range(0, 8192, 512)]
+    own = np.concatenate([p[0] for p in places])
+    np.minimum.at(cells.lo, own, np.concatenate([p[1] for p in places]))
+    np.maximum.at(cells.hi, own, np.concatenate([p[1] for p in places]))
+    sent = np.concatenate([cells.may_meet(p[2], 0.3162)[0] for p in places])
+    size = np.bincount(own, minlength=len(cells.lo))
+    met = sum(size[cells.may_meet(p[2], 0.3162)[1]].sum() for p in places)
+    assert len(cells.centres) > 3800 and (own % 2).mean() < 0.06
+    assert met <= 0.01 * 8192 * 8192 and len(sent) <= 1.1 * 8192
+    # without clusters there is one cell, at any number of rows
+    free = cover_tree.unit(r.normal(size=(cover_tree.SAMPLE, 64)))
+    assert [len(cover_tree.upper_level(free, n, 0.3162).centres) for n in (10**4, 10**8)] == [1, 1]
+
+
+def test_other_lengths(spark):
+    rows = [(i, [1.0, float(i % 2), 0.0]) for i in range(6)] + [(9, [1.0, 0.0]), (10, [1.0, 0.0])]
+    found = {r.vec_id: r.n_links for r in cover_tree.near_duplicates(table(spark, rows)).collect()}
+    assert found == {**dict.fromkeys(range(6), 2), 9: 0, 10: 0}
+
+
 def test_trees_cover_and_count():
     r = np.random.default_rng(6)
     tight = vectors(300, seed=5)[200] + r.normal(size=(200, 64)) * np.repeat([1e-9, 1e-5, 1e-3, 0.02], 50)[:, None]

@@ -4,12 +4,16 @@ A cover tree nests balls of halving radii. Two trees are walked together from th
 of nodes is dropped when their centres are farther apart than the threshold and both covering
 radii, and taken as a whole, without listing its pairs, when all their points must be near.
 
-The tree's upper levels come from a bounded sample; their nodes are cells, and every vector goes to
-its nearest. Cells are cut into chunks of bounded size, and each pair of chunks whose cells pass
-the covering-radius bound is one task. A vector is sent only to those cells that may hold something
-near it. Equal vectors are one node with a count. A task returns counts of links and a spanning
-forest of them, not pairs. In data without clusters, at a distance where balls say little, most
-pairs of chunks remain; this is the price of an exact answer.
+The tree's upper levels come from a bounded sample, each level keeping the centres of the one above.
+Of these levels that one becomes the table's cells which leaves the least work on a part of the
+sample that has no centres.
+Every vector goes to its nearest centre; those within the level's radius are its inner cell, and
+what lies farther out is an outer one, so that a stray vector doesn't widen a cluster's ball. Cells
+are cut into chunks of bounded size, and a vector is sent only to chunks of cells whose distances
+from their centre, and its own, leave room for something near it. Each pair of chunks is one task.
+Equal vectors are one node with a count. A task returns counts of links and a spanning forest of
+them, not pairs. In data without clusters, at a distance where balls say little, one cell with all
+pairs of its chunks remains; this is the price of an exact answer.
 """
 
 from __future__ import annotations
@@ -22,10 +26,14 @@ from pyspark.sql import functions as F
 from trackscan.llm.common import saved, ship
 from trackscan.llm.graph import components, merge_labels
 
-COSINE, DIMENSIONS = 0.95, 64
-#: Distinct vectors that the upper levels are built from, most cells, and vectors of a chunk.
-SAMPLE, CELLS, CHUNK = 2_048, 64, 8_192
+COSINE = 0.95
+#: Distinct vectors that the upper levels are built from, and vectors of a chunk.
+SAMPLE, CHUNK = 16_384, 8_192
+#: What a pair of chunks costs beside its comparisons, in comparisons.
+TASK = 500_000
 LEAF, BLOCK = 16, 512
+#: Vectors that are held against all centres at once, and copies that are sent out at once.
+ROWS, COPIES = 128, 16_384
 #: Bounds of rounding: of distances in double precision, and of cosines in single precision. Single
 #: precision only rules pairs out or in when even its bound does; the rest is decided in double.
 MARGIN, ROUGH = 1e-6, 2e-5
@@ -215,22 +223,75 @@ def walk(left: CoverTree, right: CoverTree, weights: list[np.ndarray], cosine: f
     return links
 
 
-def upper_level(sample: np.ndarray, cells: int = CELLS) -> np.ndarray:
-    """Centres of the finest level over the sample that has at most cells of them."""
-    centres, radius = sample[:1], 2.0
-    while len(sample) and radius > MARGIN:
+class Cells:
+    """Inner and outer cells of some centres: cell 2 * c within the radius of centre c, 2 * c + 1
+    beyond it. lo and hi bound the distances of a cell's vectors from its centre."""
+
+    def __init__(self, centres: np.ndarray, radius: float) -> None:
+        self.centres, self.radius = centres, radius
+        self.lo = np.full(2 * len(centres), np.inf)
+        self.hi = np.full(2 * len(centres), -np.inf)
+
+    def place(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(cells, distances from their centres, distances from all centres) of some vectors."""
+        far = distances(x, self.centres)
+        nearest = far.argmin(axis=1)
+        own = far[np.arange(len(far)), nearest]
+        return 2 * nearest + (own > self.radius), own, far
+
+    def may_meet(self, far: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+        """(vector, cell) wherever a cell may hold something within reach of a vector."""
+        twice = np.repeat(far, 2, axis=1)
+        slack = reach + MARGIN
+        return np.nonzero((twice >= self.lo - slack) & (twice <= self.hi + slack))
+
+
+def upper_level(sample: np.ndarray, rows: int, reach: float, chunk: int = CHUNK) -> Cells:
+    """The level that leaves the least work for so many rows; ties to the coarsest.
+
+    Centres are of the first seven eighths of the sample. The work is judged on the rest, as vectors
+    that are centres themselves would make every fine level look good, and with the widest bounds
+    that cells can have: few vectors in a cell would make them look narrow.
+    """
+    part = -(-7 * len(sample) // 8)
+    sample, judged = sample[:part], sample[part:]
+    best, least = Cells(sample[:1], 2.0), np.inf
+    order, radius, scale = np.arange(part), 2.0, rows / max(len(judged), 1)
+    blocks = [judged[at : at + ROWS] for at in range(0, len(judged), ROWS)]
+    while blocks and radius > reach / 4:
+        # the centres of the level above come first, so that they are centres again
+        first = np.unique(net(sample[order], radius))
+        order = np.concatenate([order[first], np.delete(order, first)])
+        cells = Cells(sample[order[: len(first)]], radius)
+        own, far = (np.concatenate(v) for v in zip(*[cells.place(x)[:2] for x in blocks], strict=True))
+        size = np.bincount(own, minlength=len(cells.lo))
+        inner = np.flatnonzero(size)[np.flatnonzero(size) % 2 == 0]
+        outer = np.flatnonzero(size)[np.flatnonzero(size) % 2 == 1]
+        cells.lo[inner], cells.hi[inner] = 0.0, radius
+        cells.lo[outer], cells.hi[outer] = radius, far.max()
+        chunks = np.ceil(size * scale / chunk)
+        used = np.cumsum(size > 0) - 1
+        met = np.zeros((used[-1] + 1, used[-1] + 1), bool)
+        compared = 0.0
+        for at, x in enumerate(blocks):
+            i, c = cells.may_meet(distances(x, cells.centres), reach)
+            compared += size[c].sum()
+            met[used[own[at * ROWS + i]], used[c]] = True
+        # most cells of a fine level have none of the judged vectors; their share of pairs is taken
+        # for that of all cells
+        cells_in_all = len(first) * len(met) / max(len(inner), 1)
+        tasks = met.mean() * max(cells_in_all, chunks.sum()) ** 2
+        work = compared * scale * scale / 2 + TASK * float(tasks) / 2
+        if work < 0.9 * least:
+            best, least = cells, work
         radius /= 2
-        finer = np.unique(net(sample, radius))
-        if len(finer) > cells:
-            break
-        centres = sample[finer]
-    return centres
+    return Cells(best.centres, best.radius)
 
 
 def near_duplicates(
     rows: DataFrame,
     cosine: float = COSINE,
-    dimensions: int = DIMENSIONS,
+    dimensions: int | None = None,
     chunk: int = CHUNK,
     id_column: str = "vec_id",
     column: str = "embedding",
@@ -239,8 +300,8 @@ def near_duplicates(
 
     n_links counts the other vectors at a cosine of at least the threshold; component_id is the
     smallest vec_id reachable by links, itself included. Vectors that are null, zero, not of
-    ``dimensions`` components, or that hold null or non-finite components link with nothing. So
-    do rows without an id; their component_id and kept are null. Rows that repeat an id are
+    ``dimensions`` components (unless given, the commonest number in the table, the larger of two),
+    or that hold null or non-finite components link with nothing. So do rows without an id; their component_id and kept are null. Rows that repeat an id are
     vectors of their own that share it. Other columns are ignored.
     """
     spark = rows.sparkSession
@@ -248,6 +309,10 @@ def near_duplicates(
     vectors = rows.select(
         F.col(id_column).cast("long").alias("vec_id"), F.col(column).alias("embedding")
     )
+    if dimensions is None:
+        sizes = vectors.filter("size(embedding) > 0").groupBy(F.size("embedding").alias("size")).count()
+        top = sizes.orderBy(F.desc("count"), F.desc("size")).first()
+        dimensions = top["size"] if top else 1
     finite = F.forall("embedding", lambda x: x.isNotNull() & (F.abs(x) < float("inf")))
     usable = (
         F.col("vec_id").isNotNull()
@@ -260,12 +325,14 @@ def near_duplicates(
         vectors.filter(usable).groupBy("embedding").agg(F.min("vec_id").alias("first"), F.count("*").alias("n")),
         "vectors",
     )
-    classes = saved(classes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    place = F.xxhash64(F.lit(5), "node")
-    picked = classes.select("embedding").orderBy(place, "node").limit(SAMPLE).collect()
-    sample = np.array([r[0] for r in picked], np.float64).reshape(-1, dimensions)
-    centres = upper_level(unit(sample)) if len(sample) else np.zeros((0, dimensions))
-    found = saved(_links(classes, centres, cosine, dimensions, chunk), "links")
+    drawn = classes.orderBy(F.xxhash64(F.lit(5), "embedding"), "first").limit(SAMPLE)
+    sample = np.array([r[0] for r in drawn.select("embedding").collect()], np.float64)
+    sample = sample.reshape(-1, dimensions)
+    reach = float(np.sqrt(2 - 2 * cosine))
+    cells = upper_level(unit(sample) if len(sample) else sample, classes.count(), reach, chunk)
+    # written, so that a vector's cell is decided once
+    classes = saved(_placed(classes, cells), "nodes")
+    found = saved(_links(classes, cells, cosine, chunk), "links")
     counts = found.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     roots = components(found.filter("b IS NOT NULL").select("a", "b"))
     by_node = (
@@ -288,72 +355,82 @@ def near_duplicates(
     )
 
 
-def _links(
-    classes: DataFrame, centres: np.ndarray, cosine: float, dimensions: int, chunk: int
-) -> DataFrame:
-    """Rows (a, b, links): b null for a count of node a's links, else a link of the forest."""
-    reach = float(np.sqrt(2 - 2 * cosine))
+def _matrix(column: pa.Array, cells: Cells) -> np.ndarray:
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return unit(flat.reshape(-1, cells.centres.shape[1]))
 
-    def matrix(column: pa.Array) -> np.ndarray:
-        return unit(column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dimensions))
+
+def _blocks(batches):
+    for batch in batches:
+        for at in range(0, len(batch), ROWS):
+            yield batch.slice(at, ROWS)
+
+
+def _placed(classes: DataFrame, cells: Cells) -> DataFrame:
+    """Classes of equal vectors, with a number, their cell and the distance from its centre."""
 
     def place(batches):
-        for batch in batches:
-            far = distances(matrix(batch.column(2)), centres)
-            cell = far.argmin(axis=1)
-            own = far[np.arange(len(far)), cell]
+        for batch in _blocks(batches):
+            cell, own, _ = cells.place(_matrix(batch.column(2), cells))
             yield pa.record_batch(
                 [*batch.columns, pa.array(cell), pa.array(own)],
                 [*batch.schema.names, "cell", "far"],
             )
 
+    nodes = classes.select(F.monotonically_increasing_id().alias("node"), "n", "embedding", "first")
+    kind = classes.schema["embedding"].dataType.simpleString()
+    return nodes.mapInArrow(
+        place, f"node long, n long, embedding {kind}, first long, cell long, far double"
+    )
+
+
+def _links(classes: DataFrame, cells: Cells, cosine: float, chunk: int) -> DataFrame:
+    """Rows (a, b, links): b null for a count of node a's links, else a link of the forest."""
+    reach = float(np.sqrt(2 - 2 * cosine))
     kind = classes.schema["embedding"].dataType.simpleString()
     node = f"node long, n long, embedding {kind}"
-    placed = classes.select("node", "n", "embedding").mapInArrow(
-        place, node + ", cell long, far double"
+    placed = classes.select("node", "n", "embedding", "cell", "far")
+    # two rows at most for each vector of the sample
+    sizes = placed.groupBy("cell").agg(
+        F.count("*").alias("n"), F.min("far").alias("lo"), F.max("far").alias("hi")
     )
-    # at most CELLS rows
-    sizes = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("rho")).collect()
-    chunks, rho = np.zeros(len(centres), np.int64), np.zeros(len(centres))
-    for r in sizes:
-        chunks[r["cell"]], rho[r["cell"]] = -(-r["n"] // chunk), r["rho"]
+    chunks = np.zeros(len(cells.lo), np.int64)
+    for r in sizes.collect():
+        chunks[r["cell"]] = -(-r["n"] // chunk)
+        cells.lo[r["cell"]], cells.hi[r["cell"]] = r["lo"], r["hi"]
     base = np.concatenate(([0], np.cumsum(chunks)))[:-1]
-    between = distances(centres, centres) if len(centres) else np.zeros((0, 0))
-    meet = between <= rho[:, None] + rho[None] + reach + MARGIN
 
     def deal(batches):
         """A copy of each vector for every pair of chunks that it takes part in."""
-        for batch in batches:
+        for batch in _blocks(batches):
             keys = batch.column(0).to_numpy()
-            x = matrix(batch.column(2))
             cell = batch.column(3).to_numpy()
-            far = distances(x, centres)
             hashed = (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
             own = base[cell] + (hashed % chunks[cell].astype(np.uint64)).astype(np.int64)
-            row, other = [], []
-            for c in range(len(centres)):
-                may = np.flatnonzero(meet[cell, c] & (far[:, c] <= rho[c] + reach + MARGIN))
-                for t in range(base[c], base[c] + chunks[c]):
-                    row.append(may)
-                    other.append(np.full(len(may), t))
-            row, other = np.concatenate(row), np.concatenate(other)
+            row, met = cells.may_meet(distances(_matrix(batch.column(2), cells), cells.centres), reach)
+            n = chunks[met]
+            row = np.repeat(row, n)
+            nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            other = np.repeat(base[met], n) + nth
             mine = own[row]
-            taken = batch.take(pa.array(row))
-            yield pa.record_batch(
-                [
-                    *taken.columns[:3],
-                    pa.array(np.minimum(mine, other)),
-                    pa.array(np.maximum(mine, other)),
-                    pa.array(mine > other),
-                ],
-                ["node", "n", "embedding", "i", "j", "right"],
-            )
+            for at in range(0, len(row), COPIES):
+                some = slice(at, at + COPIES)
+                taken = batch.take(pa.array(row[some]))
+                yield pa.record_batch(
+                    [
+                        *taken.columns[:3],
+                        pa.array(np.minimum(mine[some], other[some])),
+                        pa.array(np.maximum(mine[some], other[some])),
+                        pa.array(mine[some] > other[some]),
+                    ],
+                    ["node", "n", "embedding", "i", "j", "right"],
+                )
 
     def join(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         i, j = table["i"][0].as_py(), table["j"][0].as_py()
         keys, weight = table["node"].to_numpy(), table["n"].to_numpy()
-        x = matrix(table["embedding"].chunk(0))
+        x = _matrix(table["embedding"].chunk(0), cells)
         right = table["right"].to_numpy()
         if i == j:
             tree = CoverTree(x, reach)
