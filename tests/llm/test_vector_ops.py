@@ -96,9 +96,15 @@ def test_work_grows_with_the_rows_of_4096_clusters():
     met = sum(size[cells.may_meet(p[2], 0.3162)[1]].sum() for p in places)
     assert len(cells.centres) > 3800 and (own % 2).mean() < 0.06
     assert met <= 0.01 * 8192 * 8192 and len(sent) <= 1.1 * 8192
-    # without clusters there is one cell, at any number of rows
+    # without clusters there is one cell, until so many rows that even a small share of pairs pays
     free = cover_tree.unit(r.normal(size=(cover_tree.SAMPLE, 64)))
-    assert [len(cover_tree.upper_level(free, n, 0.3162).centres) for n in (10**4, 10**8)] == [1, 1]
+    assert [len(cover_tree.upper_level(free, n, 0.3162).centres) for n in (10**4, 10**6)] == [1, 1]
+    cells = cover_tree.upper_level(free, 10**8, 0.3162)
+    more = cover_tree.unit(r.normal(size=(1024, 64)))
+    own, far, all_far = cells.place(more)
+    cells.lo[0::2], cells.hi[0::2], cells.lo[1::2], cells.hi[1::2] = 0, cells.radius, cells.radius, 2
+    size = np.bincount(own, minlength=len(cells.lo))
+    assert size[cells.may_meet(all_far, 0.3162)[1]].sum() <= 0.9 * len(more) ** 2
 
 
 def test_other_lengths(spark):
