@@ -53,6 +53,15 @@ def test_filters(spark):
     assert catalog.high_risk(cat).count() == 10
 
 
+def test_lookup_keeps_every_row(spark):
+    names = ["hotjar.com"] * 5 + ["", None, "x.y"]
+    rows = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "domain string, id int")
+    listed = [("t", 2, ["hotjar.com", "hotjar.com", ""]), ("s", 1, ["hotjar.com", None]), ("u", 0, None)]
+    table = spark.createDataFrame(listed, "tracker_id string, ord int, domains array<string>")
+    found = {r.id: r.tracker_id for r in catalog.lookup(rows, table).collect()}
+    assert found == {**dict.fromkeys(range(5), "s"), 5: "t", 6: None, 7: None}
+
+
 def test_lookup_takes_the_first_tracker(spark):
     names = ["google-analytics.com", "hotjar.com", "googlesyndication.com", "analytics.tiktok.com"]
     rows = spark.createDataFrame([(n,) for n in names], "domain string")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trackscan import fixed_values as fixed
-from trackscan.functions import match, tables
+from trackscan.functions import match
 from trackscan.operators import scripts
 
 TEXTS = [
@@ -73,11 +73,25 @@ def test_plain_and_required_text():
     assert match.required_text("ab?") is None
 
 
-@pytest.mark.parametrize("limit", [500, 1])
-def test_pattern_table(spark, limit, monkeypatch):
-    monkeypatch.setattr(tables, "CHUNK_RULES", limit)
+def test_pattern_table(spark):
     patterns = [("a", r"track\("), ("b", r"track\("), ("b", r"send\w*"), ("c", "none")]
     bodies = spark.createDataFrame([(1, 0, "Track( SENDER"), (2, 0, "x")], "page_id int, pos int, body string")
     table = spark.createDataFrame(patterns, "family string, pattern string")
     rows = scripts.join_patterns(bodies, table).collect()
     assert sorted((r.page_id, r.family, r.pattern) for r in rows) == sorted((1, *p) for p in patterns[:3])
+
+
+def test_pattern_table_of_any_size(spark):
+    patterns = [("f", f"needle{i}x") for i in range(20_000)] + [("n", None), ("e", ""), ("s", "ab"), ("r", r"call\w+\(")]
+    patterns += [("f", "needle7x")]  # a repeated row counts twice
+    texts = ["", None, "NEEDLE7x", "callMe( needle19999x", "xab" * 9000 + "needle1x", "callMe( needle19999x"]
+    bodies = spark.createDataFrame([(i, t, "k") for i, t in enumerate(texts)], "page_id int, body string, text_key string")
+    found = scripts.join_patterns(bodies, spark.createDataFrame(patterns, "family string, pattern string"))
+    assert found.columns == ["page_id", "body", "text_key", "family", "pattern"]
+    got = sorted((r.page_id, r.family, r.pattern) for r in found.collect())
+    want = [
+        (i, f, p) for i, t in enumerate(texts) for f, p in patterns
+        if t is not None and p is not None and re.search(p, t, re.I)
+    ]
+    assert got == sorted(want) and len(want) == 13
+    assert scripts.join_patterns(bodies.limit(0), spark.createDataFrame([], "family string, pattern string")).count() == 0

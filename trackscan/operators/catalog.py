@@ -163,14 +163,17 @@ def high_risk(trackers: DataFrame) -> DataFrame:
 def lookup(rows: DataFrame, trackers: DataFrame) -> DataFrame:
     """Rows with a `domain` and the tracker that lists it, null if none does.
 
-    Of several trackers that list a domain the first in catalogue order counts.
+    Of several trackers that list a domain the first in catalogue order counts. The listed domains
+    are dealt out anew for the join, so that adaptive execution can split a domain that many rows
+    have; below an aggregate that is dealt out by the same key it can not.
     """
     first = (
         trackers.select("tracker_id", "ord", F.explode("domains").alias("domain"))
         .groupBy("domain")
         .agg(F.min_by("tracker_id", "ord").alias("tracker_id"))
     )
-    return rows.join(first, "domain", "left")
+    dealt = first.withColumn("domain", F.concat("domain", F.lit("")))
+    return rows.join(dealt, "domain", "left")
 
 
 def _statistic_rows(trackers: DataFrame, listing: bool) -> DataFrame:

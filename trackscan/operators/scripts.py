@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from trackscan.fixed_values import SCRIPT_PATTERNS, TRACKER_DOMAINS
 from trackscan.functions.lex import attribute
 from trackscan.functions.match import (
-    IGNORE_CASE,
     first_domain,
     fold,
     needed_texts,
@@ -18,7 +17,7 @@ from trackscan.functions.match import (
     strings,
     texts_found,
 )
-from trackscan.functions.tables import chunks
+from trackscan.functions.rule_index import matches
 from trackscan.functions.text import cut
 
 SCRIPT_ROW = (
@@ -93,24 +92,24 @@ def script_bodies(pages: DataFrame) -> DataFrame:
 def join_patterns(bodies: DataFrame, patterns: DataFrame) -> DataFrame:
     """Scripts against a table of user patterns, one row per script and matching pattern.
 
-    The patterns are rules, not data: they are read when the plan is made and become part of it,
-    in chunks of one constant expression each, as the built-in list is. The hits find their other
-    columns by equality, and carry their script's text, which is part of the result, into that
-    join. Null patterns match nothing.
+    The table may have any size: patterns are found through an index of their texts (see
+    rule_index) and are neither collected nor broadcast. Copies of a script are one text from the
+    first aggregate on, which all searches read; what a text holds comes back to its scripts by the
+    digest of the text, so a script's text is in that join only if the caller keeps it. Null
+    patterns and null texts match nothing, repeated rows of either table each count.
     """
-    listed = patterns.select("pattern").distinct().filter("pattern IS NOT NULL")
-    wanted = sorted(r[0] for r in listed.collect())
-    parts = list(chunks(wanted, [1] * len(wanted)))
-    text = F.col("body")
-    searched = bodies.select(
-        *bodies.columns,
-        *(
-            texts_found(fold(text), needed_texts(p)).alias(f"_found_{i}")
-            for i, p in enumerate(parts)
-        ),
-    )
-    found = F.concat(
-        strings([]), *(pattern_hits(p, text, F.col(f"_found_{i}")) for i, p in enumerate(parts))
+    key = "text_key"
+    while key in bodies.columns or key in patterns.columns:
+        key += "_"
+    keyed = bodies.withColumn(key, F.md5("body"))
+    texts = (
+        keyed.filter("body IS NOT NULL")
+        .groupBy(F.col(key).alias("text_key"))
+        .agg(F.first("body").alias("text"))
     )
-    hits = searched.select(*bodies.columns, F.explode(found).alias("pattern"))
-    return hits.join(patterns, "pattern").select(*bodies.columns, *patterns.columns)
+    rules = patterns.select("pattern").distinct()
+    hits = matches(
+        texts, rules.select(F.col("pattern").alias("rule"), "pattern", F.lit(False).alias("is_host"))
+    ).distinct()
+    rows = hits.select(F.col("text_key").alias(key), F.col("rule").alias("pattern")).join(patterns, "pattern")
+    return keyed.join(rows, key).select(*bodies.columns, *patterns.columns)
