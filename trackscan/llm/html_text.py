@@ -9,10 +9,12 @@ from __future__ import annotations
 
 import html
 import re
+import sys
 import unicodedata
 from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Generator, Iterator
+from itertools import islice
 from typing import Any
 
 import pyarrow as pa
@@ -91,37 +93,71 @@ _ATTRIBUTE = re.compile(
     r"([^\s\"'>/=][^\s>/=]*)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]+)))?"
 )
 _SLASH_IN_VALUE = re.compile(r"=\s*[^\s\"'][^\s]*/\Z")
-_NOT_SHOWN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b")
+_DECLARED = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)\s*(!\s*important)?\s*(?=;|\Z)")
 _SPACES = re.compile(r"[ \t\n\f\r]+")
+_NUMBER = re.compile(r"\s*([-+]?\d{1,9})")
 
+#: Columns of a table that have a place, the furthest place, and the width of a cell that sets one.
+MOST_COLUMNS, FURTHEST, WIDEST = 100, 200, 80
+#: Lists, quotations and tables in one another that are indented or aligned; deeper ones stand as
+#: blocks, with their marks.
+MOST_NESTED = 16
 
-class Node:
-    __slots__ = ("children", "foreign", "name", "shown", "start")
 
-    def __init__(self, name: str, shown: bool = True, start: int = 1) -> None:
-        self.name, self.shown, self.start = name, shown, start
+class Node:
+    __slots__ = ("children", "closed", "foreign", "name", "reverse", "seen", "shown", "span", "start")
+
+    def __init__(self, name: str, shown: bool = True) -> None:
+        self.name, self.shown = name, shown
+        self.seen: bool | None = None  # its own visibility; None: that of its parent
+        self.closed = False  # whether only its summary is shown
+        self.start: int | None = None  # of a list's marks, or the mark of an item
+        self.reverse = False  # whether the marks count down
+        self.span = (1, 1)  # columns and rows of a cell; no rows: all that follow
         self.foreign = False  # whether its children are of svg or math
         self.children: list[Node | str] = []
 
 
+def _number(written: str) -> int | None:
+    m = _NUMBER.match(written)
+    return int(m[1]) if m else None
+
+
+def declared(style: str) -> dict[str, str]:
+    """The display and visibility that a style attribute gives: the last one, an important one first."""
+    found: dict[str, tuple[bool, str]] = {}
+    for key, value, important in _DECLARED.findall(style.lower()):
+        if important or not found.get(key, (False,))[0]:
+            found[key] = (bool(important), value)
+    return {key: value for key, (_, value) in found.items()}
+
+
 def _made(name: str, written: str) -> Node:
-    shown, start = name not in HIDDEN, 1
+    node = Node(name, name not in HIDDEN)
+    found: dict[str, str] = {}
     if written and written != "/":
-        found = {}
         for key, a, b, c in _ATTRIBUTE.findall(written):
             found.setdefault(key.lower(), a or b or c)
-        if "hidden" in found or (name == "input" and found.get("type", "").lower() == "hidden"):
-            shown = False
-        if found.get("aria-hidden", "").lower() == "true":
-            shown = False
+        style = declared(html.unescape(found["style"])) if found.get("style") else {}
+        if style.get("display") == "none" or ("hidden" in found and "display" not in style):
+            node.shown = False
+        if name == "input" and found.get("type", "").lower() == "hidden":
+            node.shown = False
         if name == "object" and found.get("data", "").strip():
-            shown = False  # the resource is shown instead
-        style = found.get("style")
-        if style and _NOT_SHOWN.search(html.unescape(style).lower()):
-            shown = False
-        if name == "ol" and re.fullmatch(r"-?\d{1,9}", found.get("start", "").strip()):
-            start = int(found["start"])
-    return Node(name, shown, start)
+            node.shown = False  # the resource is shown instead
+        if "visibility" in style and style["visibility"] not in ("inherit", "unset"):
+            node.seen = style["visibility"] not in ("hidden", "collapse")
+        if name == "ol":
+            node.start, node.reverse = _number(found.get("start", "")), "reversed" in found
+        elif name == "li":
+            node.start = _number(found.get("value", ""))
+        elif name in ("td", "th"):
+            rows = _number(found.get("rowspan", ""))
+            node.span = (max(_number(found.get("colspan", "")) or 1, 1), 1 if rows is None or rows < 0 else rows)
+    if name == "dialog" and "open" not in found:
+        node.shown = False
+    node.closed = name == "details" and "open" not in found
+    return node
 
 
 def tree(page: str) -> Node:
@@ -148,8 +184,9 @@ def tree(page: str) -> Node:
                 stack.cut(len(stack) - 1)
         _open_closes(stack, name)
         if name in ("html", "body") and len(stack) == 1:
-            if not _made(name, m[3]).shown:
-                root.shown = False
+            node = _made(name, m[3])
+            root.shown &= node.shown
+            root.seen = root.seen if node.seen is None else node.seen
             continue
         node = _made(name, m[3])
         within = stack[-1].foreign
@@ -319,108 +356,189 @@ def _done(first: Steps) -> Any:
     return result
 
 
-def _render(node: Node, out: Lines, pre: bool, drawing: bool = False) -> Steps:
-    """drawing: in svg, where only text elements and foreign objects have text."""
-    number = node.start
-    for child in node.children:
+def _render(
+    node: Node, out: Lines, pre: bool, seen: bool = True, nested: int = 0, drawing: bool = False
+) -> Steps:
+    """seen: whether text is visible; nested: lists, quotations and tables around.
+
+    drawing: in svg, where only text elements and foreign objects have text.
+    """
+    children = node.children
+    if node.closed:
+        summaries = (x for x in children if isinstance(x, Node) and x.name == "summary")
+        children = list(islice(summaries, 1))
+    items = 0
+    if node.reverse and node.start is None:
+        items = sum(isinstance(x, Node) and x.name == "li" for x in children)
+    number = node.start if node.start is not None else items or 1
+    deep = nested >= MOST_NESTED
+    for child in children:
         if isinstance(child, str):
-            if not drawing:
+            if seen and not drawing:
                 out.text(child, pre)
             continue
         name = child.name
         if not child.shown:
             continue
+        see = seen if child.seen is None else child.seen
         if child.foreign and name == "svg":
-            yield _render(child, out, False, True)
+            yield _render(child, out, False, see, nested, True)
         elif drawing:
             texts = name in ("text", "foreignobject")
             out.space |= texts
-            yield _render(child, out, False, not texts)
+            yield _render(child, out, False, see, nested, not texts)
             out.space |= texts
         elif child.foreign and name in ("mtr", "mtd"):  # rows and cells of a matrix
             out.end() if name == "mtr" else None
-            yield _render(child, out, False)
+            yield _render(child, out, False, see, nested)
             out.space = True
         elif name == "br":
-            out.end(keep_empty=True)
+            if see:
+                out.end(keep_empty=True)
         elif name == "hr":
             out.empty_line()
-        elif name == "table":
+        elif name == "table" and not deep:
             out.empty_line()
-            out.add_all((yield _table(child)))
+            out.add_all((yield _table(child, see, nested + 1)))
             out.empty_line()
         elif name == "li":
+            if child.start is not None:
+                number = child.start
             mark = f"{number}. " if node.name == "ol" else "- "
-            number += 1
+            number += -1 if node.reverse else 1
+            if deep:
+                out.end()
+                if see:
+                    out.text(mark)
+                yield _render(child, out, pre, see, nested + 1)
+                out.end()
+                continue
             own = Lines()
-            yield _render(child, own, pre)
+            yield _render(child, own, pre, see, nested + 1)
             lines = own.finished()
+            if not see:
+                mark = " " * len(mark)
             rest = " " * len(mark)
-            out.add_all([(mark if not i else rest) + x if x else "" for i, x in enumerate(lines or [""])])
+            out.add_all([(mark if not i else rest) + x if x else "" for i, x in enumerate(lines or ([""] if see else []))])
         elif name in BLOCK:
             spaced = name in SPACED and not (name in ("ul", "ol", "menu", "dir") and node.name == "li")
-            out.empty_line() if spaced else out.end()
-            if name in ("dd", "blockquote"):
-                own = Lines()
-                yield _render(child, own, pre)
-                out.add_all(["    " + x if x else "" for x in own.finished()])
-            else:
-                yield _render(child, out, pre or name == "pre")
-            out.empty_line() if spaced else out.end()
+            yield _block(child, out, pre, see, nested, spaced)
         else:
-            yield _render(child, out, pre)  # inline
+            yield _render(child, out, pre, see, nested)  # inline
+
+
+def _block(node: Node, out: Lines, pre: bool, seen: bool, nested: int, spaced: bool) -> Steps:
+    out.empty_line() if spaced else out.end()
+    if node.name in ("dd", "blockquote") and nested < MOST_NESTED:
+        own = Lines()
+        yield _render(node, own, pre, seen, nested + 1)
+        out.add_all(["    " + x if x else "" for x in own.finished()])
+    else:
+        yield _render(node, out, pre or node.name == "pre", seen, nested)
+    out.empty_line() if spaced else out.end()
 
 
-def _rows(table: Node) -> Iterator[Node]:
+def _rows(table: Node, seen: bool) -> Iterator[tuple[Node, Node, bool]]:
+    """(group, row, whether its text is visible): rows of one group can have common cells."""
     for child in table.children:
         if isinstance(child, Node) and child.shown:
+            see = seen if child.seen is None else child.seen
             if child.name == "tr":
-                yield child
+                yield table, child, see
             elif child.name in ("thead", "tbody", "tfoot"):
-                yield from _rows(child)
+                yield from _rows(child, see)
+
+
+#: A cell: its column, how many columns it takes, and its lines.
+Cell = tuple[int, int, list[str]]
 
 
-def _table(table: Node) -> Steps:
+def _table(table: Node, seen: bool, nested: int) -> Steps:
     """Lines of a table; a cell's further lines stand below its first, columns are aligned."""
-    lines: list[str] = []
     stray = Lines()  # captions, and what is not in a row
     for child in table.children:
         if isinstance(child, str):
-            stray.text(child)
+            if seen:
+                stray.text(child)
         elif child.shown and child.name not in ("tr", "thead", "tbody", "tfoot"):
-            yield _render(child, stray, False)
+            yield _render(child, stray, False, seen if child.seen is None else child.seen, nested)
             stray.end()
-    grid = []
-    for row in _rows(table):
-        cells, loose = [], Lines()
+    grid: list[list[Cell]] = []
+    group, taken = None, [0] * MOST_COLUMNS  # rows from here on in which a cell above goes on
+    for own_group, row, see in _rows(table, seen):
+        if own_group is not group:
+            group, taken = own_group, [0] * MOST_COLUMNS
+        cells: list[Cell] = []
+        loose, column = Lines(), 0
+        below = list(taken) if any(taken) else taken
         for child in row.children:
             if isinstance(child, Node) and child.name in ("td", "th"):
                 if child.shown:
                     own = Lines()
-                    yield _render(child, own, False)
-                    cells.append(own.finished())
+                    yield _render(child, own, False, see if child.seen is None else child.seen, nested)
+                    while column < MOST_COLUMNS and taken[column]:
+                        column += 1
+                    columns, rows = child.span
+                    if rows != 1 and column < MOST_COLUMNS:
+                        below = list(below)
+                        for k in range(column, min(column + columns, MOST_COLUMNS)):
+                            below[k] = rows or sys.maxsize
+                    cells.append((column, columns, own.finished()))
+                    column += columns
             elif isinstance(child, str):
-                loose.text(child)
+                if see:
+                    loose.text(child)
             elif child.shown:
                 one = Node("span")
                 one.children.append(child)
-                yield _render(one, loose, False)
+                yield _render(one, loose, False, see, nested)
+        if below is not taken or any(taken):
+            taken = [max(n - 1, 0) for n in below]
         stray.add_all(loose.finished())
-        if any(cells):
+        if any(lines for _, _, lines in cells):
             grid.append(cells)
-    lines += stray.finished()
-    # cells of several lines hold tables or paragraphs; such columns are not padded to them
-    columns = max(map(len, grid), default=0)
-    wide = [
-        max((width(x) for row in grid if k < len(row) for x in row[k]), default=0)
-        for k in range(columns)
-    ]
+    return stray.finished() + _aligned(grid)
+
+
+def _aligned(grid: list[list[Cell]]) -> list[str]:
+    """The lines of a table's rows.
+
+    A cell that is wider than WIDEST, or spans columns, sets no column's width by itself, but
+    pushes what follows on its line; no column begins beyond FURTHEST, and what comes later
+    follows at a distance of two spaces. So the text grows with the page, whatever the cells.
+    """
+    wide = [0] * (MOST_COLUMNS + 1)
+    spans = []
+    for row in grid:
+        for column, columns, lines in row:
+            if column < MOST_COLUMNS:
+                widths = [w for w in map(width, lines) if w <= WIDEST]
+                if columns == 1:
+                    wide[column] = max([wide[column], *widths])
+                elif widths:
+                    spans.append((column, min(column + columns, MOST_COLUMNS), max(widths)))
+    for column, end, needed in sorted(spans, key=lambda x: (x[1] - x[0], x)):
+        has = sum(wide[column:end]) + 2 * (end - column - 1)
+        wide[end - 1] += max(needed - has, 0)
+    starts = [0]
+    for w in wide[:-1]:
+        starts.append(starts[-1] + w + 2)
+    out = []
     for row in grid:
-        for i in range(max(map(len, row))):
-            parts = [cell[i] if i < len(cell) else "" for cell in row]
-            padded = [p + " " * (wide[k] - width(p)) for k, p in enumerate(parts[:-1])]
-            lines.append("  ".join([*padded, parts[-1]]).rstrip())
-    return lines
+        going = [(starts[c] if c < MOST_COLUMNS else FURTHEST + 1, lines) for c, _, lines in row]
+        i = 0
+        while going := [x for x in going if len(x[1]) > i]:
+            parts, at = [], 0
+            for start, lines in going:
+                if not lines[i]:
+                    continue
+                gap = start - at if start <= FURTHEST else 0
+                gap = max(gap, 2 if at else 0)
+                parts += [" " * gap, lines[i]]
+                at += gap + width(lines[i])
+            out.append("".join(parts).rstrip())
+            i += 1
+    return out
 
 
 def text_of(page: str | None) -> str:
@@ -428,7 +546,7 @@ def text_of(page: str | None) -> str:
     out = Lines()
     root = tree(page or "")
     if root.shown:
-        _done(_render(root, out, False))
+        _done(_render(root, out, False, root.seen is not False))
     return "\n".join(out.finished())
 
 
