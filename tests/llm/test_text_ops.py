@@ -7,6 +7,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import cases
@@ -72,6 +73,17 @@ def test_mixing(spark):
     assert all(0 <= c.position <= 1 for r in found for c in r.copies)
 
 
+def test_mixing_spreads_rows_without_an_id(spark):
+    docs = spark.range(4000).selectExpr("cast(null AS long) doc_id", "concat('w ', id) text", "'s' source")
+    place = F.xxhash64(F.lit(mixing.SEED), F.col("doc_id"), "text")
+    parts = docs.select(F.shiftrightunsigned(place, 54).alias("part")).groupBy("part").count()
+    assert parts.agg(F.max("count")).first()[0] < 30
+    found = mixing.assign(docs)
+    assert found.agg(F.sum("taken")).first()[0] == 12_000
+    again = mixing.assign(docs.repartition(3)).select("taken", "copies").collect()
+    assert sorted(found.select("taken", "copies").collect()) == sorted(again)
+
+
 def test_mixing_order_and_schedules(spark):
     rows = [(i, " ".join(["w"] * 10), "early" if i % 2 else "late") for i in range(400)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
@@ -274,14 +286,20 @@ def check_components(rows):
         assert c == min(ids, default=None), a
 
 
-@pytest.mark.parametrize("cap", [4, 1024])
-def test_trie_links(spark, cap):
+def test_choices_of_blocks():
+    sizes = {n: len(simhash.choices(4, n)) for n in (0, 10**6, 10**7, 10**9, 10**10, 10**12)}
+    assert sizes == {0: 5, 10**6: 5, 10**7: 15, 10**9: 15, 10**10: 35, 10**12: 70}
+    assert all(10**12 >> sum(w for _, w in own) <= 1024 for own in simhash.choices(4, 10**12))
+
+
+@pytest.mark.parametrize("cap, count", [(4, None), (1024, None), (1024, 10**8), (8, 10**10), (4, 10**12)])
+def test_trie_links(spark, cap, count):
     r = np.random.default_rng(3)
     base = r.integers(0, 1 << 63, 12, dtype=np.int64)
     fps = {int(b) ^ int(np.bitwise_or.reduce(1 << r.integers(0, 63, r.integers(1, 4)))) for b in base for _ in range(40)}
     fps |= {0, -1, 1 << 62, *map(int, r.integers(-(1 << 63), 1 << 63, 200, dtype=np.int64))}
     table = spark.createDataFrame([(x,) for x in fps], "fp long")
-    got = simhash.links(table, 4, cap).collect()
+    got = simhash.links(table, 4, cap, count).collect()
     order = np.array(sorted(fps))
     near = np.bitwise_count(order[:, None].view(np.uint64) ^ order.view(np.uint64)) <= 4
     want = graph.merge_labels(np.arange(len(order)), *np.nonzero(near))

@@ -2,22 +2,25 @@
 
 The trie join walks pairs of trie nodes together, one bit a step, adds up the bits in which their
 paths differ, and drops a pair of nodes as soon as the budget is exceeded. To spread it over
-executors the 64 bits are cut into budget + 1 blocks. Two fingerprints within the budget agree on
-one whole block, so with that block first they share a node of the trie at the block's depth: each
-such node of the budget + 1 tries is one unit of work. A node with more than ``cap`` fingerprints
-is cut into chunks whose pairs are joined separately. Every unit returns a forest that joins what
+executors the 64 bits are cut into budget + k blocks. Two fingerprints within the budget agree on
+k whole blocks at least, so in the trie that has these k blocks first they share a node at their
+depth: each such node of the tries of all choices of k blocks is one unit of work. k grows with the
+number of fingerprints, so that a node holds few of them by chance, and every k finds every link.
+A node with more than ``cap`` fingerprints, as a dense group has, is cut into chunks whose pairs
+are joined separately. Every unit returns a forest that joins what
 its links join, rather than all pairs, so a dense group of n fingerprints costs n rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from itertools import repeat
+from functools import reduce
+from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackscan.llm.common import free_name, mapped, quoted, saved, ship, with_columns
@@ -27,6 +30,8 @@ SHINGLE_WORDS = 4
 MAX_BITS = 4
 #: Fingerprints of one trie node that are joined as one unit.
 CAP = 1024
+#: Fingerprints that a node holds by chance, beyond which it is found by one more block.
+BY_CHANCE = 1024
 #: Rows of sorted units that are walked together, and pairs verified at a time.
 BATCH_ROWS, BATCH_PAIRS, LEAF_PAIRS = 100_000, 1_000_000, 64
 _LANES = np.uint64(0x0101010101010101)
@@ -79,30 +84,46 @@ def fingerprints(
     return mapped(docs.select(text, *kept), run, schema)
 
 
-def blocks(max_bits: int) -> list[tuple[int, int]]:
-    """(first bit, width) of max_bits + 1 blocks over the 64 bits, from the highest bit."""
-    edges = [64 * i // (max_bits + 1) for i in range(max_bits + 2)]
+#: (first bit, width) from the highest bit on.
+Block = tuple[int, int]
+
+
+def blocks(n: int) -> list[Block]:
+    """n blocks over the 64 bits."""
+    edges = [64 * i // n for i in range(n + 1)]
     return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
 
 
-def links(fps: DataFrame, max_bits: int = MAX_BITS, cap: int = CAP) -> DataFrame:
+def choices(max_bits: int, count: int) -> list[tuple[Block, ...]]:
+    """The least choices of k of max_bits + k blocks whose nodes hold few of count by chance."""
+    for k in range(1, 65 - max_bits):
+        found = list(combinations(blocks(max_bits + k), k))
+        if count >> min(sum(w for _, w in c) for c in found) <= BY_CHANCE:
+            break
+    return found
+
+
+def links(
+    fps: DataFrame, max_bits: int = MAX_BITS, cap: int = CAP, count: int | None = None
+) -> DataFrame:
     """Rows (a, b) whose components are those of all links of at most max_bits bits.
 
     A row joins a fingerprint with one that it reaches by links in the same unit. fps has one
-    column fp of distinct non-null longs.
+    column fp of distinct non-null longs, and count rows; it is counted if that isn't given.
     """
     ship(fps.sparkSession)
-    parts = blocks(max_bits)
+    chosen = choices(max_bits, fps.count() if count is None else count)
+    starts = [own[0][0] for own in chosen]
+
+    def bits(a: int, w: int) -> Column:
+        return F.shiftrightunsigned("fp", 64 - a - w).bitwiseAND(F.lit((1 << w) - 1))
+
+    def value(own: tuple[Block, ...]) -> Column:
+        joined = (F.shiftleft(bits(*x), sum(w for _, w in own[i + 1 :])) for i, x in enumerate(own))
+        return reduce(Column.bitwiseOR, joined)
+
     keyed = fps.select(
-        "fp",
-        F.posexplode(
-            F.array(
-                *(
-                    F.shiftrightunsigned("fp", 64 - a - w).bitwiseAND(F.lit((1 << w) - 1))
-                    for a, w in parts
-                )
-            )
-        ).alias("block", "value"),
+        "fp", F.posexplode(F.array(*map(value, chosen))).alias("block", "value")
     )
     large = (
         keyed.groupBy("block", "value")
@@ -142,9 +163,9 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, cap: int = CAP) -> DataFrame
                 cut = int(last[-1]) + 1 if len(last) else 0  # the last unit may go on
                 held, count = [rows[:, cut:]], rows.shape[1] - cut
                 if cut:
-                    yield _found(rows[:, :cut], parts, max_bits)
+                    yield _found(rows[:, :cut], starts, max_bits)
         if count:
-            yield _found(np.concatenate(held, axis=1), parts, max_bits)
+            yield _found(np.concatenate(held, axis=1), starts, max_bits)
 
     key = ["block", "value", "i", "j"]
     return units.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "a long, b long")
@@ -154,21 +175,22 @@ def _columns(batch: pa.RecordBatch) -> np.ndarray:
     return np.stack([batch.column(i).cast(pa.int64()).to_numpy() if i != 4 else batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(6)])
 
 
-def _found(rows: np.ndarray, parts: list[tuple[int, int]], max_bits: int) -> pa.RecordBatch:
-    a, b = walk(rows, parts, max_bits)
+def _found(rows: np.ndarray, starts: list[int], max_bits: int) -> pa.RecordBatch:
+    a, b = walk(rows, starts, max_bits)
     return pa.record_batch([pa.array(a), pa.array(b)], ["a", "b"])
 
 
 def walk(
-    rows: np.ndarray, parts: list[tuple[int, int]], max_bits: int
+    rows: np.ndarray, starts: list[int], max_bits: int
 ) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest, as pairs of fingerprints, of the links in every unit of rows.
 
     rows: block, value, i, j, right, fp; units are the runs of equal (block, value, i, j). A unit
     with i = j joins its fingerprints with one another, any other joins its left with its right.
+    starts: by block, the bit that is first in its trie.
     """
     block, fp = rows[0], rows[5].view(np.uint64)
-    start = np.array([a for a, _ in parts], np.uint64)[block]
+    start = np.array(starts, np.uint64)[block]
     turned = (fp << start) | (fp >> ((np.uint64(64) - start) & np.uint64(63)))
     turned = np.where(start == 0, fp, turned)
     new = np.concatenate(([True], (rows[:4, 1:] != rows[:4, :-1]).any(axis=0)))
