@@ -74,6 +74,7 @@ def test_pipeline(spark, tmp_path):
         data = b"" if k is None else k.to_bytes(8, "little", signed=True)
         seed = xxhash.xxh64_intdigest(mixing.SEED.to_bytes(4, "little"), 42)
         place = seed if k is None else xxhash.xxh64_intdigest(data, seed)
+        place = place if t is None else xxhash.xxh64_intdigest(t.encode(), place)
         size = len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
         part = place >> 54  # then by signed hash within a part
         streams[s].append((part, place - (1 << 64) if place >> 63 else place, k, t, size))

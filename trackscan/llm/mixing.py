@@ -115,8 +115,8 @@ def assign(
 ) -> DataFrame:
     """Rows (*keep, doc_id, source, size, source_size, target, taken, copies), one a row of docs.
 
-    A source's documents stand in one stream, in the order of a hash of doc_id (then doc_id, size
-    and text), which is used again from its start until the target is met; so reruns agree and
+    A source's documents stand in one stream, in the order of a hash of doc_id and text (then doc_id,
+    size and text), so rows without an id are spread as any others are. The stream is used again from its start until the target is met; so reruns agree and
     repeated rows each have a place. taken is the words that the mix takes, over all copies. The
     copy at the target is cut there; with whole it is taken whole if its middle comes before the
     target, and left out otherwise. copies holds (position, words) of each copy with words,
@@ -124,7 +124,7 @@ def assign(
     source is a source. Sizes are added up in parts of a stream, so a source with most of the
     rows is spread over PARTS tasks.
     """
-    place = F.xxhash64(F.lit(SEED), "doc_id")
+    place = F.xxhash64(F.lit(SEED), F.col("doc_id").cast("long"), "text")
     rows = docs.select(
         *(F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)),
         F.col("doc_id").cast("long").alias("doc_id"),
