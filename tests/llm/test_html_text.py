@@ -246,3 +246,6 @@ def test_rows(spark):
     got = sorted(found.collect(), key=str)
     assert sorted(((r.page_id, r.title, r.text) for r in got), key=str) == sorted([(1, "A & b", "x"), (None, None, ""), (1, None, "y"), (2, None, "")], key=str)
     assert html_text.extracted(pages.limit(0)).count() == 0
+    odd = pages.selectExpr("*", "1 AS `a``b`", "2 AS c0", "3 AS r1")
+    assert html_text.extracted(odd).columns == ["page_id", "html", "a`b", "c0", "r1", "title", "text"]
+    assert [tuple(r)[2:5] for r in html_text.extracted(odd).collect()] == [(1, 2, 3)] * 4

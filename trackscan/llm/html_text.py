@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackscan.llm.common import ship
+from trackscan.llm.common import mapped, ship, with_columns
 
 # Element classes of the HTML standard (fixed values).
 VOID = frozenset(
@@ -572,5 +572,4 @@ def extracted(pages: DataFrame) -> DataFrame:
                 [*batch.schema.names, "title", "text"],
             )
 
-    schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes)
-    return rows.mapInArrow(run, schema + ", title string, text string")
+    return mapped(rows, run, with_columns(rows, "title string, text string"))
