@@ -14,7 +14,7 @@ def test_query(spark, name):
     assert len(found)
     if name in queries.SQL:
         with duckdb.connect() as db:
-            for table in ("documents", "embeddings"):
+            for table in ("documents", "embeddings", "benchmark"):
                 db.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
             want = db.execute(queries.SQL[name]).df()
         columns = sorted(found.columns)
