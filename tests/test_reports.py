@@ -82,6 +82,23 @@ def test_anomaly_of_one_scan(spark):
     assert got == [True, False, False, False]
 
 
+def test_anomaly_of_one_scan_on_odd_values(spark):
+    nan, inf = float("nan"), float("inf")
+    values = [None, [None], [1.0, None, 2.0], [nan, 1.0], [inf, 1.0], [0.0], [1.0] * 6 + [9.0]]
+    df = spark.createDataFrame([(v,) for v in values], "v array<double>")
+    got = [r[0] for r in df.select(anomaly.scan_anomaly(F.col("v"))).collect()]
+    assert got == [None, None, None, False, False, False, True]
+
+
+def test_anomaly_of_one_scan_reads_its_metrics_once(spark):
+    k = F.get_json_object("props", "$.k").cast("double")
+    df = spark.createDataFrame([('{"k": 9}',)], "props string")
+    scored = df.select(anomaly.scan_anomaly(F.array(k, *[F.lit(1.0)] * 6)).alias("a"))
+    assert scored.first().a is True
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("get_json_object") == 1
+
+
 def test_history_append_and_filters(spark, hot_history):
     rows, df = hot_history
     path = os.path.join(tempfile.mkdtemp(prefix="run-"), "history")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,8 +33,26 @@ def zscores(rows: DataFrame, metric: str, value: str, limit: float = LIMIT) -> D
 
 
 def scan_anomaly(values: Column, limit: float = LIMIT) -> Column:
-    """Whether any metric of one scan stands out among all metrics of that scan."""
-    n = F.size(values)
-    mean = F.aggregate(values, F.lit(0.0), lambda a, v: a + v) / n
-    square = F.aggregate(values, F.lit(0.0), lambda a, v: a + (v - mean) * (v - mean)) / n
-    return (n > 0) & (square > 0) & F.exists(values, lambda v: v - mean > F.lit(limit) * F.sqrt(square))
+    """Whether any metric of one scan stands out among all metrics of that scan.
+
+    values, mean and spread are bound one after the other, so each is worked out once a row. Written
+    into one another they would be worked out anew for each metric, and within that for each again.
+    """
+
+    def stands_out(vs: Column) -> Column:
+        n = F.size(vs)
+
+        def beyond(mean: Column) -> Column:
+            square = F.aggregate(vs, F.lit(0.0), lambda a, v: a + (v - mean) * (v - mean)) / n
+            return _bound(
+                square, lambda s: (s > 0) & F.exists(vs, lambda v: v - mean > F.lit(limit) * F.sqrt(s))
+            )
+
+        return (n > 0) & _bound(F.aggregate(vs, F.lit(0.0), lambda a, v: a + v) / n, beyond)
+
+    return _bound(values, stands_out)
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use of a value that is worked out once, however often use names it."""
+    return F.transform(F.array(value), use)[0]
