@@ -283,6 +283,30 @@ def test_previous_shuffles_the_rows_once(spark, hot_history):
     assert "ReusedExchange" in plan and sum("_part#" in line for line in ran) == 1
 
 
+def test_only_split_keys_meet_again_by_key(spark, monkeypatch):
+    """Keys of few rows a span have all their rows outermost; they were shuffled twice before."""
+    monkeypatch.setattr(trends, "SPAN_ROWS", 20)
+    data = [(f"u{i % 50}", i // 50, i) for i in range(500)] + [("hot", i // 5, i) for i in range(100)]
+    df = spark.createDataFrame(data, "url string, day int, v int").select(
+        "url", "v", F.expr("timestamp'2024-01-01' + make_interval(0, 0, 0, day, 0, 0, v / 1000)").alias("at")
+    )
+    none = [(None, 1000, None), ("hot", 1001, None), ("u1", 1002, None)]
+    ats = df.unionByName(spark.createDataFrame(none, "url string, v int, at timestamp"))
+    found = trends.previous_by_key(ats, "url", "at", ["v"])
+    rows = found.select("url", "v", F.col("previous.v").alias("p")).collect()
+    last = {}
+    for url, _, v in sorted(data, key=lambda x: x[2]):
+        last[url, v] = max((w for u, w in last if u == url), default=None)
+    last.update({(u, v): None for u, v, _ in none})
+    assert {(r.url, r.v): r.p for r in rows} == last and len(rows) == len(data) + 3
+    _, split = trends._split_keys(df, "url", "at", "day")
+    assert {r.url for r in split.collect()} == {"hot"}
+    monkeypatch.setattr(trends, "SPAN_ROWS", 50_000)
+    history = df.selectExpr("url", "at AS scan_ts", "v AS privacy_score", "v AS tracker_count", "'h' AS result_hash")
+    ran, plan = shuffles(trends.change_alerts(history))
+    assert sum("_part#" in line for line in ran) == len(ran) == 1 and plan.count("Window [") == 1
+
+
 def test_bucketed_history_is_not_shuffled(spark, hot_history):
     rows, df = hot_history
     path = os.path.join(tempfile.mkdtemp(prefix="run-"), "history")

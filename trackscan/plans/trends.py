@@ -137,34 +137,108 @@ def _sortable(field) -> Column:
     return F.to_json(F.struct(column)) if "map<" in kind or "variant" in kind else column
 
 
-def _parts(history: DataFrame, key: str, time: str, unit: str) -> DataFrame:
-    """Rows with the span of time they are in, and its part where a span has many rows of a key."""
-    whole = F.col(key).isNotNull() & F.col(time).isNotNull()
-    spans = history.withColumn("_span", F.date_trunc(unit, time))
-    crowded = (
-        spans.filter(whole)
-        .groupBy(key, "_span")
+def _crowded(spans: DataFrame, key: str, time: str) -> DataFrame:
+    """Spans with more than SPAN_ROWS rows of a key: their number and the ends of their time."""
+    return (
+        spans.groupBy(key, "_span")
         .agg(
             F.count("*").alias("_rows"),
             F.unix_micros(F.min(time).cast("timestamp")).alias("_from"),
             F.unix_micros(F.max(time).cast("timestamp")).alias("_to"),
         )
         .filter(F.col("_rows") > SPAN_ROWS)
-        # Dealt out by an expression, both sides of the join are plain shuffles, of which a hot
-        # key can be split at run time; what an aggregate has dealt out cannot.
-        .withColumn("_span", F.date_trunc(unit, "_span"))
     )
+
+
+def _part_of(time: str) -> Column:
+    """The part of a crowded span that a row is in; 0 in others."""
     share = (F.unix_micros(F.col(time).cast("timestamp")) - F.col("_from")) / (
         F.col("_to") - F.col("_from") + 1
     )
-    part = F.floor(share * F.ceil(F.col("_rows") / SPAN_ROWS))
+    return F.coalesce(F.floor(share * F.ceil(F.col("_rows") / SPAN_ROWS)), F.lit(0))
+
+
+def _parts(history: DataFrame, key: str, time: str, unit: str) -> DataFrame:
+    """Rows with the span of time they are in, and its part where a span has many rows of a key."""
+    whole = F.col(key).isNotNull() & F.col(time).isNotNull()
+    spans = history.withColumn("_span", F.date_trunc(unit, time))
+    # Dealt out by an expression, both sides of the join are plain shuffles, of which a hot key can
+    # be split at run time; what an aggregate has dealt out cannot.
+    crowded = _crowded(spans.filter(whole), key, time).withColumn("_span", F.date_trunc(unit, "_span"))
     return (
         spans.join(crowded, [key, "_span"], "left")
-        .withColumn("_part", F.coalesce(part, F.lit(0)))
+        .withColumn("_part", _part_of(time))
         .select(*history.columns, "_span", "_part")
     )
 
 
+def previous_by_key(
+    history: DataFrame,
+    key: str,
+    time: str,
+    values: list[str],
+    tie: list[str] | None = None,
+    unit: str = "day",
+) -> DataFrame:
+    """The rows of `previous`, for many keys of which few have more than SPAN_ROWS rows.
+
+    A window runs within a key, and only those few are split: by spans of time, and a span with more
+    than SPAN_ROWS rows by its count, into equal parts of its time. Rows are shuffled once, for that
+    window. For the first rows of parts an aggregate finds the two outermost rows of each part, of the
+    split keys only; of other keys no row is sorted or shuffled again, however far apart its rows are.
+    Rows without a key or a time are kept, unshuffled, and have no previous row.
+    """
+    row = F.struct(time, *values)
+    named = [time, *(tie or [])]
+    order = [*named, *[_sortable(f) for f in history.schema.fields if f.name not in (key, *named)]]
+    columns, spans = [*history.columns, "previous"], ["_span", "_part"]
+    whole = F.col(key).isNotNull() & F.col(time).isNotNull()
+    rows, split = _split_keys(history.filter(whole), key, time, unit)
+    inside = F.lag(row).over(W.partitionBy(key, *spans).orderBy(*order))
+    # a part's first row comes from below
+    rest = rows.withColumn("previous", inside).filter("_span IS NULL OR previous IS NOT NULL")
+    ends = split.groupBy(key, *spans).agg(
+        F.min_by(F.struct(*history.columns), F.struct(*order)).alias("_first"),
+        F.max_by(row, F.struct(*order)).alias("_last"),
+    )
+    carried = ends.withColumn("previous", F.lag("_last").over(W.partitionBy(key).orderBy(*spans)))
+    none = history.filter(~whole).withColumn("previous", F.when(F.lit(False), row))
+    return (
+        rest.select(*columns)
+        .unionByName(carried.select("_first.*", "previous"))
+        .unionByName(none.select(*columns))
+    )
+
+
+def _split_keys(history: DataFrame, key: str, time: str, unit: str) -> tuple[DataFrame, DataFrame]:
+    """All rows with span and part, which are null and 0 where the key isn't split; the split rows.
+
+    What is broadcast, the split keys and the crowded spans, has at most a row for each SPAN_ROWS
+    rows of the history. Without any the second table and its work fall away at run time.
+    """
+    hot = (
+        history.groupBy(key)
+        .agg(F.count("*").alias("_rows"))
+        .filter(F.col("_rows") > SPAN_ROWS)
+        .select(key, F.lit(True).alias("_hot"))
+    )
+
+    def spanned(how: str) -> DataFrame:
+        span = F.when(F.col("_hot"), F.date_trunc(unit, time))
+        return history.join(F.broadcast(hot), key, how).withColumn("_span", span)
+
+    crowded = _crowded(spanned("inner"), key, time)
+
+    def cut(rows: DataFrame) -> DataFrame:
+        return (
+            rows.join(F.broadcast(crowded), [key, "_span"], "left")
+            .withColumn("_part", _part_of(time))
+            .select(*history.columns, "_span", "_part")
+        )
+
+    return cut(spanned("left")), cut(spanned("inner"))
+
+
 def is_change_alert(
     score_drop: float = 10, tracker_rise: float = 20, percent: bool = False
 ) -> tuple[Column, Column]:
@@ -193,7 +267,10 @@ def change_alerts(
     part is as in `previous`.
     """
     values = ["privacy_score", "tracker_count"]
-    rows = previous(history, "url", "scan_ts", values, ["result_hash"], unit, part)
+    if part is None:
+        rows = previous_by_key(history, "url", "scan_ts", values, ["result_hash"], unit)
+    else:
+        rows = previous(history, "url", "scan_ts", values, ["result_hash"], unit, part)
     fell, rose = is_change_alert(score_drop, tracker_rise, percent)
     return rows.withColumn("score_fell", fell).withColumn("trackers_rose", rose).filter(
         "score_fell OR trackers_rose"

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from trackscan.plans import rollups
-from trackscan.plans.trends import is_change_alert, previous
+from trackscan.plans.trends import is_change_alert, previous_by_key
 from trackscan.sources.folders import names, remove
 from trackscan.sources.history import HISTORY_SCHEMA, level_alerts
 from trackscan.sources.pages import PAGE_SCHEMA
@@ -152,7 +152,7 @@ def change_alert_writer(
                 .unionByName(fresh.withColumn("_new", F.lit(True)))
             )
             fell, rose = is_change_alert(score_drop, tracker_rise, percent)
-            judged = previous(both, "url", "scan_ts", [*_VALUES, "_new"], ["result_hash"], unit)
+            judged = previous_by_key(both, "url", "scan_ts", [*_VALUES, "_new"], ["result_hash"], unit)
             # what is new, and what now stands behind something new
             (
                 judged.withColumn("score_fell", fell)
