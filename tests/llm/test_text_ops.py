@@ -419,6 +419,23 @@ def test_secrets_of_unseen_contexts():
         held_out(model)
 
 
+def test_network_learns_from_all_findings(spark, monkeypatch):
+    """6,000 documents, and 50 findings of each, were all that it learned from."""
+    many = " ".join(f"x {i:026x} value{i:020d}z" for i in range(100))
+    texts = [f"document {i} password=abc{i % 400} and {i % 500:012d}" for i in range(6_500)] + [many, None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = secrets._findings(docs)
+    got = {r.label: (r.n, r.rows) for r in found.groupBy("label").agg(F.sum("n").alias("n"), F.count("*").alias("rows")).collect()}
+    rules = sum(len(secrets.rule_spans(t or "")) for t in texts)
+    others = sum(len(secrets.apart(secrets.candidates(t or ""), secrets.rule_spans(t or ""))) for t in texts)
+    assert {k: n for k, (n, _) in got.items()} == {1: rules, 0: others} and others >= 6_600
+    monkeypatch.setattr(secrets, "SHARD_ROWS", 1_500)  # several shards
+    assert sum(rows for _, rows in got.values()) > 6_000
+    models = [secrets.fit(docs), secrets.fit(docs.repartition(5))]
+    assert models[0].thresholds == models[1].thresholds
+    held_out(models[0])
+
+
 def test_candidates_apart_from_spans():
     text = " ".join(f"deadbeef{i:020d} value{i:020d}x" for i in range(3000))  # 170 KB
     base, found = secrets.rule_spans(text), secrets.candidates(text)
