@@ -69,3 +69,16 @@ def test_too_many_rules_without_text(spark, monkeypatch):
     with pytest.raises(ValueError):
         rule_index.matches(frame, table)
     assert rule_index.matches(frame, table.limit(0)).count() == 0
+
+
+def test_a_text_is_cut_up_once_for_both_lengths_of_pieces(spark):
+    needles = {"long": "google-analytics", "short": "fbq(", "eight": "abcdefgh", "seven": "qrstuvw"}
+    rules = spark.createDataFrame([(k, v, True) for k, v in needles.items()], "rule string, needle string, folded boolean")
+    body = "x" * (rule_index.BLOCK - 3)
+    texts = ["", "FBQ(", "...fbq(", "abcdefg", "xABCDEFGH", "qrstuvw", body + "google-analytics", body + "qrstuvw", None, "éfbq(é"]
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "text_key string, text string")
+    found = rule_index.found(df, rules)
+    got = {(r.text_key, r.rule) for r in found.collect()}
+    assert got == {(str(i), k) for i, t in enumerate(texts) for k, v in needles.items() if t and v in t.lower()}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate posexplode(regexp_extract_all") == 2  # blocks, and pieces of them

@@ -118,16 +118,23 @@ def found(texts: DataFrame, rules: DataFrame) -> DataFrame:
         block = blocks.select(
             "text_key", F.posexplode(F.regexp_extract_all(whole, F.lit(cut), F.lit(1))).alias("no", "block")
         )
+        # Pieces of both lengths begin at the same places: a text is cut up once for the two.
+        own = F.regexp_extract_all("block", F.lit(rf"(?s)(?=(.{{{min(mine.values())},{max(mine.values())}}}))."), F.lit(1))
+        piece = block.select("text_key", "no", F.posexplode(own).alias("at", "piece"))
+        known, grams = [], []
         for family, k in mine.items():
-            own = F.regexp_extract_all("block", F.lit(rf"(?s)(?=(.{{{k}}}))."), F.lit(1))
             bitmap = Bitmap(index.filter(F.col("family") == family), sizes[family])
-            gram = block.select("text_key", "no", F.posexplode(own).alias("at", "gram"))
-            parts.append(
-                gram.filter((F.col("at") < BLOCK) & bitmap.knows(F.col("gram"))).select(
-                    "text_key", F.lit(family).alias("family"), "gram",
-                    (F.col("no").cast("long") * BLOCK + F.col("at")).alias("at"),
-                )
-            )
+            gram = F.substring("piece", 1, k)
+            there = bitmap.knows(gram)
+            known.append(there)
+            grams.append(F.when(there, F.struct(F.lit(family).alias("family"), gram.alias("gram"))))
+        parts.append(
+            piece.filter((F.col("at") < BLOCK) & reduce(Column.__or__, known)).select(
+                "text_key",
+                (F.col("no").cast("long") * BLOCK + F.col("at")).alias("at"),
+                F.inline(F.array_compact(F.array(*grams))),
+            ).select("text_key", "family", "gram", "at")
+        )
     if not parts:
         return texts.join(rules, F.lit(False)).select("text_key", "rule")
     return (
