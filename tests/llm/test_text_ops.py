@@ -325,6 +325,31 @@ def test_components_of_a_path(spark):
     assert {r.node: r.root for r in found} == {**dict.fromkeys(range(61), 0), 100: 100, 200: 100, 300: 100}
 
 
+def test_rounds_of_few_links_have_few_files(spark, monkeypatch):
+    files = []
+
+    def counted(df, name):
+        table = saved(df, name)
+        files.append(len(table.inputFiles()))
+        return table
+
+    saved = graph.saved
+    monkeypatch.setattr(graph, "saved", counted)
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        path = spark.createDataFrame([(i, i + 1) for i in range(60)], "a long, b long")
+        rows = [tuple(r) for r in graph.components(path).collect()]
+        monkeypatch.setattr(graph, "FILE_LINKS", 20)
+        assert sorted(rows) == sorted(tuple(r) for r in graph.components(path).collect())
+    finally:
+        spark.conf.set(key, before)
+    one, more = files[: len(files) // 2], files[len(files) // 2 :]
+    assert len(one) > 2 and set(one[1:]) == {1}
+    assert len(more) == len(one) and set(more[1:]) == {3}
+
+
 # packing
 
 

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from trackscan.llm.common import saved
 
 MAX_ROUNDS = 100
+#: Links that a file of a round's table holds, so that few links don't make a file for each partition.
+FILE_LINKS = 100_000
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -18,7 +20,8 @@ def components(edges: DataFrame) -> DataFrame:
     of a round are written to the shared folder. A node with very many links is a hot join key;
     both sides of that join are plain shuffles, which adaptive execution splits. (Dealing the
     minima out by an expression of the node, not the node itself, is what makes it shuffle them:
-    it cannot split what an aggregate has dealt out.)
+    it cannot split what an aggregate has dealt out.) A round has no more links than the one
+    before, so its number of files follows from them.
     Self-links and repeated links add nothing; no edges give no rows.
     """
     now = saved(
@@ -31,7 +34,8 @@ def components(edges: DataFrame) -> DataFrame:
     for _ in range(MAX_ROUNDS):
         if seen[0] == 0:
             break
-        now = saved(_small_star(_large_star(now)), "edges")
+        files = -(-seen[0] // FILE_LINKS)
+        now = saved(_small_star(_large_star(now)).coalesce(files), "edges")
         before, seen = seen, _digest(now)
         if seen == before:
             break
