@@ -73,6 +73,27 @@ def test_lexical_blocks_and_empty_tables(spark, monkeypatch):
     assert lexical.search(lexical.build(frame), asked.limit(0)).count() == 0
 
 
+def test_lexical_tasks_hold_few_rows_and_one_worker(spark, monkeypatch):
+    made, saved = [], lexical.saved
+
+    def seen(df, name):
+        rows = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+        steps = df._jdf.queryExecution().executedPlan().toString().count("MapInArrow")
+        made.append((name.rsplit("/", 1)[-1].rsplit("-", 1)[0] if "/" in name else name, rows, steps, df))
+        return saved(df, name)
+
+    monkeypatch.setattr(lexical, "saved", seen)
+    monkeypatch.setattr(lexical, "BATCH_TEXTS", 2, raising=False)
+    docs = [(i, f"a{i % 3} b{i % 5} c{i}") for i in range(30)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    asked = spark.createDataFrame([(i, f"a{i % 3} c{i}") for i in range(20)], "item_id long, text string")
+    found = lexical.search(lexical.build(frame), asked, 4).collect()
+    assert order(map(tuple, found)) == order(plain_search(docs, [(i, f"a{i % 3} c{i}") for i in range(20)], 4))
+    by_text = {name: (rows, steps) for name, rows, steps, _ in made if name in ("forward", "strata", "query-terms")}
+    assert by_text == dict.fromkeys(("forward", "strata", "query-terms"), (2, 1))
+    assert [df.rdd.getNumPartitions() for name, *_, df in made if name == "weights"] == [1]
+
+
 def test_stratum_bounds_prune():
     ids, n = list(range(50)), [10] * 25 + [400] * 25
     words = [b"hit" if i in (3, 30) else b"other" for i in ids]

@@ -30,8 +30,8 @@ from trackscan.llm.common import discard, new_folder, rows_per_batch, saved, shi
 PART_POSTINGS = 1 << 18
 #: Terms of a block of queries. A block goes to every task, so its size is checked.
 BLOCK_TERMS = 1 << 18
-#: Strata that a task is handed at a time.
-BATCH_ROWS = 64
+#: Strata, and texts or their terms, that a task is handed at a time.
+BATCH_ROWS, BATCH_TEXTS = 64, 256
 #: Of a term's weight, an impact and the normaliser of documents.
 WEIGHT_SCALE, IMPACT_SCALE, TF_SCALE, M_SCALE = 1_000, 1_000_000_000, 1_000, 12
 M_BASE, M_SHARE = 100, 25
@@ -64,41 +64,47 @@ def counted(docs: DataFrame, keep: str) -> DataFrame:
     """Rows (keep, n, terms, tfs) of the rows with a term; a row's terms are distinct, joined by a
     space, and tfs are their counts as 64-bit integers."""
     ship(docs.sparkSession)
+    rows = _texts(docs, keep)
+    kind = rows.schema[keep].dataType.simpleString()
+    return rows.mapInArrow(
+        lambda batches: _counted(batches, keep), f"{keep} {kind}, n long, terms binary, tfs binary"
+    )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at, n, words, tfs = [], [], [], []
-            held = 0
-
-            def out(at=at, n=n, words=words, tfs=tfs, batch=batch) -> pa.RecordBatch:
-                cells = [
-                    batch.column(0).take(pa.array(at, pa.int64())),
-                    pa.array(n, pa.int64()),
-                    pa.array(words, pa.binary()),
-                    pa.array(tfs, pa.binary()),
-                ]
-                for x in (at, n, words, tfs):
-                    x.clear()
-                return pa.record_batch(cells, [keep, "n", "terms", "tfs"])
-
-            for i, text in enumerate(batch.column(1).cast(pa.binary())):
-                found = terms(text.as_py())
-                if not found:
-                    continue
-                count = Counter(found)
-                at.append(i)
-                n.append(len(found))
-                words.append(b" ".join(count))
-                tfs.append(np.fromiter(count.values(), np.int64, len(count)).tobytes())
-                held += len(count)
-                if held >= PART_POSTINGS:
-                    yield out()
-                    held = 0
-            yield out()
 
-    rows = docs.select(F.col(keep), F.col("text").cast("string").alias("text"))
-    kind = rows.schema[keep].dataType.simpleString()
-    return rows.mapInArrow(run, f"{keep} {kind}, n long, terms binary, tfs binary")
+def _texts(docs: DataFrame, keep: str) -> DataFrame:
+    return docs.select(F.col(keep), F.col("text").cast("string").alias("text"))
+
+
+def _counted(batches: Iterator[pa.RecordBatch], keep: str) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        at, n, words, tfs = [], [], [], []
+        held = 0
+
+        def out(at=at, n=n, words=words, tfs=tfs, batch=batch) -> pa.RecordBatch:
+            cells = [
+                batch.column(0).take(pa.array(at, pa.int64())),
+                pa.array(n, pa.int64()),
+                pa.array(words, pa.binary()),
+                pa.array(tfs, pa.binary()),
+            ]
+            for x in (at, n, words, tfs):
+                x.clear()
+            return pa.record_batch(cells, [keep, "n", "terms", "tfs"])
+
+        for i, text in enumerate(batch.column(1).cast(pa.binary())):
+            found = terms(text.as_py())
+            if not found:
+                continue
+            count = Counter(found)
+            at.append(i)
+            n.append(len(found))
+            words.append(b" ".join(count))
+            tfs.append(np.fromiter(count.values(), np.int64, len(count)).tobytes())
+            held += len(count)
+            if held >= PART_POSTINGS:
+                yield out()
+                held = 0
+        yield out()
 
 
 STRATUM = (
@@ -116,7 +122,8 @@ def build(docs: DataFrame) -> Index:
     spark = docs.sparkSession
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     folder = new_folder(spark, "forward")
-    forward = saved(counted(ids, "doc_id"), folder)
+    with rows_per_batch(spark, BATCH_TEXTS):
+        forward = saved(counted(ids, "doc_id"), folder)
     row = forward.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     n_docs, length = int(row[0]), int(row[1])
 
@@ -140,7 +147,8 @@ def build(docs: DataFrame) -> Index:
         if ids:
             yield strata(ids, n, words, tfs, n_docs, length)
 
-    made = saved(forward.mapInArrow(run, STRATUM), "strata")
+    with rows_per_batch(spark, BATCH_TEXTS):
+        made = saved(forward.mapInArrow(run, STRATUM), "strata")
     discard(spark, folder)
     return Index(made, n_docs, length)
 
@@ -307,11 +315,12 @@ def weighted(index: Index, queries: DataFrame) -> DataFrame:
         F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")
     ).distinct()
     key = F.struct("item_id", F.md5("text").alias("text")).alias("query")
-    forward = counted(asked.select(key, "text"), "query")
-    ship(queries.sparkSession)
+    spark = queries.sparkSession
+    ship(spark)
 
+    # both steps in one function: a second Python worker for each task would stay with its executor
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _counted(batches, "query"):
             for i in range(batch.num_rows):
                 words = batch.column(2)[i].as_py().split(b" ")
                 n = np.frombuffer(batch.column(3)[i].as_py(), np.int64)
@@ -321,10 +330,9 @@ def weighted(index: Index, queries: DataFrame) -> DataFrame:
                     ["query", "term", "n"],
                 )
 
-    mine = saved(
-        forward.mapInArrow(run, "query struct<item_id:long,text:string>, term string, n long"),
-        "query-terms",
-    )
+    schema = "query struct<item_id:long,text:string>, term string, n long"
+    with rows_per_batch(spark, BATCH_TEXTS):
+        mine = saved(_texts(asked.select(key, "text"), "query").mapInArrow(run, schema), "query-terms")
     zipped = F.arrays_zip(F.split("terms", " ").alias("terms"), "counts")
     listed = index.strata.select(F.explode(zipped).alias("x"))
     # the terms of queries are few beside those of documents; Spark broadcasts them if they are small
@@ -336,7 +344,9 @@ def weighted(index: Index, queries: DataFrame) -> DataFrame:
     )
     ratio = F.lit(float(2 * index.docs + 2)) / (2 * F.col("df") + 1).cast("double")
     weight = F.floor(WEIGHT_SCALE * F.log(ratio)).cast("long") * F.col("n")
-    return mine.join(df, "term").select("query.*", "term", weight.alias("weight")).filter("weight > 0")
+    found = mine.join(df, "term").select("query.*", "term", weight.alias("weight")).filter("weight > 0")
+    # few rows don't make a file for each partition
+    return found.repartition(max(1, -(-mine.count() // BLOCK_TERMS)))
 
 
 def _in_blocks(rows: DataFrame) -> tuple[DataFrame, int]:
