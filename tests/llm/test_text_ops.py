@@ -1,10 +1,12 @@
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -190,6 +192,33 @@ def test_encoder_is_the_library():
             assert np.frombuffer(encode(text), "<u4").tolist() == plain(text)
 
 
+@pytest.mark.parametrize("memo", [6, 1000])
+@pytest.mark.parametrize("name", [BYTE, WORD])
+def test_encoder_encodes_a_word_of_many_texts_once(monkeypatch, name, memo):
+    monkeypatch.setattr(tokens, "MEMO_PIECES", memo)
+    r = random.Random(8)
+    words = ["one", "Two,", "Two.", "drei!", "Straße", "don't", "\nquatre", "x" * 90, "日本", "a\u00a0b", "", "\t"]
+    texts = [" ".join(r.choices(words, k=r.randrange(12))) for _ in range(200)] + [None, "", " ", "one"]
+    encode, plain, asked = tokens.Encoder(public_tokenizers.path(name)), library(name), Counter()
+    known = encode.memo.direct
+    monkeypatch.setattr(encode.memo, "direct", lambda w, m: asked.update([w]) or known(w, m))
+    for at in range(0, len(texts), 51):
+        some = texts[at : at + 51]
+        found = [np.frombuffer(x, "<u4").tolist() for x in encode.many(pa.array(some, pa.string()))]
+        assert found == [plain(x or "") for x in some]
+    if memo == 1000:  # a word is the same with marks behind it; long ones are not kept
+        assert {w: n for w, n in asked.items() if w} == {"one": 1, "Two": 1, "drei": 1, "Straße": 1, "x" * 90: 4}
+
+
+def test_groups_of_texts():
+    texts = ["a" * n for n in (3, 0, 9, 1, 1, 1, 30, 2)] + [None]
+    rows = pa.record_batch([pa.array(range(9)), pa.array(texts, pa.string())], ["doc_id", "text"])
+    for n in (1, 2, 9):
+        found = list(tokens.grouped((rows.slice(i, n) for i in range(0, 9, n)), 10))
+        assert pa.Table.from_batches(found).to_pylist() == rows.to_pylist()
+        assert [x.num_rows for x in found] == [3, 4, 2]
+
+
 def test_frames_round_trip():
     r = np.random.default_rng(1)
     for n in (0, 1, 255, 256, 257, 3000):

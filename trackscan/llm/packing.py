@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackscan.llm.common import saved, ship
-from trackscan.llm.tokens import encoder
+from trackscan.llm.tokens import encoder, grouped
 
 SIZE, END_ID, TEXTS_AT_ONCE = 2048, 0, 64
 #: Patterns that enter the fit, gradient steps, and how often what is left is fitted again.
@@ -43,14 +43,15 @@ def pieces(
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary)
+        encode = encoder(vocabulary).many
         end = np.array([end_id], "<u4").tobytes()
-        for batch in batches:
+        for batch in grouped(batches):
+            found = encode(batch.column(1))
+            keys = batch.column(0).to_pylist()
             for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
-                part = batch.slice(at, TEXTS_AT_ONCE)
                 rows = []
-                texts = [x or "" for x in part.column(1).to_pylist()]
-                for key, ids in zip(part.column(0).to_pylist(), map(encode, texts), strict=True):
+                some = slice(at, at + TEXTS_AT_ONCE)
+                for key, ids in zip(keys[some], found[some], strict=True):
                     ids += end
                     for k, first in enumerate(range(0, len(ids), 4 * size)):
                         own = ids[first : first + 4 * size]

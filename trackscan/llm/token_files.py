@@ -20,11 +20,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trackscan.llm import frames
-from trackscan.llm.common import new_folder, saved, ship
-from trackscan.llm.tokens import encoder
+from trackscan.llm.common import new_folder, rows_per_batch, saved, ship
+from trackscan.llm.tokens import encoder, grouped
 
 MAGIC = b"PFORIDS1"
-FILE_TOKENS, TEXTS_AT_ONCE = 4_000_000, 64
+FILE_TOKENS, BATCH_TEXTS = 4_000_000, 256
 END_ID = 0
 _HEAD = len(MAGIC) + 32
 
@@ -45,22 +45,19 @@ def write(
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary)
+        encode = encoder(vocabulary).many
         end = np.array([end_id], "<u4").tobytes()
         keys: list[int | None] = []
         ids: list[bytes] = []
         size = 0
-        for batch in batches:
-            for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
-                part = batch.slice(at, TEXTS_AT_ONCE)
-                texts = [x or "" for x in part.column(1).to_pylist()]
-                for key, found in zip(part.column(0).to_pylist(), map(encode, texts), strict=True):
-                    if size and size + len(found) > 4 * file_tokens:
-                        yield _one(assemble(keys, ids))
-                        keys, ids, size = [], [], 0
-                    keys.append(key)
-                    ids.append(found + end)
-                    size += len(found) + 4
+        for part in grouped(batches):
+            for key, found in zip(part.column(0).to_pylist(), encode(part.column(1)), strict=True):
+                if size and size + len(found) > 4 * file_tokens:
+                    yield _one(assemble(keys, ids))
+                    keys, ids, size = [], [], 0
+                keys.append(key)
+                ids.append(found + end)
+                size += len(found) + 4
         if keys:
             yield _one(assemble(keys, ids))
 
@@ -72,9 +69,9 @@ def write(
         .sortWithinPartitions("doc_id", "tie", "text")
     )
     files = ordered.mapInArrow(run, "content binary")
-    files.select(F.col("content").cast("string").alias("value")).write.option(
-        "maxRecordsPerFile", 1
-    ).text(path)
+    lines = files.select(F.col("content").cast("string").alias("value"))
+    with rows_per_batch(docs.sparkSession, BATCH_TEXTS):
+        lines.write.option("maxRecordsPerFile", 1).text(path)
 
 
 def _one(content: bytes) -> pa.RecordBatch:
