@@ -190,7 +190,7 @@ class Encoder:
 
     def many(self, texts: pa.Array) -> list[bytes]:
         """The ids of each text (null: none). Work is for each distinct piece of all the texts."""
-        texts = texts.fill_null("")
+        texts = texts.cast(pa.string()).fill_null("")
         uneven = pc.match_substring_regex(texts, _UNEVEN)
         even = texts.filter(pc.invert(uneven))
         split = pc.split_pattern(pc.replace_substring(even, "\n", " \n"), " ")
