@@ -1,8 +1,10 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -25,6 +27,7 @@ from trackscan.llm import (
     token_files,
     tokens,
 )
+from trackscan.llm.common import shared_dir
 
 BYTE, WORD = "byte_bpe_50k.json", "word_bpe_49k.json"
 
@@ -230,6 +233,19 @@ def test_frames_round_trip():
             assert (frames.unpack(data, starts, n) == values).all()
 
 
+def test_frames_take_little_memory():
+    values = np.random.default_rng(2).integers(0, 50_000, 3_000_100, dtype=np.uint32)
+    tracemalloc.start()
+    data, starts = frames.pack(values)
+    packing = tracemalloc.get_traced_memory()[1]
+    tracemalloc.reset_peak()
+    assert (frames.unpack(data, starts, len(values)) == values).all()
+    reading = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # with the packed bytes twice while they are joined, or once beside what is read
+    assert packing < 2 * len(data) + 25e6 and reading < len(data) + values.nbytes + 25e6
+
+
 def test_token_files(spark):
     plain = library(BYTE)
     found = token_files.round_trip(cases.docs(spark), BYTE, file_tokens=500).collect()
@@ -247,6 +263,42 @@ def test_token_files(spark):
     assert token_files.round_trip(cases.docs(spark, empty=True), BYTE).count() == 0
 
 
+def test_token_files_are_few(spark, tmp_path):
+    docs = [(i, cases.prose(i, 30 if i % 40 else 900)) for i in range(300)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    path = str(tmp_path / "ids")
+    token_files.write(df, path, BYTE, file_tokens=800)
+    seen = []
+    for file in sorted(Path(path).glob("*.txt")):
+        content = file.read_bytes()
+        parts = list(token_files.sections_of(content))
+        ids = sum(x.ids for x in parts)
+        assert ids <= 800 or sum(x.documents for x in parts) == 1
+        assert len(parts) <= token_files.SECTIONS
+        seen += [k for x in parts for k in x.keys.tolist()]
+    assert seen == list(range(300))
+    shared = Path(shared_dir(spark).removeprefix("file:"))
+    before = set(shared.glob("token-index-*"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 1)
+    try:
+        assert token_files.read(spark, path).count() == 300
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    (index,) = set(shared.glob("token-index-*")) - before
+    assert len(list(index.glob("part-*"))) == 1
+
+
+def test_lines_of_token_files():
+    def lines(*ids):
+        return list(token_files.lines_of_files([(b"s%d" % n, n) for n in ids], 100))
+
+    n = token_files.SECTIONS
+    assert lines(60, 30, 20) == [b"s60", b"s30", *[b""] * (n - 2), b"s20"]
+    assert lines(500, 1) == [b"s500", *[b""] * (n - 1), b"s1"]
+    assert lines(*range(1, n + 2)) == [b"s%d" % i for i in range(1, n + 2)]
+    assert lines(*[50] * 4) == [b"s50", b"s50", *[b""] * (n - 2), b"s50", b"s50"]
+
+
 def test_token_file_reads_one_document():
     ids = [np.arange(n, dtype="<u4") * 7919 for n in (1, 300, 5, 1000)]
     file = token_files.TokenFile(token_files.assemble([1, None, 3, 4], [x.tobytes() for x in ids]) + b"\n")

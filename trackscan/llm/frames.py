@@ -7,7 +7,8 @@ differences; the others are exceptions, kept with their whole difference beside
 Bytes of one block, little-endian:
     smallest u32 | width u8 | unused u8 | exceptions u16 | packed 4 * width * BLOCK / 32
     | places u8 each | differences u32 each
-The last block is filled up with its smallest value.
+The last block is filled up with its smallest value. Work is for AT_ONCE values at a time, since its
+steps take about ten times their memory.
 """
 
 from __future__ import annotations
@@ -16,14 +17,23 @@ import numpy as np
 
 BLOCK, HEAD = 256, 8
 PERCENTILE = 0.9
+AT_ONCE = 1024 * BLOCK
 
 
 def pack(values: np.ndarray, percentile: float = PERCENTILE) -> tuple[bytes, np.ndarray]:
     """The blocks' bytes, and the offset of each block's start with the end as last item."""
+    data, starts, end = [], [np.zeros(1, np.int64)], 0
+    for a in range(0, len(values), AT_ONCE):
+        some, at = _pack(values[a : a + AT_ONCE], percentile)
+        data.append(some)
+        starts.append(at[1:] + end)
+        end += len(some)
+    return b"".join(data), np.concatenate(starts)
+
+
+def _pack(values: np.ndarray, percentile: float) -> tuple[bytes, np.ndarray]:
     n = len(values)
     blocks = -(-n // BLOCK)
-    if not blocks:
-        return b"", np.zeros(1, np.int64)
     padded = np.empty(blocks * BLOCK, np.uint32)
     padded[:n] = values
     padded[n:] = values[(blocks - 1) * BLOCK :].min()
@@ -58,9 +68,15 @@ def pack(values: np.ndarray, percentile: float = PERCENTILE) -> tuple[bytes, np.
 
 def unpack(data: bytes | memoryview, starts: np.ndarray, n: int) -> np.ndarray:
     """The n values of whole blocks at starts (the last item is the end) in data."""
-    raw, blocks = np.frombuffer(data, np.uint8), len(starts) - 1
-    if not blocks:
-        return np.zeros(0, np.uint32)
+    raw, blocks, step = np.frombuffer(data, np.uint8), len(starts) - 1, AT_ONCE // BLOCK
+    found = np.empty(blocks * BLOCK, np.uint32)
+    for a in range(0, blocks, step):
+        found[a * BLOCK : (a + step) * BLOCK] = _unpack(raw, starts[a : a + step + 1])
+    return found[:n]
+
+
+def _unpack(raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    blocks = len(starts) - 1
     head = raw[starts[:-1, None] + np.arange(HEAD)]
     least = np.ascontiguousarray(head[:, :4]).view("<u4").ravel()
     width = head[:, 4].astype(np.int64)
@@ -77,7 +93,7 @@ def unpack(data: bytes | memoryview, starts: np.ndarray, n: int) -> np.ndarray:
     place = raw[tail[row] + rank]
     at = (tail[row] + exceptions[row] + 4 * rank)[:, None] + np.arange(4)
     v[row, place] = raw[at].view("<u4").ravel()
-    return (v + least[:, None]).ravel()[:n]
+    return (v + least[:, None]).ravel()
 
 
 def _bits(x: np.ndarray) -> np.ndarray:

@@ -31,8 +31,8 @@ _UNEVEN = rf"\A[\x00-\x20]|[\x00-\x20]\z|\A\z|  |\n\n| \n|\n |[\t\r\x0b\x0c]|{_H
 #: behind it are separate for every pre-tokenizer that direct accepts.
 _WORD = "".join(c for c in map(chr, range(256)) if c.isalpha())
 _MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
-#: With these a Python worker that writes token files takes about 300 MB.
-MEMO_PIECES, MEMO_PIECE_BYTES, MEMO_MARKS, GROUP_BYTES = 600_000, 64, 10_000, 1 << 22
+#: With these a Python worker that writes token files takes about 220 MB.
+MEMO_PIECES, MEMO_PIECE_BYTES, MEMO_MARKS, GROUP_BYTES = 300_000, 64, 10_000, 1 << 22
 
 
 class _Memo:
@@ -225,7 +225,10 @@ def _pieces(text: str) -> list[str]:
 
 
 def grouped(batches: Iterator[pa.RecordBatch], size: int = GROUP_BYTES) -> Iterator[pa.RecordBatch]:
-    """The rows in order, as batches of about size bytes of texts, which are column 1."""
+    """The rows in order, as batches of about size bytes of texts, which are column 1.
+
+    What Arrow took for a group is given back before the next; it would keep it for itself.
+    """
     held, n = [], 0
     for batch in batches:
         ends = np.cumsum(pc.binary_length(batch.column(1)).fill_null(0).to_numpy().astype(np.int64))
@@ -240,6 +243,7 @@ def grouped(batches: Iterator[pa.RecordBatch], size: int = GROUP_BYTES) -> Itera
             if n >= size:
                 yield pa.concat_batches(held)
                 held, n = [], 0
+                pa.default_memory_pool().release_unused()
     if held:
         yield pa.concat_batches(held)
 
