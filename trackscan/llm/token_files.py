@@ -11,6 +11,7 @@ up to SECTIONS sections, so that no task has to hold a whole file, and empty lin
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -24,9 +25,10 @@ from trackscan.llm.common import new_folder, rows_per_batch, saved, ship
 from trackscan.llm.tokens import encoder, grouped
 
 MAGIC = b"PFORIDS1"
-FILE_TOKENS, SECTIONS, BATCH_TEXTS = 8_000_000, 8, 256
+FILE_TOKENS, SECTIONS, BATCH_TEXTS = 6_000_000, 8, 256
 END_ID = 0
 _HEAD = len(MAGIC) + 32
+_NUMBERS = re.compile(r"part-(\d+)-[^/]*-c(\d+)\.txt$").search
 
 
 def write(
@@ -174,9 +176,9 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                number = [batch.column(k)[i].as_py() for k in (0, 1)]
+                number = [int(x) for x in _NUMBERS(batch.column(0)[i].as_py()).groups()]
                 base = 0
-                for some in sections_of(batch.column(2)[i].as_py()):
+                for some in sections_of(batch.column(1)[i].as_py()):
                     ids = np.asarray(some.all_ids(), "<u4")
                     crc = [
                         zlib.crc32(ids[a : a + n])
@@ -192,9 +194,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                     base += some.ids
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path)
-    task = F.regexp_extract("path", r"part-(\d+)-[^/]*$", 1).cast("long").alias("task")
-    part = F.regexp_extract("path", r"-c(\d+)\.txt$", 1).cast("long").alias("part")
-    index = files.select(task, part, "content").mapInArrow(run, schema)
+    # just as they are read: an expression beside them would copy the contents
+    index = files.select("path", "content").mapInArrow(run, schema)
     # small rows: not a file for each task
     found = saved(index.hint("rebalance"), "token-index")
     heads = found.groupBy("task", "part").agg(F.sum("n_tokens").alias("ids"))
